@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import secrets
+from corpuslens.llm import packing, pii, rules, secrets
 
 QUERIES = {
+    "op1_best_two_fit": packing.op1_best_two_fit,
+    "op7_line_frequency": rules.op7_line_frequency,
+    "op8_private_terms": pii.op8_private_terms,
     "op9_secret_ledger": secrets.op9_secret_ledger,
 }
 
