@@ -100,21 +100,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over ``threshold``. All counts are of different texts, over all documents."""
+    """(entity, term, disclosure) of the pairs at or over ``threshold``. All counts are of documents, over all documents.
+
+    Mentions are grouped by text first, so copies of a text are one row with their
+    number. Terms are counted before they meet the pairs: the join holds counts only.
+    """
     held = scanned.filter(F.size("__spans") > 0)
-    mention = held.select("__text_key", F.explode("__mentions").alias("m")).select("__text_key", "m.entity", "m.terms")
-    seen = mention.select("__text_key", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support)
-    pairs = materialise(pairs, "pii-pairs")
-    entities = (
-        mention.select("entity", "__text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    )
-    wanted = materialise(pairs.select(F.xxhash64("term").alias("__term")).distinct(), "pii-terms")
-    words = docs.select(filled(text_col).alias("__text")).select(
-        F.xxhash64("__text").alias("__text_key"), F.explode(F.array_distinct(_terms(F.col("__text")))).alias("__term")
-    )
-    terms = words.join(wanted, "__term", "left_semi").distinct().groupBy("__term").agg(F.count("*").alias("n_term"))
-    total = scanned.agg(F.count_distinct("__text_key").alias("n_all"))
+    texts = held.groupBy("__text_key").agg(F.first("__mentions").alias("__mentions"), F.count("*").alias("copies"))
+    mention = texts.select("__text_key", "copies", F.explode("__mentions").alias("m")).select("__text_key", "copies", "m.entity", "m.terms")
+    seen = mention.select("__text_key", "copies", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_pair"))
+    pairs = materialise(pairs.filter(F.col("texts") >= support), "pii-pairs")
+    entities = mention.select("entity", "__text_key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    words = docs.select(F.explode(F.array_distinct(_terms(filled(text_col)))).alias("__term"))
+    terms = words.groupBy("__term").agg(F.count("*").alias("n_term"))
+    total = scanned.agg(F.count("*").alias("n_all"))
     joined = (
         pairs.join(entities, "entity")
         .withColumn("__term", F.xxhash64("term"))
