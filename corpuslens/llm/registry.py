@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import packing, pii, rules, secrets
+from corpuslens.llm import fingerprints, packing, partenum, pieces, pii, quality, rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
+    "op2_fourier_ridge": quality.op2_fourier_ridge,
+    "op3_nbest_pieces": pieces.op3_nbest_pieces,
+    "op4_prefix_hashes": fingerprints.op4_prefix_hashes,
+    "op5_revisits": warc.op5_revisits,
+    "op6_external_shuffle": sharding.op6_external_shuffle,
     "op7_line_frequency": rules.op7_line_frequency,
     "op8_private_terms": pii.op8_private_terms,
     "op9_secret_ledger": secrets.op9_secret_ledger,
+    "op10_partenum": partenum.op10_partenum,
 }
 
 SQL: dict[str, str] = {}

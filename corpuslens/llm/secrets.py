@@ -119,7 +119,7 @@ def redact(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.withColumn("__blob", F.sha2(filled(text_col), 256)).withColumn(
         "__salt", F.pmod(F.xxhash64(path_col), F.lit(SALTS)).cast("int")
     )
-    out = rows.join(found, ["__blob", "__salt"], "left")
+    out = rows.join(found.hint("shuffle_hash"), ["__blob", "__salt"], "left")
     clean = F.when(F.col("__findings").isNotNull(), redacted(F.col(text_col), F.col("__findings"))).otherwise(F.col(text_col))
     columns = [clean.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns)
