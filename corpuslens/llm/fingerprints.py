@@ -6,9 +6,11 @@ extension of two positions is found by binary search. An edit that joins two
 texts needs no new pass: its prefix hashes follow from the arrays of its parts.
 
 The fingerprint of a text is its length, its whole hash, and hashes of prefixes
-and suffixes at every multiple of a power-of-two stride (64 at most of each).
-Likeness compares fingerprints alone: binary search over the shared grid gives the
-longest common prefix and suffix, to within a stride, as a share of the longer text.
+and suffixes at every multiple of a power-of-two stride (64 at most of each), and the
+32 smallest hashes of its spans of 32 code points. Likeness compares fingerprints
+alone: binary search over the shared grid gives the longest common prefix and
+suffix, to within a stride, as a share of the longer text; the smallest span
+hashes estimate the share of spans in common, wherever they stand. The larger counts.
 
 Cases: null text is empty; two empty texts have likeness 1, an empty and another
 0; repeated rows and equal ids follow one another ordered by text; a null id sorts
@@ -32,6 +34,8 @@ from corpuslens.llm.common import arrow_batches, filled, read
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 GRID = 64
+SPAN = 32
+SMALLEST = 32
 RANGE_BYTES = 16 << 20
 MIN_RANGES, MAX_RANGES = 64, 8192
 STEP = 64
@@ -121,6 +125,12 @@ class Fingerprint:
         self.whole = f"{whole[0]:08x}{whole[1]:08x}"
         self.prefixes = self._short(text.prefix(steps))
         self.suffixes = self._short(text.spans(n - steps, np.full(len(steps), n)))
+        starts = np.arange(max(0, n - SPAN + 1))
+        spans = text.spans(starts, starts + SPAN)[0] * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+        if len(spans) > 8 * SMALLEST:  # most spans differ: look at the lowest part first
+            low = np.unique(np.partition(spans, 4 * SMALLEST)[: 4 * SMALLEST])
+            spans = low if len(low) >= SMALLEST else spans
+        self.smallest = np.unique(spans)[:SMALLEST]
 
     @staticmethod
     def _short(hashes: list[np.ndarray]) -> np.ndarray:
@@ -128,7 +138,8 @@ class Fingerprint:
 
     def __str__(self) -> str:
         grids = (base64.b64encode(np.ascontiguousarray(g.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()).decode() for g in (self.prefixes, self.suffixes))
-        return ":".join([str(self.n), self.whole, *grids])
+        smallest = base64.b64encode(self.smallest.astype(">u4").tobytes()).decode()
+        return ":".join([str(self.n), self.whole, *grids, smallest])
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -149,7 +160,10 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     own, other = stride // a.stride, stride // b.stride
     same = _shared(a.prefixes[own - 1 :: own], b.prefixes[other - 1 :: other])
     same += _shared(a.suffixes[own - 1 :: own], b.suffixes[other - 1 :: other])
-    return min(same * stride, a.n, b.n) / (max(a.n, b.n) + 1)
+    extension = min(same * stride, a.n, b.n) / (max(a.n, b.n) + 1)
+    union = np.union1d(a.smallest, b.smallest)[:SMALLEST]
+    both = np.isin(union, a.smallest) & np.isin(union, b.smallest)
+    return max(extension, min(float(both.mean()), a.n / (a.n + 1)) if len(union) else 0.0)
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
