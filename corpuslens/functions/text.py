@@ -48,14 +48,14 @@ def canonical_text(title: Column, abstract: Column, category: Column) -> Column:
 
 
 def short_abstract(c: Column, limit: int = 500) -> Column:
-    """At most ``limit`` characters: cut after the last sentence past half, else at the last blank; then '...'."""
+    """At most ``limit`` characters and a mark: cut after the last sentence that ends past half, else before the last blank."""
     head = F.substring(c, 1, limit)
     back = F.instr(F.reverse(head), " .")  # ". " read backwards
-    sentence = F.when(back > 0, limit - back)  # characters up to and with the point
-    blank = F.instr(F.reverse(head), " ")
-    word = F.when(blank > 0, limit - blank).otherwise(limit)
-    cut = F.when(sentence > limit / 2, sentence).otherwise(word)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(head, F.lit(1), cut), F.lit("...")))
+    point = limit - 1 - back  # where the last sentence's point stands, from 0
+    blank = limit - F.instr(F.reverse(head), " ")
+    sentence = F.concat(F.substring(head, F.lit(1), point + 1), F.lit(".."))
+    word = F.concat(F.when((blank > 0) & (blank < limit), F.substring(head, F.lit(1), blank)).otherwise(head), F.lit("..."))
+    return F.when(F.length(c) <= limit, c).when((back > 0) & (point > limit / 2), sentence).otherwise(word)
 
 
 def redact(c: Column, limit: int = 1000) -> Column:
