@@ -13,7 +13,7 @@ def normalize_text(c: Column) -> Column:
 
 def id_and_version(url: Column) -> Column:
     """(base, version) of the last path segment of an entry's URL; both null without a version."""
-    last = F.substring_index(F.rtrim(F.lit("/"), url), "/", -1)
+    last = F.substring_index(F.rtrim(url, F.lit("/")), "/", -1)
     base = F.regexp_extract(last, r"^(.+?)v(\d+)$", 1)
     number = F.regexp_extract(last, r"^(.+?)v(\d+)$", 2)
     found = F.length(base) > 0
@@ -58,6 +58,10 @@ def short_abstract(c: Column, limit: int = 500) -> Column:
     return F.when(F.length(c) <= limit, c).when((back > 0) & (point > limit / 2), sentence).otherwise(word)
 
 
+#: Fixed value: a connection string with credentials.
+CONNECTION_STRING = r"[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s]*@[^\s]*"
+
+
 def redact(c: Column, limit: int = 1000) -> Column:
     """Connection strings removed, at most ``limit`` characters."""
-    return F.substring(F.regexp_replace(c, r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s]+", "[redacted]"), 1, limit)
+    return F.substring(F.regexp_replace(c, CONNECTION_STRING, "[redacted-connection-string]"), 1, limit)
