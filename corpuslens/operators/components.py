@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder (spark.checkpoint.dir; a temporary one where the session names none)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpuslens-"))
@@ -19,7 +20,7 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of (u, v) edges; the component is its smallest node."""
-    star = _kept(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    star = kept(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         ways = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         tied = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        star = _kept(least.select("u", F.col("low").alias("v")).unionByName(tied).filter("u <> v").distinct())
+        star = kept(least.select("u", F.col("low").alias("v")).unionByName(tied).filter("u <> v").distinct())
         now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
