@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import fingerprints, packing, partenum, pieces, pii, quality, rules, secrets, sharding, warc
+from corpuslens.llm import fingerprints, packing, partenum, pieces, pii, quality, rules, secrets, sharding, sql, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_partenum": partenum.op10_partenum,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_revisits": sql.REVISITS,
+    "op7_line_frequency": sql.RULES,
+    "op9_secret_ledger": sql.SECRETS,
+    "op10_partenum": sql.NEAR,
+}
