@@ -20,6 +20,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op5_revisits": sql.REVISITS,
     "op7_line_frequency": sql.RULES,
+    "op8_private_terms": sql.PRIVATE,
     "op9_secret_ledger": sql.SECRETS,
     "op10_partenum": sql.NEAR,
 }

@@ -66,3 +66,40 @@ reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN e
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = t.doc_id), t.doc_id)) AS component_id
 FROM t LEFT JOIN n USING (doc_id)
 """
+
+PRIVATE = rf"""
+WITH {TEXTS},
+rules(kind, ord, rx) AS (VALUES
+    ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+(?:\.[0-9]+){{3}}'),
+    ('card', 2, '[0-9](?:[\x20-]?[0-9])+'), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]')),
+cut AS (SELECT doc_id, text, kind, ord, string_split_regex(text, rx) AS gaps, regexp_extract_all(text, rx) AS vals FROM t, rules WHERE regexp_matches(text, rx)),
+placed AS (SELECT doc_id, text, kind, ord, vals[i + 1] AS val, regexp_replace(vals[i + 1], '[^0-9]', '', 'g') AS digits,
+    CAST(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i], lambda g: length(g))), 0) AS BIGINT) AS s
+    FROM cut, unnest(range(len(vals))) r(i)),
+base AS (SELECT *, s + length(val) AS e, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(val) END AS entity FROM placed WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(val, '.'), lambda p: CAST(('0' || right(ltrim(p, '0'), 6)) AS INTEGER) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(digits), i, 1) AS INTEGER) WHEN 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) > 9 THEN 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) - 9
+        ELSE 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
+near AS (SELECT DISTINCT text, entity, lower(unnest(list_concat(list_slice(a, greatest(len(a) - 7, 1), len(a)), b[1:8]))) AS term FROM (SELECT text, entity,
+    list_filter(regexp_extract_all(substr(text, greatest(s - 320, 0) + 1, s - greatest(s - 320, 0)), '\p{{L}}+'), lambda w: length(w) BETWEEN 3 AND 40) AS a,
+    list_filter(regexp_extract_all(substr(text, e + 1, 320), '\p{{L}}+'), lambda w: length(w) BETWEEN 3 AND 40) AS b FROM base)),
+copies AS (SELECT text, count(*) AS copies FROM t GROUP BY text),
+pairs AS (SELECT entity, term, sum(copies) AS n_pair FROM near JOIN copies USING (text) GROUP BY ALL HAVING count(*) >= 3),
+entities AS (SELECT entity, sum(copies) AS n_entity FROM (SELECT DISTINCT entity, text FROM base) JOIN copies USING (text) GROUP BY entity),
+runs AS (SELECT doc_id, text, string_split_regex(text, '\p{{L}}+') AS gaps, regexp_extract_all(text, '\p{{L}}+') AS vals FROM t),
+terms AS (SELECT term, count(DISTINCT doc_id) AS n_term FROM (SELECT doc_id, lower(unnest(vals)) AS term FROM runs) JOIN (SELECT DISTINCT term FROM pairs) USING (term) GROUP BY term),
+shares AS (SELECT entity, term, greatest(0, least(1, log2(n_pair * n_all / (n_entity * n_term)) / log2(n_all / n_entity))) AS share
+    FROM pairs JOIN entities USING (entity) JOIN terms USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n_all FROM t) WHERE n_all > n_entity),
+flagged AS (SELECT doc_id, term, max(share) AS share FROM (SELECT DISTINCT doc_id, entity FROM base) JOIN shares USING (entity) WHERE share >= 0.8 GROUP BY ALL),
+hits AS (SELECT r.doc_id, f.share, CAST(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i], lambda g: length(g))), 0) AS BIGINT) AS s, length(vals[i + 1]) AS n
+    FROM (SELECT * FROM runs WHERE doc_id IN (SELECT doc_id FROM flagged)) r, unnest(range(len(vals))) x(i) JOIN flagged f ON f.doc_id = r.doc_id AND f.term = lower(vals[i + 1])),
+spans AS (SELECT doc_id, kind, ord, s, kind || ':' || s || ':' || e AS span FROM base
+    UNION ALL SELECT doc_id, kind, ord, s, kind || ':' || s || ':' || (s + n) FROM (SELECT *, CASE WHEN share >= 0.95 THEN 'remove' ELSE 'general' END AS kind, CASE WHEN share >= 0.95 THEN 4 ELSE 5 END AS ord FROM hits h
+        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.s < h.s + h.n AND h.s < b.e))),
+found AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
+    count(*) FILTER (WHERE kind = 'phone') AS n_phone, string_agg(span, ',' ORDER BY s, ord) FILTER (WHERE ord < 4) AS b, string_agg(span, ',' ORDER BY s, ord) AS a FROM spans GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+    sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM t LEFT JOIN found USING (doc_id)
+"""
