@@ -15,8 +15,9 @@ A shared ``slack + 1`` lets each set drop its ``slack`` most frequent signatures
 in one order for all sets, without losing a pair: passages that many documents
 share bring no groups. Of what remains, each signature group first compares its
 members with one pivot (a star, never all pairs); then, with components known,
-members outside a group's main component meet the members of other components.
-Candidates are verified on whole sets of 64-bit shingle hashes.
+members outside a group's main component meet the members of other components, by
+parity sketches that bound their difference from below. What passes is verified on
+whole sets of 64-bit shingle hashes.
 
 Signatures are packed per bucket of signatures (13 bytes or so each, none of them
 a row) and grouped by bucket; documents with equal sets are one class throughout.
@@ -46,6 +47,7 @@ SPREAD = 6
 BUCKET_BYTES = 24 << 20
 MIN_BUCKETS = 32
 SALTS = 16
+BLOCK = 2048
 REMEMBERED = 300_000
 U = np.uint64
 OWN, NEXT, FINE = 0, 1, 2  # flags: band of the set or the next one; tokens of single shingles
@@ -296,17 +298,25 @@ def trimmed(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     return materialise(kept.join(groups, "sig"), "candidate-groups")
 
 
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches differ in no more cells than linked sets may in elements."""
+    for batch in batches:
+        sizes = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+        differ = [int(np.bitwise_count(x[0] ^ x[1]).sum()) for x in (_folded(list(two)) for two in zip(batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist()))]
+        keep = pa.array(9 * np.array(differ, np.int64) <= sizes)
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link."""
+    """The (a, b) of ``pairs`` whose sets link; sets move only for pairs that their sketches allow."""
     left = sets.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("values").alias("in_a"))
     right = sets.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("values").alias("in_b"))
-    small = F.least("n_a", "n_b")
-    sized = sets.select("class_id", "n")
+    sized = sets.select("class_id", "n", "sketch")
     fit = (
-        pairs.join(sized.toDF("a", "n_a"), "a")
-        .join(sized.toDF("b", "n_b"), "b")
-        .filter(5 * small >= 4 * F.greatest("n_a", "n_b"))
-        .select("a", "b")
+        pairs.join(sized.toDF("a", "n_a", "sketch_a"), "a")
+        .join(sized.toDF("b", "n_b", "sketch_b"), "b")
+        .filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+        .mapInArrow(_screened, "a long, b long")
     )
     both = fit.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("in_a", "in_b"))
@@ -326,7 +336,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     star = groups.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct()
     first = materialise(verified(star, sets), "star-links")
     labels = components(first.toDF("u", "v"))
-    rest = materialise(unresolved(groups, labels), "other-pairs")
+    rest = materialise(unresolved(groups, labels, sets), "other-pairs")
     second = verified(rest, sets)
     links = materialise(first.unionByName(second), "links")
     found = components(links.toDF("u", "v")).toDF("class_id", "component")
@@ -335,40 +345,125 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def parity_sketch(values: np.ndarray) -> bytes:
+    """One bit per cell of a power-of-two table: whether the set has an odd number of elements there.
+
+    Two sketches differ in no more cells than their sets differ in elements. A
+    sketch of twice the cells folds onto a smaller one by xor of its halves.
+    """
+    cells = 1 << max(8, (8 * len(values) // 9).bit_length())  # four times k or more
+    odd = np.bincount((values >> U(11)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit words, all of the smallest size among them."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), np.uint64)
+    for i, sketch in enumerate(sketches):
+        words = np.frombuffer(sketch, np.uint64)
+        while len(words) > out.shape[1]:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out[i] = words
+    return out
+
+
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class_id, n, values) of the classes wanted; texts stream past a hash table of ids."""
+    """(class_id, n, values, sketch) of the classes wanted; texts stream past a hash table of ids."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch["text"].to_pylist()]
-            columns = [batch["class_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["class_id", "n", "values"])
+            values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            columns = [batch["class_id"], pa.array([len(s) for s in sets], pa.int64()), values, pa.array([parity_sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["class_id", "n", "values", "sketch"])
 
     texts = rows.select("doc_id", filled("text").alias("text"))
     hits = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["class_id"]).select("class_id", "text")
-    return hits.mapInArrow(build, "class_id long, n long, values array<long>").dropDuplicates(["class_id"])
+    return hits.mapInArrow(build, "class_id long, n long, values array<long>, sketch binary").dropDuplicates(["class_id"])
 
 
-def unresolved(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a signature group in different components, not yet compared: each has a member outside
-    the group's main component."""
+def unresolved(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs in one signature group, in different components and not yet compared, that their sketches allow to link.
+
+    Groups of equal members count once. In a group, the members outside its main
+    component meet all others, by tiles of BLOCK x BLOCK members whose sketches one
+    task compares in memory; only pairs that pass become rows.
+    """
     named = groups.join(labels.toDF("class_id", "label"), "class_id", "left").select(
         "sig", "class_id", "pivot", F.coalesce("label", "class_id").alias("label")
     )
     named = materialise(named, "labelled-groups")
+    marks = [F.bit_xor(F.xxhash64("class_id", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    mixed = named.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), *marks)
+    # In groups of two the pivot has met the other one.
+    mixed = mixed.filter("low <> high and n > 2").groupBy("n", "m1", "m2").agg(F.min("sig").alias("sig")).select("sig", "n")
+    open_rows = materialise(named.join(mixed, "sig"), "open-groups")
     main = (
-        named.groupBy("sig", "label")
-        .agg(F.count("*").alias("n"))
+        open_rows.groupBy("sig", "label")
+        .agg(F.count("*").alias("size"))
         .groupBy("sig")
-        .agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
-        .filter("labels > 1")
-        .select("sig", "main")
+        .agg(F.max_by(F.struct("label", "size"), F.struct("size", "label")).alias("main"))
+        .select("sig", F.col("main.label").alias("main"), F.col("main.size").alias("main_size"))
     )
-    mixed = named.join(main, "sig")
-    outside = mixed.filter("label <> main").select("sig", F.col("class_id").alias("x"), F.col("label").alias("x_label"))
-    pairs = outside.join(mixed.select("sig", "class_id", "label", "pivot"), "sig").filter("x_label <> label")
-    pairs = pairs.filter("x <> pivot and class_id <> pivot")  # the star has compared those
-    return pairs.select(F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b")).distinct()
+    rows = open_rows.join(main, "sig").join(sets.select("class_id", F.col("n").alias("size"), "sketch"), "class_id")
+    # Tiles: an outsider goes to one row of tiles and is a member in one column; a member of the main component only in its column.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    out_blocks = F.ceil((F.col("n") - F.col("main_size")) / BLOCK).cast("int")
+    row, column = F.pmod(F.xxhash64("class_id"), out_blocks).cast("int"), F.pmod(F.xxhash64("class_id", F.lit(1)), blocks).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    as_member = F.transform(upto(out_blocks), lambda i: F.struct(i.alias("i"), column.alias("j"), F.lit(False).alias("asks")))
+    as_asker = F.transform(upto(blocks), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    places = F.when(F.col("label") == F.col("main"), as_member).otherwise(F.concat(as_member, as_asker))
+    dealt = rows.select("sig", "class_id", "label", "pivot", "size", "sketch", F.explode(places).alias("p"))
+    tiles = dealt.select("sig", "p.i", "p.j", "p.asks", "class_id", "label", "pivot", "size", "sketch")
+    ordered = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return ordered.mapInArrow(_tile_pairs, "a long, b long").distinct()
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    names = ["sig", "i", "j"]
+
+    def pairs(tile: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        asks = tile["asks"].to_numpy(zero_copy_only=False)
+        ids, labels, sizes = (tile[c].to_numpy() for c in ("class_id", "label", "size"))
+        pivot = tile["pivot"][0].as_py()
+        words = _folded(tile["sketch"].to_pylist())
+        members = np.flatnonzero(~asks & (ids != pivot))
+        left, right = [], []
+        for k in np.flatnonzero(asks & (ids != pivot)):
+            far = members[labels[members] != labels[k]]
+            both = sizes[far] + sizes[k]
+            far = far[9 * np.bitwise_count(words[far] ^ words[k]).sum(axis=1, dtype=np.int64) <= both]
+            left.append(np.minimum(ids[far], ids[k]))
+            right.append(np.maximum(ids[far], ids[k]))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(left or none), np.concatenate(right or none)
+
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        keys = np.column_stack([table[c].to_numpy() for c in names])
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        found = [pairs(table.slice(lo, hi - lo)) for lo, hi in zip([0, *edges], [*edges, len(keys)])]
+        a, b = (np.concatenate(x) for x in zip(*found))
+        both = np.unique(np.column_stack([a, b]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        last = [table[c][-1].as_py() for c in names]
+        own = np.ones(table.num_rows, bool)
+        for c, x in zip(names, last):
+            own &= table[c].to_numpy() == x
+        start = table.num_rows - int(own[::-1].argmin() if not own.all() else table.num_rows)
+        if start:  # the last tile may go on in the next batch
+            yield finish(table.slice(0, start))
+        held = table.slice(start).combine_chunks().to_batches()
+    if held:
+        yield finish(pa.Table.from_batches(held))
 
 
 def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
