@@ -98,8 +98,14 @@ def test_plan_uses_up_all_lengths():
             for x in lengths:
                 used[x] += times
         assert dict(used) == counts
-        total = sum(k * v for k, v in counts.items())
-        assert bins <= 1.25 * -(-total // 64) + 1
+        gaps: list[int] = []  # first fit, decreasing
+        for x in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+            at = next((i for i, g in enumerate(gaps) if g >= x), None)
+            if at is None:
+                gaps.append(64)
+                at = len(gaps) - 1
+            gaps[at] -= x
+        assert bins <= len(gaps) + 1
 
 
 # 2 classifier
