@@ -26,7 +26,9 @@ from corpuslens.llm.common import filled, materialise, read
 # match before it ended; said so, and with possessive loops, time is linear.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+# Of chains of digits only those of twelve and more can be cards; short numbers, of which a
+# long text may hold very many, are no matches at all.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 BASE = ("email", "ip", "card", "phone")

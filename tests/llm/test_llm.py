@@ -344,7 +344,7 @@ def test_ledger(spark, docs, nothing):
     rows = by_id(findings_by_path(paths, first.unionByName(more)).select("__path", S.joined(F.col("findings")).alias("s")), "__path")
     assert {d: r.s for d, r in rows.items()} == {d: ",".join(f"{k}:{a}:{b}" for a, _, k, b in secret(t)) for d, t in texts().items()}
     clean = by_id(redact(docs))
-    assert clean[13].text.startswith("[SECRET] token:short [SECRET] [SECRET]") and clean[0].text is None and clean[8].text == TEXTS[8]
+    assert clean[13].text.startswith("[SECRET]\" token:short [SECRET] [SECRET]") and clean[0].text is None and clean[8].text == TEXTS[8]
     assert redact(nothing).count() == 0
 
 
