@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 
 import public_tokenizers
 import tiktoken
@@ -18,7 +20,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Units remembered in a Python worker at most (some 60 MB); others are encoded each time.
 REMEMBERED = 300_000
 #: The text after white space and a space goes on with white space or ends: cuts there aren't safe.
-UNSAFE = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
+UNSAFE = re.compile(r" (?=\s|$)(?:(?<=\s )|(?<=^ ))")
 
 
 class Units(dict):
@@ -30,15 +32,21 @@ class Units(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def encode(self, text: str) -> bytes:
+        ids = array("I", self.encoding.encode_ordinary(text))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
+
     def __missing__(self, unit: str) -> bytes:
-        ids = self.encoding.encode_to_numpy(unit, disallowed_special=()).astype("<u4").tobytes()
+        ids = self.encode(unit)
         if len(self) < REMEMBERED and len(unit) < 64:
             self[unit] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         if UNSAFE.search(text):
-            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            return self.encode(text)
         first, *rest = text.split(" ")
         return b"".join([self[first] if first else b"", *[self[" " + w] for w in rest]])
 
