@@ -4,13 +4,16 @@ Over the lattice of vocabulary pieces, forward Viterbi scores give each node the
 best score from the start. A backward A* search from the end uses them as exact
 heuristics, so paths come out best first and none is opened in vain. No piece
 holds a space mark after another character, so a text's lattice falls apart before
-each run of spaces (and around line feeds); units are solved once and remembered,
-and a text's N best are the N smallest sums of losses over its units.
+each run of spaces (and around line feeds). Each unit's best path and the loss of
+its second best follow from Viterbi scores both ways, and are remembered; only the
+N - 1 units of a text where a change is cheapest are searched further, since a
+text's N best are the N smallest sums of losses over its units.
 
 The score of a path is the sum of the model's piece scores (ranks here, so whole
 numbers). A character without a piece costs ``UNKNOWN`` less than the lowest score
 and is spelled in byte pieces; so is a space mark in the text itself, which keeps
-decoding exact. Ties go to the smaller tuple of piece ids within a unit.
+decoding exact. The best path of a unit takes the smaller piece ids on ties; which of
+further paths with equal scores are taken follows a fixed order of the search.
 
 Cases: null text is empty and has one segmentation without pieces; a text with
 fewer than N segmentations gives them all; repeated rows get equal results; other
@@ -22,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +42,10 @@ NBEST = 4
 MARK = "▁"
 UNKNOWN = 10
 #: Units remembered in a Python worker at most.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Units longer than this many characters are solved, but not remembered.
-LONG = 64
+LONG = 16
+LOWEST = -(10**15)
 UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Stands for a space mark in the text itself; a lone surrogate is in no valid text.
 OWN_MARK = "\ud800"
@@ -49,7 +54,7 @@ Path = tuple[int, tuple[int, ...]]
 
 
 class Lattice(dict):
-    """unit -> (best score, ids as bytes for each path, best first, loss of each further path)."""
+    """unit -> (best score, ids of the best path as bytes, what the second best path loses)."""
 
     def __init__(self, path: str, nbest: int = NBEST):
         super().__init__()
@@ -65,49 +70,103 @@ class Lattice(dict):
         self.unknown = min(normal, default=0) - UNKNOWN
         if any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in self.pieces):
             raise ValueError("a piece holds a space after another character; units can't be cut there")
-        #: Longest piece by first character, to stop early.
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            self.reach[p[0]] = max(self.reach.get(p[0], 0), len(p))
-
-    def edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """Into each node: (start node, score, ids)."""
-        n = len(unit)
-        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        pieces, reach = self.pieces, self.reach
+        #: Pairs of characters inside pieces; between any other two a lattice falls apart.
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        #: Pieces by character: each node is (children, (score, ids) or None).
+        self.root: dict = {}
+        for p, (i, score) in self.pieces.items():
+            children = self.root
+            for c in p[:-1]:
+                children = children.setdefault(c, [{}, None])[0]
+            children.setdefault(p[-1], [{}, None])[1] = (score, (i,))
+
+    def edges(self, unit: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
+        """(start node, end node, score, ids) by start node. Every character has an edge of its own."""
+        out: list[tuple[int, int, int, tuple[int, ...]]] = []
+        add, root, n = out.append, self.root, len(unit)
         for i in range(n):
-            c = unit[i]
-            for j in range(i + 1, min(n, i + reach.get(c, 0)) + 1):
-                found = pieces.get(unit[i:j])
-                if found:
-                    into[j].append((i, found[1], (found[0],)))
-            if c not in pieces:
-                own = MARK if c == OWN_MARK else c
-                into[i + 1].append((i, self.unknown, tuple(self.bytes[b] for b in own.encode())))
-        return into
+            node = root.get(unit[i])
+            if node is None or node[1] is None:
+                own = MARK if unit[i] == OWN_MARK else unit[i]
+                add((i, i + 1, self.unknown, tuple([self.bytes[b] for b in own.encode()])))
+            j = i + 1
+            while node is not None:
+                children, found = node
+                if found is not None:
+                    add((i, j, *found))
+                if j == n:
+                    break
+                node = children.get(unit[j])
+                j += 1
+        return out
+
+    @staticmethod
+    def forward(edges: list, n: int) -> list[int]:
+        """Viterbi scores: the best from the start to each node."""
+        best = [LOWEST] * (n + 1)
+        best[0] = 0
+        for i, j, s, _ in edges:
+            if best[i] + s > best[j]:
+                best[j] = best[i] + s
+        return best
 
     def paths(self, unit: str) -> list[Path]:
-        """The N best (score, ids), best first."""
-        into = self.edges(unit)
-        best = [0]
-        for node in into[1:]:
-            best.append(max([best[i] + s for i, s, _ in node], default=-(10**15)))
+        """The N best (score, ids), best first: backward A* with the forward scores as exact heuristics."""
+        edges, n = self.edges(unit), len(unit)
+        best = self.forward(edges, n)
+        into: list[list] = [[] for _ in range(n + 1)]
+        for i, j, s, ids in edges:
+            into[j].append((i, s, ids))
         found: list[Path] = []
-        heap: list[tuple[int, tuple[int, ...], int, int]] = [(-best[-1], (), len(unit), 0)]
+        # Of equal scores the path nearest to the start goes on, so ties end quickly; a path links to what follows it.
+        heap: list[tuple] = [(-best[-1], n, 0, 0, None)]
+        pushed = 0
         while heap and len(found) < self.nbest:
-            cost, ids, at, done = heapq.heappop(heap)
+            cost, at, _, done, after = heapq.heappop(heap)
             if not at:
-                found.append((-cost, ids))
+                ids: list[int] = []
+                while after:
+                    ids += after[0]
+                    after = after[1]
+                found.append((-cost, tuple(ids)))
                 continue
             for i, s, own in into[at]:
-                heapq.heappush(heap, (-(best[i] + s + done), own + ids, i, done + s))
+                pushed += 1
+                heapq.heappush(heap, (-(best[i] + s + done), i, pushed, done + s, (own, after)))
         return found
 
-    def __missing__(self, unit: str):
-        paths = self.paths(unit)
-        best = paths[0][0]
-        entry = (best, [np.array(ids, "<u4").tobytes() for _, ids in paths], [best - score for score, _ in paths[1:]])
-        if len(self) < REMEMBERED and len(unit) <= LONG:
+    def __missing__(self, unit: str) -> tuple[int, bytes, int]:
+        """The best path, and what the second best loses: it has an edge that the best lacks, so it is the best path through such an edge."""
+        n = len(unit)
+        pairs = self.pairs
+        cuts = [k for k in range(1, n) if unit[k - 1 : k + 1] not in pairs]
+        if cuts:
+            parts = [self[unit[i:j]] for i, j in zip([0, *cuts], [*cuts, n])]
+            entry = (sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), min([p[2] for p in parts]))
+            if len(self) < REMEMBERED and n <= LONG:
+                self[unit] = entry
+            return entry
+        edges = self.edges(unit)
+        best = self.forward(edges, n)
+        rest = [LOWEST] * n + [0]
+        step: list[tuple] = [()] * n
+        for edge in reversed(edges):
+            i, j, s, ids = edge
+            through = s + rest[j]
+            if through > rest[i] or through == rest[i] and ids < step[i][3]:
+                rest[i] = through
+                step[i] = edge
+        ids: list[int] = []
+        at = 0
+        used = set()
+        while at < n:
+            edge = step[at]
+            used.add(id(edge))
+            ids += edge[3]
+            at = edge[1]
+        second = max([best[e[0]] + e[2] + rest[e[1]] for e in edges if id(e) not in used], default=LOWEST)
+        entry = (best[n], array("I", ids).tobytes(), best[n] - second)
+        if len(self) < REMEMBERED and n <= LONG:
             self[unit] = entry
         return entry
 
@@ -117,22 +176,26 @@ class Lattice(dict):
             return [(0, b"")]
         if MARK in text:
             text = text.replace(MARK, OWN_MARK)
-        own = [self[u] for u in UNITS.findall(MARK + text.replace(" ", MARK))]
-        best = [e[1][0] for e in own]
+        units = UNITS.findall(MARK + text.replace(" ", MARK))
+        own = [self[u] for u in units]
+        best = [e[1] for e in own]
         score = sum([e[0] for e in own])
-        # Of single changes only the N - 1 cheapest can matter, and no sum without them is cheaper.
-        cheap = heapq.nsmallest(self.nbest - 1, ((e[2][0], k) for k, e in enumerate(own) if e[2]))
-        sums: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
-        for _, k in cheap:
-            options = [(0, 0), *((loss, j + 1) for j, loss in enumerate(own[k][2]))]
+        # Of single changes only the N - 1 cheapest can matter: no sum without them is cheaper.
+        cheap = heapq.nsmallest(self.nbest - 1, zip([e[2] for e in own], range(len(own))))
+        sums: list[tuple[int, tuple[tuple[int, bytes], ...]]] = [(0, ())]
+        for loss, k in cheap:
+            if loss > -LOWEST // 2:  # no second path
+                continue
+            others = [(own[k][0] - s, array("I", ids).tobytes()) for s, ids in self.paths(units[k])]
+            options = [(0, b""), *[x for x in others if x[1] != best[k]][: self.nbest - 1]]
             sums = heapq.nsmallest(
-                self.nbest, ((a + loss, (*changes, (k, j)) if j else changes) for a, changes in sums for loss, j in options)
+                self.nbest, ((a + x, (*changes, (k, ids)) if ids else changes) for a, changes in sums for x, ids in options), key=lambda c: c[0]
             )
         out = [(score, b"".join(best))]
         for loss, changes in sums[1:]:
             changed = best.copy()
-            for k, j in changes:
-                changed[k] = own[k][1][j]
+            for k, ids in changes:
+                changed[k] = ids
             out.append((score - loss, b"".join(changed)))
         return out
 
