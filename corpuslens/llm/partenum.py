@@ -16,8 +16,9 @@ in one order for all sets, without losing a pair: passages that many documents
 share bring no groups. Of what remains, each signature group first compares its
 members with one pivot (a star, never all pairs); then, with components known,
 members outside a group's main component meet the members of other components, by
-parity sketches that bound their difference from below. What passes is verified on
-whole sets of 64-bit shingle hashes.
+parity sketches that bound their difference from below: first the nearest member of
+each component, then, with what is still apart, every member. What passes is
+verified on whole sets of 64-bit shingle hashes.
 
 Signatures are packed per bucket of signatures (13 bytes or so each, none of them
 a row) and grouped by bucket; documents with equal sets are one class throughout.
@@ -336,10 +337,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     star = groups.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct()
     first = materialise(verified(star, sets), "star-links")
     labels = components(first.toDF("u", "v"))
-    rest = materialise(unresolved(groups, labels, sets), "other-pairs")
-    second = verified(rest, sets)
-    links = materialise(first.unionByName(second), "links")
-    found = components(links.toDF("u", "v")).toDF("class_id", "component")
+    # Nearest pairs first: one link joins a member to a component, whatever number it has. The second round leaves nothing out.
+    for nearest in (True, False):
+        rest = materialise(unresolved(groups, labels, sets, nearest), "other-pairs")
+        if rest.isEmpty():
+            if nearest:
+                break  # no pair at all passes
+            continue
+        more = materialise(verified(rest, sets), "more-links")
+        if not more.isEmpty():
+            labels = relabelled(labels, more)
+    found = labels.toDF("class_id", "component")
     out = members.join(found, "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -383,7 +391,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return hits.mapInArrow(build, "class_id long, n long, values array<long>, sketch binary").dropDuplicates(["class_id"])
 
 
-def unresolved(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def unresolved(groups: DataFrame, labels: DataFrame, sets: DataFrame, nearest: bool = False) -> DataFrame:
     """Pairs in one signature group, in different components and not yet compared, that their sketches allow to link.
 
     Groups of equal members count once. In a group, the members outside its main
@@ -418,10 +426,29 @@ def unresolved(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
     dealt = rows.select("sig", "class_id", "label", "pivot", "size", "sketch", F.explode(places).alias("p"))
     tiles = dealt.select("sig", "p.i", "p.j", "p.asks", "class_id", "label", "pivot", "size", "sketch")
     ordered = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return ordered.mapInArrow(_tile_pairs, "a long, b long").distinct()
+    return ordered.mapInArrow(_nearest_pairs if nearest else _tile_pairs, "a long, b long").distinct()
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more links: components are joined, not nodes."""
+    ends = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    merged = components(ends.select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v")))
+    old = labels.join(merged.toDF("component", "joined"), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    new = merged.join(labels.select("node"), "node", "left_anti")
+    return materialise(old.unionByName(new), "labels")
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a tile that pass."""
+    yield from _tiles(batches, False)
+
+
+def _nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each asker and other component, the member with the nearest sketch, if it passes."""
+    yield from _tiles(batches, True)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     names = ["sig", "i", "j"]
 
@@ -435,7 +462,13 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(asks & (ids != pivot)):
             far = members[labels[members] != labels[k]]
             both = sizes[far] + sizes[k]
-            far = far[9 * np.bitwise_count(words[far] ^ words[k]).sum(axis=1, dtype=np.int64) <= both]
+            differ = np.bitwise_count(words[far] ^ words[k]).sum(axis=1, dtype=np.int64)
+            passed = 9 * differ <= both
+            far, differ = far[passed], differ[passed]
+            if nearest and len(far):
+                order = np.lexsort((ids[far], differ, labels[far]))
+                far = far[order]
+                far = far[np.r_[True, labels[far][1:] != labels[far][:-1]]]
             left.append(np.minimum(ids[far], ids[k]))
             right.append(np.maximum(ids[far], ids[k]))
         none = [np.zeros(0, np.int64)]
