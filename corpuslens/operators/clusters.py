@@ -16,6 +16,10 @@ STOP_WORDS = (
 )
 
 
+#: Averages of short decimals often fall on halves; a hair up rounds them alike in every order of summing.
+HAIR = 1e-9
+
+
 def representatives(clustered: DataFrame, n: int = 3) -> DataFrame:
     """(cluster_id, paper_id, distance, rank): the ``n`` papers nearest to the centroid of their cluster's coordinates.
 
@@ -56,7 +60,7 @@ def keywords(clustered: DataFrame, n: int = 8) -> DataFrame:
 
 
 def cluster_sizes(clustered: DataFrame) -> DataFrame:
-    return clustered.filter("NOT is_noise").groupBy("cluster_id").agg(F.count("*").alias("papers"), F.round(F.avg("membership"), 4).alias("average_membership"))
+    return clustered.filter("NOT is_noise").groupBy("cluster_id").agg(F.count("*").alias("papers"), F.round(F.avg("membership") + HAIR, 4).alias("average_membership"))
 
 
 def list_clusters(clustered: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from corpuslens.sources import views as W
 DISTRIBUTION = """SELECT cluster_id, category_code, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY cluster_id), 1) AS percent
     FROM clustered WHERE NOT is_noise GROUP BY cluster_id, category_code"""
 DOMINANT = f"SELECT cluster_id, category_code AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, category_code) AS r FROM ({DISTRIBUTION})) WHERE r = 1"
-SIZES = "SELECT cluster_id, count(*) AS papers, round(avg(membership), 4) AS average_membership FROM clustered WHERE NOT is_noise GROUP BY cluster_id"
+SIZES = "SELECT cluster_id, count(*) AS papers, round(avg(membership) + 1e-9, 4) AS average_membership FROM clustered WHERE NOT is_noise GROUP BY cluster_id"
 CLUSTERS = f"""SELECT l.*, coalesce(s.papers, 0) AS papers, s.average_membership, x.dominant FROM cluster_labels l
     LEFT JOIN ({SIZES}) s ON s.cluster_id = l.cluster_id LEFT JOIN ({DOMINANT}) x ON x.cluster_id = l.cluster_id WHERE review_status = 'APPROVED'"""
 NEAREST = """SELECT cluster_id, paper_id, distance, row_number() OVER (PARTITION BY cluster_id ORDER BY round(distance, 9), paper_id) AS rank FROM (
