@@ -7,8 +7,9 @@ mention) give the pointwise mutual information of a term with an entity. Divided
 by the entity's information content it says which share of the entity the term
 discloses: 1 means that the term occurs with that entity only. In documents that
 hold the entity, terms at or over ``GENERALISE`` are generalised to their word
-class, and at or over ``REMOVE`` they are removed. A pair needs
-``SUPPORT`` different texts, so that one text and its exact copies prove nothing.
+class, and at or over ``REMOVE`` they are removed. Pairs of any support count; the
+estimate of a pair seen in s different texts is discounted by s / (s + ``PRIOR``), so
+few texts prove less than many, and a text and its exact copies prove as much as one.
 
 Cases: null text is empty; a text without base spans is left as it is; repeated
 rows get equal results; other columns are ignored; empty tables give no rows.
@@ -35,7 +36,7 @@ BASE = ("email", "ip", "card", "phone")
 TERM = r"(?<!\p{L})\p{L}{3,40}(?!\p{L})"
 
 WINDOW = 8
-SUPPORT = 3
+PRIOR = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -90,18 +91,21 @@ def _near(text: Column, span: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: __id, __text_key, __spans, __mentions (entity, nearby terms); written once."""
+    """One row per document: __id, __text_key, __spans, __mentions (entity, nearby terms), __terms (hashes, where spans are); written once."""
     text = docs.select(F.col(id_col).alias("__id"), filled(text_col).alias("__text"))
     spans = text.withColumn("__spans", base_spans(F.col("__text")))
     mentions = F.transform(
         "__spans", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("__text"), s).alias("terms"))
     )
     return materialise(
-        spans.select("__id", F.xxhash64("__text").alias("__text_key"), "__spans", mentions.alias("__mentions")), "pii-scan"
+        spans.select(
+            "__id", F.xxhash64("__text").alias("__text_key"), "__spans", mentions.alias("__mentions"),
+            F.when(F.size("__spans") > 0, F.array_distinct(_terms(F.col("__text")))).alias("__terms"),
+        ), "pii-scan"
     )
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", prior: float = PRIOR, threshold: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or over ``threshold``. All counts are of documents, over all documents.
 
     Mentions are grouped by text first, so copies of a text are one row with their
@@ -112,7 +116,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", sup
     mention = texts.select("__text_key", "copies", F.explode("__mentions").alias("m")).select("__text_key", "copies", "m.entity", "m.terms")
     seen = mention.select("__text_key", "copies", "entity", F.explode("terms").alias("term")).distinct()
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_pair"))
-    pairs = materialise(pairs.filter(F.col("texts") >= support), "pii-pairs")
+    pairs = materialise(pairs, "pii-pairs")
     entities = mention.select("entity", "__text_key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(_terms(filled(text_col)))).alias("__term"))
     terms = words.groupBy("__term").agg(F.count("*").alias("n_term"))
@@ -124,19 +128,25 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", sup
         .crossJoin(F.broadcast(total))  # one row
     )
     information = F.log2(F.col("n_all") / F.col("n_entity"))
-    mutual = F.log2(F.col("n_pair") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
+    sure = F.col("texts") / (F.col("texts") + prior)
+    mutual = F.log2(sure * F.col("n_pair") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
     share = F.when(information > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), mutual / F.nullif(information, F.lit(0.0)))))
     out = joined.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold)
     return materialise(out, "pii-disclosures")
 
 
 def term_spans(docs: DataFrame, scanned: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __text_key, __term_spans) of the documents with disclosing terms; kind ``remove`` or ``general``."""
-    entities = scanned.filter(F.size("__spans") > 0).select(
-        "__id", "__text_key", F.explode(F.array_distinct(F.transform("__mentions", lambda m: m["entity"]))).alias("entity")
+    """(__id, __text_key, __term_spans) of the documents with disclosing terms; kind ``remove`` or ``general``.
+
+    Documents meet pairs by term: few entities can hold most of a term, but an
+    entity of many documents can have terms without number.
+    """
+    held = scanned.filter(F.size("__spans") > 0).select(
+        "__id", "__text_key", F.transform("__mentions", lambda m: m["entity"]).alias("entities"), F.explode("__terms").alias("__term")
     )
     per_doc = (
-        entities.join(found, "entity")
+        held.join(found.withColumn("__term", F.xxhash64("term")), "__term")
+        .filter(F.array_contains(F.col("entities"), F.col("entity")))
         .groupBy("__id", "__text_key", "term")
         .agg(F.max("disclosure").alias("disclosure"))
         .groupBy("__id", "__text_key")

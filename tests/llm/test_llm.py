@@ -316,6 +316,22 @@ def test_terms_that_disclose_go(spark):
     assert "remove" in kinds
 
 
+def test_terms_of_rare_entities_go(spark):
+    from corpuslens.llm.pii import find_private, sanitise
+    from corpuslens.llm.registry import QUERIES
+
+    own = [r.spans for r in QUERIES["op8_private_terms"](spark, SF).select("spans").collect()]
+    assert any("remove:" in s or "general:" in s for s in own)
+    once = "zebrafish keeper writes from ann@mail.example.com about the weather"
+    rows = [(0, once)] + [(10 + i, f"some people talk about the weather and item{i} from time to time, writes one keeper") for i in range(60)]
+    clean = by_id(sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert "zebrafish" not in clean[0].text and "weather" in clean[0].text and clean[12].text == rows[3][1]
+    # copies are no further evidence: the term isn't removed as it would be with as many different texts
+    copies = [(100 + i, once) for i in range(7)] + rows
+    kinds = {s["kind"] for r in find_private(spark.createDataFrame(copies, "doc_id long, text string")).collect() for s in r["__all"]}
+    assert kinds == {"email", "general"}
+
+
 # 9 secrets
 
 
