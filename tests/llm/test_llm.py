@@ -277,6 +277,21 @@ def test_frequent_lines_go(spark):
     assert kept[200].text == rows[26][1]  # another host
 
 
+def test_lines_of_families_and_large_hosts_stay(spark):
+    from corpuslens.llm.rules import apply
+
+    own = lambda i, n: " ".join(f"word{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x{chr(97 + k)}" for k in range(n))
+    shared = [own(5000 + k, 8) for k in range(6)]
+    family = [(i, "\n".join(shared[: i % 6] + [own(i, 8)] + shared[i % 6 + 1 :]), "en", "f", 0) for i in range(60)]  # one other line each
+    short = [(1000 + i, f"common line of this host\n{own(1000 + i, 7)}", "en", "s", 0) for i in range(25)]
+    large = [(2000 + i, f"natural line of few\n{own(2000 + i, 12)}" if i < 22 else own(2000 + i, 12), "en", "l", 0) for i in range(2500)]
+    rows = family + short + large
+    kept = by_id(apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")))
+    assert set(kept) == {r[0] for r in rows}
+    assert all(kept[r[0]].text == r[1] for r in family + large)
+    assert kept[1003].text == own(1003, 7)
+
+
 # 8 private terms
 
 
