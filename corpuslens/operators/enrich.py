@@ -30,18 +30,45 @@ def surnames(names: Column) -> Column:
 def candidate_pairs(papers: DataFrame, catalogue: DataFrame, most: int = 50, top: int = 5) -> DataFrame:
     """(paper_id, candidate_id): the ``top`` works of each paper by title overlap.
 
-    Titles meet on tokens that at most ``most`` works hold, so no common word
-    brings pairs; a pair's shared tokens are one row before it is scored.
+    All works of MODERATE overlap and over, equal titles among them, are found: two
+    such titles share a token of their prefixes, the rarest tokens of each that leave
+    too few others for that overlap. Works below it are found by tokens that at most
+    ``most`` works hold. Titles of equal tokens meet once, as one class.
     """
-    own = papers.select("paper_id", tokens(F.col("normalized_title")).alias("own"))
-    other = catalogue.select("candidate_id", tokens(F.col("normalized_title")).alias("other"))
-    words = other.select("candidate_id", F.explode("other").alias("token"))
-    rare = words.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= most).select("token")
-    left = own.select("paper_id", F.explode("own").alias("token")).join(rare, "token", "left_semi")
-    pairs = left.join(words.join(rare, "token", "left_semi"), "token").select("paper_id", "candidate_id").distinct()
-    scored = pairs.join(own, "paper_id").join(other, "candidate_id").withColumn("overlap", jaccard(F.col("own"), F.col("other")))
-    order = Window.partitionBy("paper_id").orderBy(F.desc("overlap"), "candidate_id")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("paper_id", "candidate_id")
+    least, salts = MODERATE - 0.0005, 8  # scores are rounded to 3 places
+
+    def classes(df: DataFrame, key: str, name: str) -> DataFrame:
+        title = F.array_sort(tokens(F.col("normalized_title")))
+        return df.select(key, title.alias(name)).withColumn(f"{name}_key", F.sha2(F.array_join(name, " "), 256))
+
+    own, other = classes(papers, "paper_id", "own"), classes(catalogue, "candidate_id", "other")
+    counts = other.select(F.explode("other").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def sides(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        sets = df.select(f"{name}_key", name).distinct()
+        words = sets.select(f"{name}_key", F.size(name).alias(f"{name}_size"), F.explode(name).alias("token")).join(counts, "token")
+        known = words.withColumn("place", F.row_number().over(Window.partitionBy(f"{name}_key").orderBy("df", "token")))
+        n = F.col(f"{name}_size")
+        rows = known.withColumn(f"{name}_prefix", F.col("place") <= n - F.ceil(n * least) + 1).filter((F.col("df") <= most) | F.col(f"{name}_prefix"))
+        return sets, rows.drop("place")
+
+    own_sets, left = sides(own, "own")
+    other_sets, right = sides(other, "other")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("own_key"), F.lit(salts)))
+    right = right.drop("df").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    small, large = F.least("own_size", "other_size"), F.greatest("own_size", "other_size")
+    near = F.col("own_prefix") & F.col("other_prefix") & (small >= least * large)
+    met = left.join(right, ["token", "salt"]).filter((F.col("df") <= most) | near)
+    pairs = met.groupBy("own_key", "other_key").agg(F.max(F.col("df") <= most).alias("rare"))
+    scored = pairs.join(own_sets, "own_key").join(other_sets, "other_key").withColumn("overlap", jaccard(F.col("own"), F.col("other")))
+    scored = scored.filter(F.col("rare") | (F.col("overlap") >= least)).select("own_key", "other_key", "overlap")
+
+    def first(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+        return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= top).drop("place")
+
+    works = first(other.select("candidate_id", "other_key"), "other_key", "candidate_id")
+    best = first(scored.join(works, "other_key"), "own_key", F.desc("overlap"), "candidate_id")
+    return own.select("paper_id", "own_key").join(best, "own_key").select("paper_id", "candidate_id")
 
 
 def score_candidates(pairs: DataFrame, papers: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Formulas and edge cases on small hand-made frames."""
 
+import itertools
 from datetime import date, datetime
 
 import pytest
@@ -150,3 +151,16 @@ def test_runs_are_published_whole_and_removed(spark, tmp_path):
     kept = io.read_run_children(spark, str(tmp_path), "scores")
     assert [r.x for r in kept.collect()] == [1]
     assert io.delete_run_cascade({"scores": rows}, run)["scores"].collect()[0].run_id == "r2"
+
+
+def test_titles_of_common_words_find_candidates(spark):
+    titles = [" ".join(f"w{k}" for k in c) for c in itertools.combinations(range(11), 5)][:300] + ["same common title"] * 70
+    papers = spark.createDataFrame(list(enumerate(titles)), "paper_id long, normalized_title string")
+    works = papers.select((F.col("paper_id") + 1000).alias("candidate_id"), "normalized_title")
+    got = {}
+    for r in enrich.candidate_pairs(papers, works).collect():
+        got.setdefault(r.paper_id, set()).add(r.candidate_id - 1000)
+    sets = [set(t.split()) for t in titles]
+    for i, a in enumerate(sets):
+        near = sorted((-len(a & b) / len(a | b), k) for k, b in enumerate(sets) if 2 * len(a & b) >= len(a | b))
+        assert got[i] == {k for _, k in near[:5]}, i
