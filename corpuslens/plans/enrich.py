@@ -172,9 +172,9 @@ def _(spark, d):
 
 @query("author_identity_link")
 def _(spark, d):
-    """Authors by position; identities: each supplier under two ids. Rounds of claims have no plain SQL form."""
+    """Authors by position; identities: each supplier under two ids, by odd and even papers. Rounds of claims have no plain SQL form."""
     a = W.paper_authors(spark, d).select("paper_id", "author_id", F.col("author_order").alias("position"), F.lower("display_name").alias("name"))
-    i = a.select("paper_id", "name", F.concat(F.lit("I"), (F.col("author_id") % 60).cast("string")).alias("identity")).distinct()
+    i = a.select("paper_id", "name", F.concat_ws("-", F.lit("I"), F.col("author_id"), F.col("paper_id") % 2).alias("identity")).distinct()
     return R.identity_links(a, i)
 
 

@@ -6,9 +6,11 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens import plans
 from corpuslens.functions import text, vector
 from corpuslens.functions import trend as T
 from corpuslens.operators import clusters, enrich, search, trends
+from corpuslens.sources import views
 
 
 def value(spark, column):
@@ -164,3 +166,13 @@ def test_titles_of_common_words_find_candidates(spark):
     for i, a in enumerate(sets):
         near = sorted((-len(a & b) / len(a | b), k) for k, b in enumerate(sets) if 2 * len(a & b) >= len(a | b))
         assert got[i] == {k for _, k in near[:5]}, i
+
+
+def test_quota_and_identities_cover_the_tables(spark):
+    d = "/root/testdata/sf0.01"
+    errors = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'").toPandas()
+    assert plans.QUERIES["quota_split"](spark, d).first().backlog == int((errors.value // 1 - 20).clip(lower=0).sum())
+    links = plans.QUERIES["author_identity_link"](spark, d).collect()
+    authors = {r.author_id for r in views.paper_authors(spark, d).select("author_id").distinct().collect()}
+    assert {r.author_id for r in links} == authors and len(authors) > 60
+    assert len({r.identity for r in links}) == len(links) == len(authors)
