@@ -35,11 +35,11 @@ def candidate_pairs(papers: DataFrame, catalogue: DataFrame, most: int = 50, top
     too few others for that overlap. Works below it are found by tokens that at most
     ``most`` works hold. Titles of equal tokens meet once, as one class.
     """
-    least, salts = MODERATE - 0.0005, 8  # scores are rounded to 3 places
+    least, salts, hot = MODERATE - 0.0005, 8, 10_000  # scores are rounded to 3 places
 
     def classes(df: DataFrame, key: str, name: str) -> DataFrame:
         title = F.array_sort(tokens(F.col("normalized_title")))
-        return df.select(key, title.alias(name)).withColumn(f"{name}_key", F.sha2(F.array_join(name, " "), 256))
+        return df.select(key, title.alias(name)).withColumn(f"{name}_key", F.unhex(F.md5(F.array_join(name, " "))))
 
     own, other = classes(papers, "paper_id", "own"), classes(catalogue, "candidate_id", "other")
     counts = other.select(F.explode("other").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -54,8 +54,8 @@ def candidate_pairs(papers: DataFrame, catalogue: DataFrame, most: int = 50, top
 
     own_sets, left = sides(own, "own")
     other_sets, right = sides(other, "other")
-    left = left.withColumn("salt", F.pmod(F.xxhash64("own_key"), F.lit(salts)))
-    right = right.drop("df").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    left = left.withColumn("salt", F.when(F.col("df") > hot, F.pmod(F.hash("own_key"), F.lit(salts))).otherwise(F.lit(0)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("df") > hot, F.lit(salts - 1)).otherwise(F.lit(0))))).drop("df")
     small, large = F.least("own_size", "other_size"), F.greatest("own_size", "other_size")
     near = F.col("own_prefix") & F.col("other_prefix") & (small >= least * large)
     met = left.join(right, ["token", "salt"]).filter((F.col("df") <= most) | near)
