@@ -41,7 +41,7 @@ def candidate_pairs(papers: DataFrame, catalogue: DataFrame, most: int = 50, top
         title = F.array_sort(tokens(F.col("normalized_title")))
         return df.select(key, title.alias(name)).withColumn(f"{name}_key", F.unhex(F.md5(F.array_join(name, " "))))
 
-    own, other = classes(papers, "paper_id", "own"), classes(catalogue, "candidate_id", "other")
+    own, other = kept(classes(papers, "paper_id", "own")), kept(classes(catalogue, "candidate_id", "other"))
     counts = other.select(F.explode("other").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
     def sides(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
