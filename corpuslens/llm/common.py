@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session names none (tests, a laptop), a temporary folder is set.
-    """
+    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="corpuslens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -37,10 +36,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
-    """Bound what a Python worker holds at once, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int, size: int, column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows and bytes of a text or binary ``column`` at most, or of one row.
+
+    Bounds what a Python worker unpacks at once, whatever the session's own settings are.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            upto = int(np.searchsorted(ends, before + size, side="right"))
+            upto = max(at + 1, min(at + rows, upto))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or the first of ``name_``, ``name__`` and so on that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_batches, filled, read
+from corpuslens.llm.common import batches_of, filled, read
 
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -199,7 +199,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in OUT.split(", ")]
     bucket = before = None
     ended = False
-    for batch in batches:
+    for batch in batches_of(batches, 1000, 4 << 20, "text"):
         out = []
         for b, tail, doc_id, text in zip(*(batch[c].to_pylist() for c in ("__bucket", "__tail", "doc_id", "text"))):
             if b != bucket:
@@ -223,7 +223,6 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the range before as well, so each range finds the document after its last.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 1000, "4m")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     ranges = min(MAX_RANGES, max(MIN_RANGES, -(-total // range_bytes)))

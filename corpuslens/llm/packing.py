@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_batches, filled, materialise, read
+from corpuslens.llm.common import batches_of, filled, materialise, read
 from corpuslens.llm.tokens import units
 
 CAPACITY = 2048
@@ -43,11 +43,10 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def piece_table(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with the checksum of its ids, written once."""
-    arrow_batches(docs.sparkSession, 1000, "4m")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = units(tokenizer)
-        for batch in batches:
+        for batch in batches_of(batches, 1000, 4 << 20, "text"):
             out = []
             for doc_id, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 ids = vocabulary.ids(text) + END

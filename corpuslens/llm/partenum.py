@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_batches, filled, materialise, read
+from corpuslens.llm.common import batches_of, filled, materialise, read
 from corpuslens.llm.graph import components
 
 WORDS = 5
@@ -163,10 +163,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     class_id is the smallest doc_id with an equal set (by a 128-bit hash), null for empty sets.
     """
-    arrow_batches(docs.sparkSession, 1000, "4m")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, 1000, 4 << 20, "text"):
             sets = [shingles(t) for t in batch["text"].to_pylist()]
             keys = np.array([set_key(s) for s in sets], U).reshape(-1, 2).astype(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int64())
@@ -215,7 +214,6 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def shared_signatures(docs: DataFrame, total_shingles: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sig, flag, key) of the signatures that two or more classes have."""
-    arrow_batches(docs.sparkSession, 1000, "4m")
     buckets = max(MIN_BUCKETS, -(-total_shingles * 5 // BUCKET_BYTES))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +229,7 @@ def shared_signatures(docs: DataFrame, total_shingles: int, id_col: str = "doc_i
             held.clear()
             keys.clear()
 
-        for batch in batches:
+        for batch in batches_of(batches, 1000, 4 << 20, "text"):
             sets = []
             first = len(keys)
             for text in batch["text"].to_pylist():
@@ -380,7 +378,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class_id, n, values, sketch) of the classes wanted; texts stream past a hash table of ids."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, 1000, 4 << 20, "text"):
             sets = [shingles(t) for t in batch["text"].to_pylist()]
             values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             columns = [batch["class_id"], pa.array([len(s) for s in sets], pa.int64()), values, pa.array([parity_sketch(s) for s in sets], pa.binary())]

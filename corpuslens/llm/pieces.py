@@ -2,12 +2,15 @@
 
 Over the lattice of vocabulary pieces, forward Viterbi scores give each node the
 best score from the start. A backward A* search from the end uses them as exact
-heuristics, so paths come out best first and none is opened in vain. No piece
-holds a space mark after another character, so a text's lattice falls apart before
-each run of spaces (and around line feeds). Each unit's best path and the loss of
-its second best follow from Viterbi scores both ways, and are remembered; only the
-N - 1 units of a text where a change is cheapest are searched further, since a
-text's N best are the N smallest sums of losses over its units.
+heuristics, so paths come out best first and none is opened in vain: a path taken
+from the heap goes straight on to the start along Viterbi edges, which lose nothing,
+and what it passes by goes into the heap with what it would lose.
+
+No piece holds a space mark after another character, so a text's lattice falls apart
+before each run of spaces (and around line feeds). For each unit the search gives its
+best path and the loss of its second best, both remembered; only the N - 1 units of a
+text where a change is cheapest are searched to N paths, since a text's N best are
+the N smallest sums of losses over its units.
 
 The score of a path is the sum of the model's piece scores (ranks here, so whole
 numbers). A character without a piece costs ``UNKNOWN`` less than the lowest score
@@ -24,10 +27,11 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -35,17 +39,20 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_batches, filled, read
+from corpuslens.llm.common import batches_of, filled, read
 
 MODEL = "piece_bpe_32k.model"
 NBEST = 4
 MARK = "▁"
 UNKNOWN = 10
-#: Units remembered in a Python worker at most.
-REMEMBERED = 400_000
-#: Units longer than this many characters are solved, but not remembered.
+#: Units remembered in a Python worker at most (some 200 MB), and those searched to N paths.
+REMEMBERED = 800_000
+SEARCHED = 100_000
+#: Ids of remembered units at most; N best paths are remembered of units up to so many characters.
+POOL = 8_000_000
 LONG = 16
 LOWEST = -(10**15)
+NO_PATH = 10**15
 UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Stands for a space mark in the text itself; a lone surrogate is in no valid text.
 OWN_MARK = "\ud800"
@@ -54,11 +61,13 @@ Path = tuple[int, tuple[int, ...]]
 
 
 class Lattice(dict):
-    """unit -> (best score, ids of the best path as bytes, what the second best path loses)."""
+    """unit -> its row in the columns ``scores``, ``losses`` (of the second best path), ``ends`` (of the best path's ids in ``pool``)."""
 
     def __init__(self, path: str, nbest: int = NBEST):
         super().__init__()
         self.nbest = nbest
+        self.scores, self.losses, self.ends, self.pool = array("q"), array("q"), array("q", [0]), array("I")
+        self.searched: dict[str, list[tuple[int, bytes]]] = {}
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -72,137 +81,195 @@ class Lattice(dict):
             raise ValueError("a piece holds a space after another character; units can't be cut there")
         #: Pairs of characters inside pieces; between any other two a lattice falls apart.
         self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        #: Pieces by character: each node is (children, (score, ids) or None).
-        self.root: dict = {}
+        self.singles = {p for p in self.pieces if len(p) == 1}
+        #: Finds all pieces in a unit, by their ends.
+        self.finder = ahocorasick.Automaton()
         for p, (i, score) in self.pieces.items():
-            children = self.root
-            for c in p[:-1]:
-                children = children.setdefault(c, [{}, None])[0]
-            children.setdefault(p[-1], [{}, None])[1] = (score, (i,))
-
-    def edges(self, unit: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
-        """(start node, end node, score, ids) by start node. Every character has an edge of its own."""
-        out: list[tuple[int, int, int, tuple[int, ...]]] = []
-        add, root, n = out.append, self.root, len(unit)
-        for i in range(n):
-            node = root.get(unit[i])
-            if node is None or node[1] is None:
-                own = MARK if unit[i] == OWN_MARK else unit[i]
-                add((i, i + 1, self.unknown, tuple([self.bytes[b] for b in own.encode()])))
-            j = i + 1
-            while node is not None:
-                children, found = node
-                if found is not None:
-                    add((i, j, *found))
-                if j == n:
-                    break
-                node = children.get(unit[j])
-                j += 1
-        return out
+            self.finder.add_word(p, (len(p), score, (i,)))
+        self.finder.make_automaton()
+        #: The spelling of each id, end to end, and where it begins and how long it is.
+        spelled = [self.spelled.get(i, b"") for i in range(size)]
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+        self.lengths = np.array([len(x) for x in spelled], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def forward(self, unit: str) -> tuple[list[int], list, list[list]]:
+        """Viterbi scores from the start to each node, the edge that each came by, and all edges into each node.
+
+        An edge is (start node, score, ids). Every character has an edge of its own. Of
+        equal scores the smaller ids win: no path's ids begin with all of another's.
+        """
+        n = len(unit)
+        best, back = [0] * (n + 1), [None] * (n + 1)
+        into: list[list] = [[] for _ in range(n + 1)]
+        for last, (length, score, ids) in self.finder.iter(unit):
+            into[last + 1].append((last + 1 - length, score, ids))
+        if not self.singles.issuperset(unit):
+            for i, c in enumerate(unit):
+                if c not in self.singles:
+                    into[i + 1].append((i, self.unknown, tuple([self.bytes[b] for b in (MARK if c == OWN_MARK else c).encode()])))
+        for j in range(1, n + 1):
+            top, by = LOWEST, None
+            for edge in into[j]:
+                score = best[edge[0]] + edge[1]
+                if score > top or score == top and self.earlier(back, edge, by):
+                    top, by = score, edge
+            best[j], back[j] = top, by
+        return best, back, into
 
     @staticmethod
-    def forward(edges: list, n: int) -> list[int]:
-        """Viterbi scores: the best from the start to each node."""
-        best = [LOWEST] * (n + 1)
-        best[0] = 0
-        for i, j, s, _ in edges:
-            if best[i] + s > best[j]:
-                best[j] = best[i] + s
-        return best
-
-    def paths(self, unit: str) -> list[Path]:
+    def earlier(back: list, one: tuple, other: tuple) -> bool:
+        """Whether the Viterbi path that ends with edge ``one`` has smaller ids than that with ``other``; both are followed back to where they meet."""
+        a, b = [one[2]], [other[2]]
+        at, to = one[0], other[0]
+        while at != to:
+            if at > to:
+                at, _, ids = back[at]
+                a.append(ids)
+            else:
+                to, _, ids = back[to]
+                b.append(ids)
+        return [x for own in reversed(a) for x in own] < [x for own in reversed(b) for x in own]
+
+    def paths(self, unit: str, nbest: int) -> list[Path]:
         """The N best (score, ids), best first: backward A* with the forward scores as exact heuristics."""
-        edges, n = self.edges(unit), len(unit)
-        best = self.forward(edges, n)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i, j, s, ids in edges:
-            into[j].append((i, s, ids))
+        best, back, into = self.forward(unit)
         found: list[Path] = []
-        # Of equal scores the path nearest to the start goes on, so ties end quickly; a path links to what follows it.
-        heap: list[tuple] = [(-best[-1], n, 0, 0, None)]
+        # What a path loses, order of pushing, the node it leads back to, and the ids from there on.
+        heap: list[tuple] = [(0, 0, len(unit), None)]
         pushed = 0
-        while heap and len(found) < self.nbest:
-            cost, at, _, done, after = heapq.heappop(heap)
-            if not at:
-                ids: list[int] = []
-                while after:
-                    ids += after[0]
-                    after = after[1]
-                found.append((-cost, tuple(ids)))
-                continue
-            for i, s, own in into[at]:
-                pushed += 1
-                heapq.heappush(heap, (-(best[i] + s + done), i, pushed, done + s, (own, after)))
+        while heap and len(found) < nbest:
+            loss, _, at, after = heapq.heappop(heap)
+            while at:
+                follow, top = back[at], best[at]
+                if len(found) + 1 < nbest:
+                    for edge in into[at]:
+                        if edge is not follow:
+                            pushed += 1
+                            heapq.heappush(heap, (loss + top - best[edge[0]] - edge[1], pushed, edge[0], (edge[2], after)))
+                at, after = follow[0], (follow[2], after)
+            ids: list[int] = []
+            while after:
+                ids += after[0]
+                after = after[1]
+            found.append((best[-1] - loss, tuple(ids)))
         return found
 
-    def __missing__(self, unit: str) -> tuple[int, bytes, int]:
-        """The best path, and what the second best loses: it has an edge that the best lacks, so it is the best path through such an edge."""
+    def solve(self, unit: str) -> tuple[int, int, list[int]]:
+        """The first path of the search, score and ids, and between them what the next one in its heap loses."""
         n = len(unit)
         pairs = self.pairs
         cuts = [k for k in range(1, n) if unit[k - 1 : k + 1] not in pairs]
         if cuts:
-            parts = [self[unit[i:j]] for i, j in zip([0, *cuts], [*cuts, n])]
-            entry = (sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), min([p[2] for p in parts]))
-            if len(self) < REMEMBERED and n <= LONG:
-                self[unit] = entry
-            return entry
-        edges = self.edges(unit)
-        best = self.forward(edges, n)
-        rest = [LOWEST] * n + [0]
-        step: list[tuple] = [()] * n
-        for edge in reversed(edges):
-            i, j, s, ids = edge
-            through = s + rest[j]
-            if through > rest[i] or through == rest[i] and ids < step[i][3]:
-                rest[i] = through
-                step[i] = edge
-        ids: list[int] = []
-        at = 0
-        used = set()
-        while at < n:
-            edge = step[at]
-            used.add(id(edge))
-            ids += edge[3]
-            at = edge[1]
-        second = max([best[e[0]] + e[2] + rest[e[1]] for e in edges if id(e) not in used], default=LOWEST)
-        entry = (best[n], array("I", ids).tobytes(), best[n] - second)
-        if len(self) < REMEMBERED and n <= LONG:
-            self[unit] = entry
-        return entry
+            rows = [self[unit[i:j]] for i, j in zip([0, *cuts], [*cuts, n])]
+            ids = [x for r in rows for x in self.pool[self.ends[r] : self.ends[r + 1]]]
+            return sum([self.scores[r] for r in rows]), min([self.losses[r] for r in rows]), ids
+        best, back, into = self.forward(unit)
+        at, loss, parts = n, NO_PATH, []
+        while at:
+            follow, top = back[at], best[at]
+            for edge in into[at]:
+                if edge is not follow and (x := top - best[edge[0]] - edge[1]) < loss:
+                    loss = x
+            parts.append(follow[2])
+            at = follow[0]
+        return best[n], loss, [x for own in reversed(parts) for x in own]
+
+    def __missing__(self, unit: str) -> int:
+        score, loss, ids = self.solve(unit)
+        row = len(self.scores)
+        self.scores.append(score)
+        self.losses.append(loss)
+        self.pool.extend(ids)
+        self.ends.append(len(self.pool))
+        if row < REMEMBERED:
+            self[unit] = row
+        return row
+
+    def forget(self) -> None:
+        """Drop the rows that are not remembered, or all where long units have filled the memory."""
+        if self.ends[min(REMEMBERED, len(self.scores))] > POOL:
+            self.clear()
+            self.scores, self.losses, self.ends, self.pool = array("q"), array("q"), array("q", [0]), array("I")
+        del self.scores[REMEMBERED:], self.losses[REMEMBERED:], self.ends[REMEMBERED + 1 :], self.pool[self.ends[-1] :]
+
+    def changes(self, unit: str) -> list[tuple[int, bytes]]:
+        """(loss, ids) of the second to the N-th best path of a unit."""
+        known = self.searched.get(unit)
+        if known is None:
+            (top, _), *others = self.paths(unit, self.nbest)
+            known = [(top - score, array("I", ids).tobytes()) for score, ids in others]
+            if len(unit) <= LONG and len(self.searched) < SEARCHED:
+                self.searched[unit] = known
+        return known
 
     def nbest_of(self, text: str) -> list[tuple[int, bytes]]:
         """(score, ids as little-endian unsigned 32-bit bytes) of the N best segmentations of a text."""
-        if not text:
-            return [(0, b"")]
-        if MARK in text:
-            text = text.replace(MARK, OWN_MARK)
-        units = UNITS.findall(MARK + text.replace(" ", MARK))
-        own = [self[u] for u in units]
-        best = [e[1] for e in own]
-        score = sum([e[0] for e in own])
-        # Of single changes only the N - 1 cheapest can matter: no sum without them is cheaper.
-        cheap = heapq.nsmallest(self.nbest - 1, zip([e[2] for e in own], range(len(own))))
-        sums: list[tuple[int, tuple[tuple[int, bytes], ...]]] = [(0, ())]
-        for loss, k in cheap:
-            if loss > -LOWEST // 2:  # no second path
-                continue
-            others = [(own[k][0] - s, array("I", ids).tobytes()) for s, ids in self.paths(units[k])]
-            options = [(0, b""), *[x for x in others if x[1] != best[k]][: self.nbest - 1]]
-            sums = heapq.nsmallest(
-                self.nbest, ((a + x, (*changes, (k, ids)) if ids else changes) for a, changes in sums for x, ids in options), key=lambda c: c[0]
-            )
-        out = [(score, b"".join(best))]
-        for loss, changes in sums[1:]:
-            changed = best.copy()
-            for k, ids in changes:
-                changed[k] = ids
-            out.append((score - loss, b"".join(changed)))
+        return self.nbest_of_all([text])[0]
+
+    def nbest_of_all(self, texts: list[str]) -> list[list[tuple[int, bytes]]]:
+        """``nbest_of`` of each text."""
+        units: list[str] = []
+        counts = []
+        for text in texts:
+            own = UNITS.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
+            units += own
+            counts.append(len(own))
+        rows = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        scores, losses, ends = (np.frombuffer(x, np.int64)[rows + k] for x, k in ((self.scores, 0), (self.losses, 0), (self.ends, 1)))
+        starts = np.frombuffer(self.ends, np.int64)[rows]
+        lengths = ends - starts
+        upto = np.r_[0, np.cumsum(lengths)]
+        at = np.arange(upto[-1]) + np.repeat(starts - upto[:-1], lengths)
+        pool = np.frombuffer(self.pool, np.uint32)[at].astype("<u4").tobytes()
+        total = np.r_[0, np.cumsum(scores)]
+        self.forget()
+        out, end = [], 0
+        for n in counts:
+            begin, end = end, end + n
+            low, high = int(upto[begin]), int(upto[end])
+            best = pool[4 * low : 4 * high]
+            score = int(total[end] - total[begin])
+            found = [(score, best)]
+            for loss, changes in self.cheapest(units[begin:end], losses[begin:end]):
+                ids = best
+                for k, own in sorted(changes, reverse=True):  # from the end, so that places before stay
+                    a, b = int(upto[begin + k]) - low, int(upto[begin + k + 1]) - low
+                    ids = ids[: 4 * a] + own + ids[4 * b :]
+                found.append((score - loss, ids))
+            out.append(found)
         return out
 
+    def cheapest(self, units: list[str], losses: np.ndarray) -> list[tuple[int, tuple[tuple[int, bytes], ...]]]:
+        """(loss, changes of units) of the second to the N-th best segmentation of a text.
+
+        Of single changes only the N - 1 cheapest can matter: no sum without them is cheaper.
+        """
+        sums: list[tuple[int, tuple[tuple[int, bytes], ...]]] = [(0, ())]
+        losses = losses.copy()
+        for _ in range(min(self.nbest - 1, len(units))):
+            k = int(losses.argmin())
+            if losses[k] == NO_PATH:
+                break
+            losses[k] = NO_PATH
+            options = [(0, b""), *self.changes(units[k])]
+            both = [(a + x, (*changes, (k, ids)) if ids else changes) for a, changes in sums for x, ids in options]
+            sums = sorted(both, key=itemgetter(0))[: self.nbest]
+        return sums[1:]
+
+    def spell(self, segmentations: list[bytes]) -> list[bytes]:
+        """The UTF-8 text of each segmentation, all at once; the space mark that begins each text is left out."""
+        ids = np.frombuffer(b"".join(segmentations), "<u4").astype(np.int64)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        data = self.letters[at].tobytes()
+        bounds = np.r_[0, ends][np.cumsum([0, *(len(x) // 4 for x in segmentations)])].tolist()
+        return [data[a:b].removeprefix(b" ") for a, b in zip(bounds, bounds[1:])]
+
     def decode(self, ids: bytes) -> str:
         """The text of a segmentation."""
-        data = b"".join([self.spelled[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        return data.decode().removeprefix(" ")
+        return self.spell([ids])[0].decode()
 
 
 _lattices: dict[tuple[str, int], Lattice] = {}
@@ -217,31 +284,26 @@ def lattice(path: str | None = None, nbest: int = NBEST) -> Lattice:
 
 
 ENCODED = "doc_id long, segmentations array<struct<score:long,ids:binary>>, intact boolean"
+SEGMENTATION = pa.struct([("score", pa.int64()), ("ids", pa.binary())])
 
 
-def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """One row per document: its N best segmentations, and whether the best decodes to the text.
-
-    With ``ids`` False a segmentation carries piece count and checksum in place of ids.
-    """
-    arrow_batches(docs.sparkSession, 500, "2m")
-    inner = pa.struct([("score", pa.int64()), ("ids", pa.binary())] if ids else [("score", pa.int64()), ("pieces", pa.int64()), ("crc32", pa.int64())])
-    schema = ENCODED if ids else ENCODED.replace("ids:binary", "pieces:long,crc32:long")
+def encode(docs: DataFrame, nbest: int = NBEST, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its N best segmentations, and whether all of them decode to the text."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattice(model, nbest)
-        for batch in batches:
+        for batch in batches_of(batches, 200, 1 << 20, "text"):
             texts = batch["text"].to_pylist()
-            solved = [pieces.nbest_of(t) for t in texts]
-            intact = [pieces.decode(s[0][1]) == t for s, t in zip(solved, texts)]
-            if ids:
-                rows = [[{"score": score, "ids": x} for score, x in s] for s in solved]
-            else:
-                rows = [[{"score": score, "pieces": len(x) // 4, "crc32": zlib.crc32(x)} for score, x in s] for s in solved]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(inner)), pa.array(intact)], ["doc_id", "segmentations", "intact"])
+            solved = pieces.nbest_of_all(texts)
+            spelled = pieces.spell([ids for s in solved for _, ids in s])
+            wanted = [t.encode("utf-8", "surrogatepass") for t in texts]
+            at = np.cumsum([0, *map(len, solved)]).tolist()
+            intact = [all([x == t for x in spelled[a:b]]) for t, a, b in zip(wanted, at, at[1:])]
+            flat = pa.StructArray.from_arrays([pa.array([x for s in solved for x, _ in s], pa.int64()), pa.array([x for s in solved for _, x in s], pa.binary())], fields=list(SEGMENTATION))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(intact, pa.bool_())], ["doc_id", "segmentations", "intact"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
-    return rows.mapInArrow(solve, schema)
+    return narrow.mapInArrow(solve, ENCODED)
 
 
 def decode(segmented: DataFrame, model: str | None = None) -> DataFrame:
@@ -257,10 +319,10 @@ def decode(segmented: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's N best segmentations of its whole text, as scores, piece counts and checksums."""
-    rows = encode(read(spark, sf_dir, "documents"), ids=False)
+    """Every document's N best segmentations of its whole text: scores and ids (little-endian unsigned 32-bit), all decoded again."""
+    rows = encode(read(spark, sf_dir, "documents"))
     each = F.col("segmentations")
     return rows.select(
-        "doc_id", F.size(each).cast("long").alias("n_segmentations"), each[0]["pieces"].alias("n_pieces"), each[0]["score"].alias("best_score"),
-        F.transform(each, lambda s: s["score"]).alias("scores"), F.transform(each, lambda s: s["crc32"]).alias("ids_crc32"), "intact",
+        "doc_id", F.size(each).cast("long").alias("n_segmentations"), (F.octet_length(each[0]["ids"]) / 4).cast("long").alias("n_pieces"),
+        each[0]["score"].alias("best_score"), F.transform(each, lambda s: s["score"]).alias("scores"), F.transform(each, lambda s: s["ids"]).alias("ids"), "intact",
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_batches, filled, materialise, read
+from corpuslens.llm.common import batches_of, filled, materialise, read
 
 FEATURES = 256
 RIDGE = 1.0
@@ -79,10 +79,8 @@ def statistics(text: str) -> list[float]:
 
 def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stats) of every document, written once."""
-    arrow_batches(docs.sparkSession)
-
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, 1000, 4 << 20, "text"):
             rows = [statistics(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(rows, pa.list_(pa.float64()))], ["id", "stats"])
 

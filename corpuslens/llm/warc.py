@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_batches, filled, materialise, new_path, read
+from corpuslens.llm.common import batches_of, filled, materialise, new_path, read
 
 MIN_BYTES = 1000
 SALTS = 16
@@ -112,12 +112,11 @@ def _page(urn: str | None) -> int | None:
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row per record; ``intact``: the payload read has the digest of its header. ``payload`` adds the html."""
-    arrow_batches(spark, 1, "1m")  # an archive at a time
     names = [c.split()[0] for c in RECORDS.split(", ")] + ["html"] * payload
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, 1, 1 << 20, "content"):  # an archive at a time
             for content in batch["content"]:
                 out = []
                 for head, block in parse(gzip.decompress(content.as_py())):
