@@ -20,9 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths that this process has named and not yet removed.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what operators have written to the shared folder; for when their results are stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -5,15 +5,17 @@ primes. Any two spans are compared in constant time, and the longest common
 extension of two positions is found by binary search. An edit that joins two
 texts needs no new pass: its prefix hashes follow from the arrays of its parts.
 
-The fingerprint of a text is its length, its whole hash, and hashes of prefixes
-and suffixes at every multiple of a power-of-two stride (64 at most of each), and the
-32 smallest hashes of its spans of 32 code points. Likeness compares fingerprints
-alone: binary search over the shared grid gives the longest common prefix and
-suffix, to within a stride, as a share of the longer text; the smallest span
-hashes estimate the share of spans in common, wherever they stand. The larger counts.
+The fingerprint of a text is its length, its whole hash and ``GRID`` hashes from its
+prefix array. Likeness is the share of a text that longest common extensions with the
+other cover: from both starts, back from both ends, and from where spans of 32 code
+points at ``ANCHORS`` even places between stand in the other text as well. Each extension is
+found by binary search over the prefix arrays of both.
+
+Documents are dealt by ranges of ids that Spark samples, and each meets the next in
+its range; the last one of a range meets the first one of the next range in a second, small step.
 
 Cases: null text is empty; two empty texts have likeness 1, an empty and another
-0; repeated rows and equal ids follow one another ordered by text; a null id sorts
+0; repeated rows and equal ids follow one another ordered by a hash of their texts; a null id sorts
 first; a single document is its own next; an empty table gives no rows; other
 columns are ignored.
 """
@@ -22,23 +24,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import batches_of, filled, read
+from corpuslens.llm.common import batches_of, filled, materialise, read
 
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
-GRID = 64
+GRID = 16
+ANCHORS = 32
 SPAN = 32
-SMALLEST = 32
+SLOTS = 4096
 RANGE_BYTES = 16 << 20
-MIN_RANGES, MAX_RANGES = 64, 8192
-STEP = 64
+MIN_RANGES = 64
 LEAST = -(2**63)
 
 
@@ -83,18 +86,44 @@ class Prefixes:
             for a, b, p in zip(self.prefix(starts), self.prefix(ends), POWERS)
         ]
 
+    def at(self, k: int, i: int) -> int:
+        """Hash ``k`` of the first ``i`` code points."""
+        return int(self.sums[k][i]) % MODULI[k]
+
     def equal(self, i: int, other: Prefixes, j: int, length: int) -> bool:
-        one = self.spans(np.array([i]), np.array([i + length]))
-        two = other.spans(np.array([j]), np.array([j + length]))
-        return all(int(a[0]) == int(b[0]) for a, b in zip(one, two))
+        """Whether the spans of a length at ``i`` here and at ``j`` there are the same."""
+        for k, (m, p) in enumerate(zip(MODULI, POWERS)):
+            one = (self.at(k, i + length) - self.at(k, i)) * int(p.up[j])
+            two = (other.at(k, j + length) - other.at(k, j)) * int(p.up[i])
+            if (one - two) % m:
+                return False
+        return True
 
     def common_extension(self, i: int, other: Prefixes, j: int) -> int:
         """Length of the longest common span that begins at ``i`` here and at ``j`` there."""
-        low, high = 0, min(self.n - i, other.n - j)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.equal(i, other, j, mid) else (low, mid - 1)
-        return low
+        return _longest(min(self.n - i, other.n - j), lambda length: self.equal(i, other, j, length))
+
+    def common_ending(self, i: int, other: Prefixes, j: int) -> int:
+        """Length of the longest common span that ends at ``i`` here and at ``j`` there."""
+        return _longest(min(i, j), lambda length: self.equal(i - length, other, j - length, length))
+
+    @cached_property
+    def sliding(self) -> np.ndarray:
+        """Hashes of all spans of SPAN code points."""
+        starts = np.arange(max(0, self.n - SPAN + 1))
+        return self.spans(starts, starts + SPAN)[0]
+
+
+def _longest(most: int, same: Callable[[int], bool]) -> int:
+    """The largest length up to ``most`` for which ``same`` holds, as it does for all smaller ones: doubling, then binary search."""
+    low, high = 0, 1
+    while high <= most and same(high):
+        low, high = high, 2 * high
+    high = min(high - 1, most)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if same(mid) else (low, mid - 1)
+    return low
 
 
 class Joined(Prefixes):
@@ -113,104 +142,103 @@ class Joined(Prefixes):
             for a, b, p in zip(self.head.prefix(inside), self.tail.prefix(beyond), POWERS)
         ]
 
+    def at(self, k: int, i: int) -> int:
+        if i <= self.keep:
+            return self.head.at(k, i)
+        return (self.head.at(k, self.keep) + self.tail.at(k, i - self.keep) * int(POWERS[k].up[self.keep])) % MODULI[k]
 
-class Fingerprint:
-    """Length, whole hash, stride, and 24-bit hashes of prefixes and suffixes on the grid."""
-
-    def __init__(self, text: Prefixes):
-        n = self.n = text.n
-        self.stride = 1 << max(0, (-(-n // GRID) - 1).bit_length())
-        steps = np.arange(self.stride, n + 1, self.stride)
-        whole = [int(x[0]) for x in text.prefix(np.array([n]))]
-        self.whole = f"{whole[0]:08x}{whole[1]:08x}"
-        self.prefixes = self._short(text.prefix(steps))
-        self.suffixes = self._short(text.spans(n - steps, np.full(len(steps), n)))
-        starts = np.arange(max(0, n - SPAN + 1))
-        spans = text.spans(starts, starts + SPAN)[0] * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
-        if len(spans) > 8 * SMALLEST:  # most spans differ: look at the lowest part first
-            low = np.unique(np.partition(spans, 4 * SMALLEST)[: 4 * SMALLEST])
-            spans = low if len(low) >= SMALLEST else spans
-        self.smallest = np.unique(spans)[:SMALLEST]
-
-    @staticmethod
-    def _short(hashes: list[np.ndarray]) -> np.ndarray:
-        return (hashes[0] ^ (hashes[1] >> np.uint64(7))) & np.uint64(0xFFFFFF)
-
-    def __str__(self) -> str:
-        grids = (base64.b64encode(np.ascontiguousarray(g.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()).decode() for g in (self.prefixes, self.suffixes))
-        smallest = base64.b64encode(self.smallest.astype(">u4").tobytes()).decode()
-        return ":".join([str(self.n), self.whole, *grids, smallest])
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Leading entries in common, by binary search: equal prefixes have equal prefixes."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[mid - 1] == b[mid - 1] else (low, mid - 1)
-    return low
+
+def fingerprint_of(text: Prefixes) -> str:
+    """Length, whole hash, and 24-bit hashes of the prefixes at every multiple of a power-of-two stride."""
+    n = text.n
+    stride = 1 << max(0, (-(-n // GRID) - 1).bit_length())
+    one, two = text.prefix(np.arange(stride, n + 1, stride))
+    short = (one ^ (two >> np.uint64(7))) & np.uint64(0xFFFFFF)
+    grid = np.ascontiguousarray(short.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
+    return f"{n}:{text.at(0, n):08x}{text.at(1, n):08x}:{base64.b64encode(grid).decode()}"
 
 
-def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    if a.n == b.n and a.whole == b.whole:
+def likeness(a: Prefixes, b: Prefixes) -> float:
+    """The share of ``a``, of the longer text, that common extensions with ``b`` cover; 1 for equal texts only."""
+    if a.n == b.n and a.equal(0, b, 0, a.n):
         return 1.0
     if not a.n or not b.n:
         return 0.0
-    stride = max(a.stride, b.stride)
-    own, other = stride // a.stride, stride // b.stride
-    same = _shared(a.prefixes[own - 1 :: own], b.prefixes[other - 1 :: other])
-    same += _shared(a.suffixes[own - 1 :: own], b.suffixes[other - 1 :: other])
-    extension = min(same * stride, a.n, b.n) / (max(a.n, b.n) + 1)
-    union = np.union1d(a.smallest, b.smallest)[:SMALLEST]
-    both = np.isin(union, a.smallest) & np.isin(union, b.smallest)
-    return max(extension, min(float(both.mean()), a.n / (a.n + 1)) if len(union) else 0.0)
-
-
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below ``key`` (0 for null): first among every STEPth, then among STEP."""
-    if not bounds:
-        return F.lit(0)
-
-    def below(part: Column) -> Column:
-        return F.size(F.filter(part, lambda b: b <= key))
-
-    skip = F.greatest(below(F.lit(bounds[::STEP])) - 1, F.lit(0)) * STEP
-    return F.when(key.isNull(), 0).otherwise(skip + below(F.slice(F.lit(bounds), skip + 1, F.lit(STEP))))
+    low = a.common_extension(0, b, 0)
+    back = min(a.common_ending(a.n, b, b.n), min(a.n, b.n) - low)
+    high = a.n - back
+    covered = low + back
+    if high - low >= SPAN <= b.n:
+        places = np.unique(np.linspace(low, high - SPAN, ANCHORS).astype(np.int64))
+        own = a.spans(places, places + SPAN)[0]
+        slots = np.zeros(SLOTS, bool)
+        slots[own % np.uint64(SLOTS)] = True
+        there = np.flatnonzero(slots[b.sliding % np.uint64(SLOTS)])
+        first = dict(zip(b.sliding[there[::-1]].tolist(), there[::-1].tolist()))
+        for i, span in zip(places.tolist(), own.tolist()):
+            j = first.get(span)
+            if i < low or j is None:
+                continue
+            ahead = min(a.common_extension(i, b, j), high - i)
+            behind = min(a.common_ending(i, b, j), i - low)
+            covered += ahead + behind
+            low = i + ahead
+    longest = max(a.n, b.n)
+    return min(covered, longest - 1) / longest
 
 
 OUT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 )
 OUT_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: A range's rows, and its first and last document with their texts.
+WALKED = OUT + ", kind int, range int, text string"
+ROW, FIRST, LAST = 0, 1, 2
 
 
 def _row(doc: tuple, following: tuple) -> tuple:
-    doc_id, text, hashes, print_ = doc
-    _, next_text, next_hashes, next_print = following
+    doc_id, text, hashes = doc
+    _, next_text, next_hashes = following
     n = hashes.n
     take = min(n // 2, next_hashes.n)
-    edited = Fingerprint(Joined(hashes, n - n // 2, next_hashes, take))
+    edited = Joined(hashes, n - n // 2, next_hashes, take)
     digest = hashlib.sha256((text[: n - n // 2] + next_text[:take]).encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, n, digest, str(print_), str(edited), likeness(print_, edited), likeness(print_, next_print)
+    return doc_id, n, digest, fingerprint_of(hashes), fingerprint_of(edited), likeness(hashes, edited), likeness(hashes, next_hashes)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket in order; each document meets the next, and a bucket ends with the first of the next bucket."""
-    names = [c.split()[0] for c in OUT.split(", ")]
-    bucket = before = None
-    ended = False
-    for batch in batches_of(batches, 1000, 4 << 20, "text"):
+    """The rows of one range come in order, and each document meets the next."""
+    names = [c.split()[0] for c in WALKED.split(", ")]
+    kinds = [*OUT_TYPES, pa.int32(), pa.int32(), pa.string()]
+    before, place = None, None
+
+    def edge(kind: int, doc: tuple) -> tuple:
+        return (doc[0], *[None] * 6, kind, place, doc[1])
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    for batch in batches_of(batches, 500, 4 << 20, "text"):
         out = []
-        for b, tail, doc_id, text in zip(*(batch[c].to_pylist() for c in ("__bucket", "__tail", "doc_id", "text"))):
-            if b != bucket:
-                bucket, before, ended = b, None, False
-            if ended:
-                continue
-            hashes = Prefixes(text)
-            doc = (doc_id, text, hashes, Fingerprint(hashes))
+        for number, doc_id, text in zip(*(batch[c].to_pylist() for c in ("range", "doc_id", "text"))):
+            doc = (doc_id, text, Prefixes(text))
             if before:
-                out.append(_row(before, doc))
-            before, ended = doc, tail
+                out.append((*_row(before, doc), ROW, None, None))
+            else:
+                place = number
+                out.append(edge(FIRST, doc))
+            before = doc
+        yield rows(out)
+    if before:
+        yield rows([edge(LAST, before)])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last document of a range with the first of the next one."""
+    names = [c.split()[0] for c in OUT.split(", ")]
+    for batch in batches_of(batches, 500, 4 << 20, "text"):
+        columns = (batch[c].to_pylist() for c in ("doc_id", "text", "next_text"))
+        out = [_row((doc_id, text, Prefixes(text)), (None, after, Prefixes(after))) for doc_id, text, after in zip(*columns)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), OUT_TYPES)], names)
 
@@ -218,30 +246,23 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per document with its fingerprint, that of the text edited with the next document, and likenesses.
 
-    Documents are dealt by ranges of ids, whose bounds are quantiles (one number
-    for each ``range_bytes`` of text, ``MAX_RANGES`` at most; a range is streamed, so its size bounds nothing in memory). The first documents of a range are sent to
-    the range before as well, so each range finds the document after its last.
+    The driver learns which ranges have documents: one number for each ``range_bytes`` of text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    ranges = min(MAX_RANGES, max(MIN_RANGES, -(-total // range_bytes)))
-    bounds = rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)
-    keyed = rows.withColumn("__order", F.coalesce("doc_id", F.lit(LEAST))).withColumn(
-        "__bucket", _bucket(F.col("doc_id"), sorted({int(x) for x in bounds}))
-    )
-    firsts = sorted((r["__bucket"], r["first"]) for r in keyed.groupBy("__bucket").agg(F.min("__order").alias("first")).collect())
-    first_of, before = [LEAST] * ranges, [0] * ranges
-    for i, (bucket, first) in enumerate(firsts):
-        first_of[bucket], before[bucket] = first, firsts[i - 1][0]
-    at = F.col("__bucket") + 1
-    tails = F.when(F.element_at(F.lit(first_of), at) == F.col("__order"), F.element_at(F.lit(before), at))
-    here = F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("tail"))
-    there = F.struct(tails.alias("bucket"), F.lit(True).alias("tail"))
-    copies = F.explode(F.when(tails.isNull(), F.array(here)).otherwise(F.array(here, there))).alias("c")
-    dealt = keyed.select("doc_id", "text", "__order", copies).select("doc_id", "text", "__order", F.col("c.bucket").alias("__bucket"), F.col("c.tail").alias("__tail"))
-    ordered = dealt.repartition("__bucket").sortWithinPartitions("__bucket", "__tail", "__order", "text")
-    return ordered.mapInArrow(_walk, OUT)
+    rows = rows.withColumns({"at": F.coalesce("doc_id", F.lit(LEAST)), "tie": F.xxhash64("text")})
+    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
+    ranges = max(MIN_RANGES, -(-total // range_bytes))
+    ordered = rows.repartitionByRange(ranges, "at", "tie").sortWithinPartitions("at", "tie", "text")
+    walked = ordered.select("doc_id", "text", F.spark_partition_id().alias("range")).mapInArrow(_walk, WALKED)
+    walked = materialise(walked, "fingerprints")
+    names = [c.split()[0] for c in OUT.split(", ")]
+    firsts = walked.filter(F.col("kind") == FIRST).select(F.col("range").alias("following"), F.col("text").alias("next_text"))
+    lasts = walked.filter(F.col("kind") == LAST).select("doc_id", "text", "range")
+    used = sorted(r["following"] for r in firsts.select("following").collect())
+    order = spark.createDataFrame(list(zip(used, used[1:] + used[:1])), "range int, following int")
+    meet = lasts.join(order, "range").join(firsts, "following").select("doc_id", "text", "next_text").mapInArrow(_meet, OUT)
+    return walked.filter(F.col("kind") == ROW).select(*names).unionByName(meet)
 
 
 def op4_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

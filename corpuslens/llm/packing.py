@@ -4,10 +4,11 @@ A bin is filled greedily (largest piece that fits, again and again); then its
 smallest piece gives way to two unpacked pieces that together fit the expanded
 gap more tightly. Bins depend on lengths alone, so the plan is made on the
 histogram of lengths, which has ``capacity`` entries however large the corpus:
-each distinct filling is planned once with the number of times it is used. Pieces
-then find their place by their rank among the pieces of their length. Ranks are
-counted in ``lanes`` hashed lanes per length, so a length that a third of all
-pieces have is no single task's work.
+each distinct filling is planned once with the number of times it is used, and uses up
+a length, so there are no more fillings than lengths. Pieces then find their place by
+their rank among the pieces of their length. Ranks are counted in hashed lanes, the more
+the more pieces have a length, so a length that a third of all pieces have is no single
+task's work.
 
 Cases: null text is empty and gives the end id alone; a document over the
 capacity is cut, its first piece taking the remainder; repeated rows are packed
@@ -29,7 +30,10 @@ from corpuslens.llm.tokens import units
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-LANES = 64
+#: Rows of a length that are ranked together, about.
+LANE_ROWS = 50_000
+#: Shares of all tokens that are packed by greedy filling alone, one after the other.
+LAST_SHARES = (0, 1 / 256, 1 / 64, 1 / 16, 1 / 4, 1)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
@@ -60,7 +64,28 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times used, lengths in a bin) that use up ``counts`` exactly."""
+    """(times used, lengths in a bin) that use up ``counts`` exactly.
+
+    Replacing uses up small pieces that the last bins could want. So the plan is also made with
+    the last ``share`` of all tokens filled greedily alone, and the one of fewest bins is taken;
+    with all of them filled so, that is first fit by decreasing length, which bounds it.
+    """
+    volume = sum(length * n for length, n in counts.items())
+    best: list[tuple[int, list[int]]] = []
+    fewest = None
+    for share in LAST_SHARES:
+        made = _plan(counts, capacity, int(share * volume))
+        bins = sum(times for times, _ in made)
+        if fewest is None or bins < fewest:
+            best, fewest = made, bins
+        if fewest * capacity < volume + capacity:  # no plan has fewer
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, last: int) -> list[tuple[int, list[int]]]:
+    """One plan; with ``last`` tokens left or fewer, bins are filled without replacing."""
+    volume = sum(length * n for length, n in counts.items())
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -99,7 +124,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
             filled_with.append(x)
             used[x] = used.get(x, 0) + 1
             gap -= x
-        if gap and len(filled_with) > 1:
+        if gap and len(filled_with) > 1 and volume > last:
             small = filled_with[-1]
             used[small] -= 1
             if pair := best_pair(gap + small, small, used):
@@ -111,21 +136,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
         times = int(min(left[x] // n for x, n in used.items() if n))
         for x, n in used.items():
             left[x] -= n * times
+            volume -= x * n * times
         plans.append((times, sorted(filled_with, reverse=True)))
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, lanes: int = LANES) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, lane_rows: int = LANE_ROWS) -> DataFrame:
     """``pieces`` with sequence_id and offset. The driver sees one count per length and lane."""
-    laned = pieces.withColumn("__lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lanes)).cast("int"))
+    per_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    lanes = [max(1, -(-per_length.get(length, 0) // lane_rows)) for length in range(capacity + 1)]
+    own_lanes = F.element_at(F.lit(lanes), F.col("length") + 1)
+    laned = pieces.withColumn("__lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own_lanes).cast("int"))
     counted = laned.groupBy("length", "__lane").agg(F.count("*").alias("n")).collect()
-    per_length: dict[int, int] = {}
-    lane_start = {}
-    for row in sorted(counted, key=lambda r: (r["length"], r["__lane"])):
-        lane_start[row["length"], row["__lane"]] = per_length.get(row["length"], 0)
-        per_length[row["length"]] = per_length.get(row["length"], 0) + row["n"]
-    firsts = np.zeros((capacity + 1, lanes), np.int64)
-    for (length, lane), start in lane_start.items():
-        firsts[length, lane] = start
+    # From which rank of its length each lane counts: lanes stand end to end, length by length.
+    begin = np.cumsum([0, *lanes])
+    firsts = np.zeros(begin[-1], np.int64)
+    for row in counted:
+        firsts[begin[row["length"]] + row["__lane"]] = row["n"]
+    ends = np.cumsum(firsts)
+    firsts = ends - firsts - np.repeat(np.r_[0, ends][begin[:-1]], lanes)
     # Per length: from which rank a filling takes pieces, how many at a time, its first sequence and offset.
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     taken: dict[int, int] = {}
@@ -143,7 +171,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, lanes: int = LANES) -> Da
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch["length"].to_numpy()
-            rank = firsts[length, batch["__lane"].to_numpy()] + batch["__rank"].to_numpy() - 1
+            rank = firsts[begin[length] + batch["__lane"].to_numpy()] + batch["__rank"].to_numpy() - 1
             order = np.argsort(length, kind="stable")
             sequence_id, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):

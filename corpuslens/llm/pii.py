@@ -3,7 +3,7 @@
 Base: emails, IP addresses, payment cards and phone numbers by pattern. Each
 value found is a protected entity. Over the whole corpus, document counts of
 entities, terms and entity-term pairs (a term within ``WINDOW`` words of a
-mention) give the pointwise mutual information of a term with an entity. Divided
+mention, however far they reach) give the pointwise mutual information of a term with an entity. Divided
 by the entity's information content it says which share of the entity the term
 discloses: 1 means that the term occurs with that entity only. In documents that
 hold the entity, terms at or over ``GENERALISE`` are generalised to their word
@@ -12,7 +12,8 @@ estimate of a pair seen in s different texts is discounted by s / (s + ``PRIOR``
 few texts prove less than many, and a text and its exact copies prove as much as one.
 
 Cases: null text is empty; a text without base spans is left as it is; repeated
-rows get equal results; other columns are ignored; empty tables give no rows.
+rows get equal results; other columns are ignored and kept, whatever their names; empty
+tables give no rows. Time is nearly linear in a text and its matches.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import spans as S
-from corpuslens.llm.common import filled, materialise, read
+from corpuslens.llm.common import filled, materialise, read, unused
 
 # A match can only begin where its first run of characters begins or where the
 # match before it ended; said so, and with possessive loops, time is linear.
@@ -35,7 +36,9 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 BASE = ("email", "ip", "card", "phone")
 TERM = r"(?<!\p{L})\p{L}{3,40}(?!\p{L})"
 
+#: Words to each side of a mention, over the whole text.
 WINDOW = 8
+NO_MENTIONS = "CAST(array() AS array<struct<entity:string,terms:array<string>>>)"
 PRIOR = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -78,25 +81,29 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Hashes of the terms within WINDOW words of a span; 40 code points a word are looked at."""
-    reach = 40 * WINDOW
-    at = F.greatest(span["start"] - reach, F.lit(0))
-    before = F.substring(text, at + 1, span["start"] - at)
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    left = F.reverse(F.regexp_extract_all(before, F.lit(TERM), F.lit(0)))
-    right = F.regexp_extract_all(after, F.lit(TERM), F.lit(0))
-    words = F.concat(F.slice(left, 1, WINDOW), F.slice(right, 1, WINDOW))
-    return F.array_distinct(F.transform(words, F.lower))
+def _near(spans: Column, terms: Column) -> Column:
+    """For each span, the terms within WINDOW words of it: the last that end before it and the first that begin after it."""
+    starts = F.transform(terms, lambda t: t["start"])
+
+    def around(span: Column, below: Column, beyond: Column) -> Column:
+        first = F.greatest(below - WINDOW, F.lit(1))  # one more, as the last one may reach into the span
+        left = F.filter(F.slice(terms, first, F.greatest(below - first + 1, F.lit(0))), lambda t: t["end"] <= span["start"])
+        left = F.slice(left, F.greatest(F.size(left) - WINDOW + 1, F.lit(1)), F.lit(WINDOW))
+        right = F.slice(terms, beyond + 1, F.lit(WINDOW))
+        return F.array_distinct(F.transform(F.concat(left, right), lambda t: F.lower(t["value"])))
+
+    below = S.counts_below(starts, F.transform(spans, lambda s: s["start"]))
+    beyond = S.counts_below(starts, F.transform(spans, lambda s: s["end"]))
+    both = F.zip_with(below, beyond, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(spans, both, lambda s, n: F.struct(_entity(s).alias("entity"), around(s, n["a"], n["b"]).alias("terms")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: __id, __text_key, __spans, __mentions (entity, nearby terms), __terms (hashes, where spans are); written once."""
     text = docs.select(F.col(id_col).alias("__id"), filled(text_col).alias("__text"))
     spans = text.withColumn("__spans", base_spans(F.col("__text")))
-    mentions = F.transform(
-        "__spans", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("__text"), s).alias("terms"))
-    )
+    terms = S.let(S.find(F.col("__text"), TERM, "term", 0), lambda t: S.let(F.col("__spans"), lambda own: _near(own, t)))
+    mentions = F.when(F.size("__spans") > 0, terms).otherwise(F.expr(NO_MENTIONS))
     return materialise(
         spans.select(
             "__id", F.xxhash64("__text").alias("__text_key"), "__spans", mentions.alias("__mentions"),
@@ -176,40 +183,29 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     terms = materialise(term_spans(docs, scanned, found, id_col, text_col), "pii-term-spans")
     terms = terms.withColumnsRenamed({"__id": "__tid", "__text_key": "__tkey"})
     rows = scanned.join(terms, (scanned["__id"].eqNullSafe(terms["__tid"])) & (scanned["__text_key"] == terms["__tkey"]), "left")
-    outside = F.filter(
-        F.coalesce("__term_spans", F.expr(S.EMPTY)),
-        lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
-    )
-    return rows.select("__id", "__text_key", "__spans", F.concat("__spans", outside).alias("__all"))
+    spans = S.outside(F.concat("__spans", F.coalesce("__term_spans", F.expr(S.EMPTY))), len(BASE))
+    return rows.select("__id", "__text_key", "__spans", F.when(F.col("__term_spans").isNotNull(), spans).otherwise(F.col("__spans")).alias("__all"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
     """``text`` with base spans replaced by ``[KIND]``, general terms by ``[TERM]``, removed terms by nothing."""
-    init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        label = (
-            F.when(s["kind"] == "remove", F.lit(""))
-            .when(s["kind"] == "general", F.lit("[TERM]"))
-            .otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        )
-        head = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        out = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], head, label)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def label(s: Column) -> Column:
+        named = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "general", F.lit("[TERM]")).otherwise(named)
 
-    return F.aggregate(
-        F.array_sort(spans), init, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text)))
-    )
+    return S.replaced(text, spans, label)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text sanitised; documents without personal data keep their text (null stays null)."""
+    row_key, own_id, own_key, own_spans = (unused(x, docs.columns) for x in ("__row_key", "__own_id", "__own_key", "__own_spans"))
     spans = find_private(docs, id_col, text_col).filter(F.size("__all") > 0).dropDuplicates(["__id", "__text_key"])
-    key = F.xxhash64(filled(text_col))
-    rows = docs.withColumn("__row_key", key)
-    out = rows.join(spans, (rows[id_col].eqNullSafe(spans["__id"])) & (rows["__row_key"] == spans["__text_key"]), "left")
-    text = F.when(F.col("__all").isNotNull(), sanitised(F.col(text_col), F.col("__all"))).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    spans = spans.select(F.col("__id").alias(own_id), F.col("__text_key").alias(own_key), F.col("__all").alias(own_spans))
+    rows = docs.withColumn(row_key, F.xxhash64(filled(text_col)))
+    out = rows.join(spans, rows[id_col].eqNullSafe(spans[own_id]) & (rows[row_key] == spans[own_key]), "left")
+    text = F.when(F.col(own_spans).isNotNull(), sanitised(F.col(text_col), F.col(own_spans))).otherwise(F.col(text_col))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ the findings. A run scans only pairs that the ledger doesn't have, appends them,
 and joins findings back to every path that holds the blob.
 
 Cases: null text is the empty blob; equal texts are scanned once and reported
-for each row; repeated rows stay repeated; other columns are ignored; an empty
-table gives an empty result and ledger entries for nothing.
+for each row; repeated rows stay repeated; several rows of one path are its
+versions; other columns are ignored and kept, whatever their names; an empty table gives an empty result and ledger entries for nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import spans as S
-from corpuslens.llm.common import filled, materialise, new_path, read
+from corpuslens.llm.common import filled, materialise, read, unused
 
 ASSIGN = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -91,19 +91,7 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, rules_version: str = R
 
 def redacted(text: Column, findings: Column) -> Column:
     """``text`` with every finding replaced by ``[SECRET]``; overlapping findings merge."""
-    ordered = F.array_sort(findings)
-    init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        head = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        out = F.when(fresh, F.concat(acc["out"], head, F.lit("[SECRET]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-
-    return F.when(F.size(findings) == 0, text).otherwise(F.aggregate(ordered, init, step, finish))
+    return S.replaced(text, findings, lambda s: F.lit("[SECRET]"))
 
 
 def redact(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,24 +99,26 @@ def redact(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") ->
 
     Findings are per blob, so rows join on the blob of their own text; only texts with a finding change.
     """
+    blob, salt, own = (unused(x, docs.columns) for x in ("__blob", "__salt", "__findings"))
     ledger, _ = ledger_scan(docs, path_col=path_col, text_col=text_col)
     found = (
         ledger.filter(F.size("findings") > 0)
-        .select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    )
-    rows = docs.withColumn("__blob", F.sha2(filled(text_col), 256)).withColumn(
-        "__salt", F.pmod(F.xxhash64(path_col), F.lit(SALTS)).cast("int")
+        .select(F.col("blob").alias(blob), F.col("findings").alias(own), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     )
-    out = rows.join(found.hint("shuffle_hash"), ["__blob", "__salt"], "left")
-    clean = F.when(F.col("__findings").isNotNull(), redacted(F.col(text_col), F.col("__findings"))).otherwise(F.col(text_col))
-    columns = [clean.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    rows = docs.withColumn(blob, F.sha2(filled(text_col), 256)).withColumn(salt, F.pmod(F.xxhash64(path_col), F.lit(SALTS)).cast("int"))
+    out = rows.join(found.hint("shuffle_hash"), [blob, salt], "left")
+    clean = F.when(F.col(own).isNotNull(), redacted(F.col(text_col), F.col(own))).otherwise(F.col(text_col))
+    return out.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, in two runs: the ledger of the older half (by doc_id) is there when all versions come, so only blobs new to it are scanned."""
     docs = read(spark, sf_dir, "documents")
-    ledger, paths = ledger_scan(docs)
-    rows = findings_by_path(paths, ledger)
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    older = docs.filter(F.col("doc_id") <= ((ends["low"] or 0) + (ends["high"] or 0)) // 2)
+    earlier, _ = ledger_scan(older)
+    new, paths = ledger_scan(docs, earlier)
+    rows = findings_by_path(paths, earlier.unionByName(new))
     base = F.filter("findings", lambda s: s["ord"] < len(BASE))
     return rows.select(
         F.col("__path").alias("doc_id"),

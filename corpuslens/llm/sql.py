@@ -32,7 +32,12 @@ w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, string_split(text,
 lines AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '{WORD}')) AS n,
     translate(lower(array_to_string(regexp_extract_all(line, '{WORD}'), ' ')), '123456789', '000000000') AS norm
     FROM w, unnest(lines) u(line) WHERE regexp_matches(line, '{WORD}')),
-frequent AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT text) > 20),
+limits AS (SELECT source, greatest(20, 0.01 * count(DISTINCT text)) AS most FROM t GROUP BY source),
+many AS (SELECT source, norm, most FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) JOIN limits USING (source) WHERE n > 20 AND n > most),
+held AS (SELECT source, text, norm, most, sum(n) AS n FROM (SELECT DISTINCT doc_id, source, text FROM t) JOIN lines USING (doc_id, source, text) JOIN many USING (source, norm)
+    WHERE doc_id IN (SELECT min(doc_id) FROM t GROUP BY source, text) GROUP BY ALL),
+family AS (SELECT source, text, CASE WHEN len(regexp_extract_all(text, '{WORD}')) - sum(n) >= 0.3 * len(regexp_extract_all(text, '{WORD}')) THEN text ELSE arg_max(norm, (n, norm)) END AS key FROM held GROUP BY source, text),
+frequent AS (SELECT source, norm FROM held JOIN family USING (source, text) GROUP BY source, norm HAVING count(DISTINCT key) > max(most)),
 gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (source, norm) GROUP BY doc_id),
 repeats AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS window_words FROM w, unnest(range(1, len(words) - 3)) r(i)),
@@ -42,7 +47,7 @@ base AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(arr
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(r.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
     CAST(len(words) - coalesce(g.n, 0) AS BIGINT) AS words_left FROM w LEFT JOIN repeats r USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN gone g USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left >= 10 AND words_left >= 0.3 * n_words AS kept FROM base
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left >= 0.3 * n_words AS kept FROM base
 """
 
 REVISITS = """
@@ -82,15 +87,17 @@ base AS (SELECT *, s + length(val) AS e, kind || ':' || CASE WHEN kind IN ('card
         CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(digits), i, 1) AS INTEGER) WHEN 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) > 9 THEN 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) - 9
         ELSE 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) END)) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
-near AS (SELECT DISTINCT text, entity, lower(unnest(list_concat(list_slice(a, greatest(len(a) - 7, 1), len(a)), b[1:8]))) AS term FROM (SELECT text, entity,
-    list_filter(regexp_extract_all(substr(text, greatest(s - 320, 0) + 1, s - greatest(s - 320, 0)), '\p{{L}}+'), lambda w: length(w) BETWEEN 3 AND 40) AS a,
-    list_filter(regexp_extract_all(substr(text, e + 1, 320), '\p{{L}}+'), lambda w: length(w) BETWEEN 3 AND 40) AS b FROM base)),
+runs AS (SELECT doc_id, text, string_split_regex(text, '\p{{L}}+') AS gaps, regexp_extract_all(text, '\p{{L}}+') AS vals FROM t),
+placed_terms AS (SELECT text, lower(vals[i + 1]) AS term, length(vals[i + 1]) AS n,
+    CAST(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i], lambda g: length(g))), 0) AS BIGINT) AS a
+    FROM (SELECT DISTINCT text, gaps, vals FROM runs WHERE text IN (SELECT text FROM base)), unnest(range(len(vals))) r(i) WHERE length(vals[i + 1]) BETWEEN 3 AND 40),
+near AS (SELECT DISTINCT text, entity, term FROM (SELECT b.text, entity, term, row_number() OVER (PARTITION BY b.text, b.kind, b.s, a >= b.e ORDER BY CASE WHEN a >= b.e THEN a ELSE -a END) AS k
+    FROM (SELECT DISTINCT text, kind, s, e, entity FROM base) b JOIN placed_terms p ON p.text = b.text AND (a + n <= b.s OR a >= b.e)) WHERE k <= 8),
 copies AS (SELECT text, count(*) AS copies FROM t GROUP BY text),
-pairs AS (SELECT entity, term, sum(copies) AS n_pair FROM near JOIN copies USING (text) GROUP BY ALL HAVING count(*) >= 3),
+pairs AS (SELECT entity, term, sum(copies) AS n_pair, count(*) AS texts FROM near JOIN copies USING (text) GROUP BY ALL),
 entities AS (SELECT entity, sum(copies) AS n_entity FROM (SELECT DISTINCT entity, text FROM base) JOIN copies USING (text) GROUP BY entity),
-runs AS (SELECT doc_id, text, string_split_regex(text, '\p{{L}}+') AS gaps, regexp_extract_all(text, '\p{{L}}+') AS vals FROM t),
 terms AS (SELECT term, count(DISTINCT doc_id) AS n_term FROM (SELECT doc_id, lower(unnest(vals)) AS term FROM runs) JOIN (SELECT DISTINCT term FROM pairs) USING (term) GROUP BY term),
-shares AS (SELECT entity, term, greatest(0, least(1, log2(n_pair * n_all / (n_entity * n_term)) / log2(n_all / n_entity))) AS share
+shares AS (SELECT entity, term, greatest(0, least(1, log2(texts / (texts + 0.5) * n_pair * n_all / (n_entity * n_term)) / log2(n_all / n_entity))) AS share
     FROM pairs JOIN entities USING (entity) JOIN terms USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n_all FROM t) WHERE n_all > n_entity),
 flagged AS (SELECT doc_id, term, max(share) AS share FROM (SELECT DISTINCT doc_id, entity FROM base) JOIN shares USING (entity) WHERE share >= 0.8 GROUP BY ALL),
 hits AS (SELECT r.doc_id, f.share, CAST(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i], lambda g: length(g))), 0) AS BIGINT) AS s, length(vals[i + 1]) AS n
