@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage works on all that its predecessor kept. The first four return the
-columns of ``documents``; the last returns the placed pieces.
+columns of ``documents``, whatever their names; the last returns the placed pieces.
+
+Cases: null and empty texts have no words, so the quality rules reject them; where a later
+stage meets them they count as empty. A row without doc_id is judged as any other by its text.
+Repeated rows get equal verdicts, and rows that share a doc_id stay or go together in the
+classifier and near-duplicate stages. Very long texts are worked on whole. An empty table
+gives empty results.
 """
 
 from __future__ import annotations
@@ -10,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import packing, partenum, quality, rules, secrets
-from corpuslens.llm.common import materialise, read
+from corpuslens.llm.common import materialise, read, unused
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among ``ids``; texts stream past a hash table of ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("__keep")).distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__keep"))).select(*docs.columns)
+    keep = unused("__keep", docs.columns)
+    own = ids.select(F.col("doc_id").alias(keep)).distinct()
+    return docs.join(own.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(own[keep])).drop(keep)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced."""
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
