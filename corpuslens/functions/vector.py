@@ -38,5 +38,11 @@ def check(a: Column, size: int) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    size = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.nullif(size, F.lit(0.0)))
+    """``a`` over its norm; array and norm are worked out once, not for each element."""
+
+    def scaled(v: Column) -> Column:
+        by_norm = F.transform(F.array(F.nullif(norm(v), F.lit(0.0))), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+        return F.element_at(by_norm, 1)
+
+    return F.element_at(F.transform(F.array(a), scaled), 1)
+

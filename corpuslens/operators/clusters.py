@@ -16,10 +16,6 @@ STOP_WORDS = (
 )
 
 
-#: Averages of short decimals often fall on halves; a hair up rounds them alike in every order of summing.
-HAIR = 1e-9
-
-
 def representatives(clustered: DataFrame, n: int = 3) -> DataFrame:
     """(cluster_id, paper_id, distance, rank): the ``n`` papers nearest to the centroid of their cluster's coordinates.
 
@@ -59,8 +55,13 @@ def keywords(clustered: DataFrame, n: int = 8) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
 
 
+def average(c: Column) -> Column:
+    """The mean, rounded half up to 4 places. Decimals are summed, so that no order of summing changes it."""
+    return F.round(F.sum(c.cast("decimal(18,9)")) / F.count(c), 4).cast("double")
+
+
 def cluster_sizes(clustered: DataFrame) -> DataFrame:
-    return clustered.filter("NOT is_noise").groupBy("cluster_id").agg(F.count("*").alias("papers"), F.round(F.avg("membership") + HAIR, 4).alias("average_membership"))
+    return clustered.filter("NOT is_noise").groupBy("cluster_id").agg(F.count("*").alias("papers"), average(F.col("membership")).alias("average_membership"))
 
 
 def list_clusters(clustered: DataFrame, labels: DataFrame) -> DataFrame:
@@ -139,6 +140,31 @@ def label_validate(responses: DataFrame, allowed: DataFrame) -> DataFrame:
     )
 
 
+LABEL_KEY = ["run_id", "cluster_id", "provider", "model", "model_version", "prompt_version"]
+
+
+def label_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored labels after a generation: one row per LABEL_KEY. A label that is made anew takes the place of
+    the old one and waits for review again, whatever the old one's review said; others stay."""
+    fresh = incoming.withColumn("review_status", F.lit("PENDING_REVIEW")).dropDuplicates(LABEL_KEY)
+    return stored.join(fresh.select(*LABEL_KEY), LABEL_KEY, "left_anti").unionByName(fresh)
+
+
+def label_summary(plan: DataFrame, validated: DataFrame) -> DataFrame:
+    """One row: clusters attempted, cached, and of those to generate succeeded and failed (no response counts as failed)."""
+    rows = plan.join(validated.select("cluster_id", "status"), "cluster_id", "left")
+    fresh, good = F.col("action") == "GENERATE", F.coalesce(F.col("status") == "SUCCEEDED", F.lit(False))
+    return rows.agg(
+        F.count("*").alias("attempted"), F.count_if(fresh & good).alias("succeeded"), F.count_if(F.col("action") == "CACHED").alias("cached"), F.count_if(fresh & ~good).alias("failed")
+    )
+
+
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The newest succeeded run of each kind; ties to the larger id."""
+    newest = runs.filter("status = 'SUCCEEDED'").groupBy("kind").agg(F.max_by(F.struct("run_id", "completed_at"), F.struct("completed_at", "run_id")).alias("x"))
+    return newest.select("kind", "x.run_id", "x.completed_at")
+
+
 SORTS = {
     "papers_desc": lambda: [F.desc("papers"), F.asc("cluster_id")],
     "papers_asc": lambda: [F.asc("papers"), F.asc("cluster_id")],
@@ -179,7 +205,7 @@ def density_cluster(vectors: DataFrame, components, near: DataFrame, min_size: i
     edges = near.select("id", "neighbour", gap.alias("gap"), "rank")
     cores = edges.filter(F.col("rank") == core).select("id", F.col("gap").alias("core"))
     if eps is None:
-        eps = cores.agg(F.percentile("core", F.lit(quantile))).first()[0]
+        eps = cores.agg(F.percentile_approx("core", quantile, 100_000)).first()[0]
     reach = edges.join(cores, "id").join(cores.toDF("neighbour", "other_core"), "neighbour")
     tied = reach.filter(F.greatest("gap", "core", "other_core") <= F.lit(eps) + 1e-12).select(F.col("id").alias("u"), F.col("neighbour").alias("v"))
     found = components(tied)

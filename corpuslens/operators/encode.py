@@ -11,9 +11,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What a query gets before its text; documents get none.
-QUERY_PREFIX = "Represent this query for searching papers: "
-
 
 def encoder(texts: DataFrame, dimension: int = 256, text_col: str = "text") -> PipelineModel:
     """Document frequencies are counted over all of ``texts``; the rest is fixed."""

@@ -27,41 +27,37 @@ def surnames(names: Column) -> Column:
     return F.array_distinct(F.filter(last, lambda x: x != ""))
 
 
-def candidate_pairs(papers: DataFrame, catalogue: DataFrame, most: int = 50, top: int = 5) -> DataFrame:
-    """(paper_id, candidate_id): the ``top`` works of each paper by title overlap.
+def candidate_pairs(papers: DataFrame, catalogue: DataFrame, top: int = 5, salts: int = 8, hot: int = 10_000) -> DataFrame:
+    """(paper_id, candidate_id): the ``top`` works of each paper by title overlap, of all works with MODERATE overlap and over.
 
-    All works of MODERATE overlap and over, equal titles among them, are found: two
-    such titles share a token of their prefixes, the rarest tokens of each that leave
-    too few others for that overlap. Works below it are found by tokens that at most
-    ``most`` works hold. Titles of equal tokens meet once, as one class.
+    None is missed: two such titles share a token of their prefixes, the rarest tokens of
+    each that leave too few others for that overlap. No match rests on less. Titles of equal
+    tokens meet once, as one class; tokens that very many works hold are dealt over ``salts`` keys.
     """
-    least, salts, hot = MODERATE - 0.0005, 8, 10_000  # scores are rounded to 3 places
+    least = MODERATE - 0.0005  # scores are rounded to 3 places
 
     def classes(df: DataFrame, key: str, name: str) -> DataFrame:
         title = F.array_sort(tokens(F.col("normalized_title")))
         return df.select(key, title.alias(name)).withColumn(f"{name}_key", F.unhex(F.md5(F.array_join(name, " "))))
 
     own, other = kept(classes(papers, "paper_id", "own")), kept(classes(catalogue, "candidate_id", "other"))
-    counts = other.select(F.explode("other").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    counts = other.select("other_key", "other").distinct().select(F.explode("other").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
     def sides(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         sets = df.select(f"{name}_key", name).distinct()
         words = sets.select(f"{name}_key", F.size(name).alias(f"{name}_size"), F.explode(name).alias("token")).join(counts, "token")
         known = words.withColumn("place", F.row_number().over(Window.partitionBy(f"{name}_key").orderBy("df", "token")))
         n = F.col(f"{name}_size")
-        rows = known.withColumn(f"{name}_prefix", F.col("place") <= n - F.ceil(n * least) + 1).filter((F.col("df") <= most) | F.col(f"{name}_prefix"))
-        return sets, rows.drop("place")
+        return sets, known.filter(F.col("place") <= n - F.ceil(n * least) + 1).drop("place")
 
     own_sets, left = sides(own, "own")
     other_sets, right = sides(other, "other")
-    left = left.withColumn("salt", F.when(F.col("df") > hot, F.pmod(F.hash("own_key"), F.lit(salts))).otherwise(F.lit(0)))
+    left = left.withColumn("salt", F.when(F.col("df") > hot, F.pmod(F.hash("own_key"), F.lit(salts))).otherwise(F.lit(0))).drop("df")
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("df") > hot, F.lit(salts - 1)).otherwise(F.lit(0))))).drop("df")
     small, large = F.least("own_size", "other_size"), F.greatest("own_size", "other_size")
-    near = F.col("own_prefix") & F.col("other_prefix") & (small >= least * large)
-    met = left.join(right, ["token", "salt"]).filter((F.col("df") <= most) | near)
-    pairs = met.groupBy("own_key", "other_key").agg(F.max(F.col("df") <= most).alias("rare"))
+    pairs = left.join(right, ["token", "salt"]).filter(small >= least * large).select("own_key", "other_key").distinct()
     scored = pairs.join(own_sets, "own_key").join(other_sets, "other_key").withColumn("overlap", jaccard(F.col("own"), F.col("other")))
-    scored = scored.filter(F.col("rare") | (F.col("overlap") >= least)).select("own_key", "other_key", "overlap")
+    scored = scored.filter(F.col("overlap") >= least).select("own_key", "other_key", "overlap")
 
     def first(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
         return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= top).drop("place")
@@ -71,6 +67,32 @@ def candidate_pairs(papers: DataFrame, catalogue: DataFrame, most: int = 50, top
     return own.select("paper_id", "own_key").join(best, "own_key").select("paper_id", "candidate_id")
 
 
+WORK = (
+    "id string, title string, publication_year int, cited_by_count long, authorships array<struct<author struct<id string, display_name string>, "
+    "institutions array<struct<id string, display_name string, country_code string>>>>, referenced_works array<string>, "
+    "concepts array<struct<id string, display_name string>>, primary_location struct<landing_page_url string, pdf_url string, source struct<id string, display_name string, type string>>"
+)
+
+
+def read_works(payloads: DataFrame, key: str = "paper_id", body: str = "payload") -> DataFrame:
+    """Catalogue works of JSON payloads, typed; a payload that is no JSON gives nulls. It is parsed once."""
+    return payloads.select(key, F.explode(F.array(F.from_json(body, WORK))).alias("w")).select(key, "w.*")
+
+
+def work_authors(works: DataFrame, key: str = "paper_id") -> DataFrame:
+    """(key, position, author_id, author_name, institution_id): a row an author and institution, null without one."""
+    authors = works.select(key, F.posexplode("authorships").alias("position", "a"))
+    named = authors.select(key, (F.col("position") + 1).cast("long").alias("position"), "a.author.*", F.explode_outer("a.institutions").alias("i"))
+    return named.select(key, "position", F.col("id").alias("author_id"), F.col("display_name").alias("author_name"), F.col("i.id").alias("institution_id"))
+
+
+def concept_categories(works: DataFrame, stored: DataFrame, key: str = "paper_id") -> tuple[DataFrame, DataFrame]:
+    """(new categories: code, display_name; links: key, code, is_primary): concepts as categories of a second taxonomy, never primary."""
+    concepts = works.select(key, F.explode("concepts").alias("c")).select(key, F.col("c.id").alias("code"), F.col("c.display_name").alias("display_name")).filter("code IS NOT NULL")
+    new = concepts.groupBy("code").agg(F.min("display_name").alias("display_name")).join(stored.select("code"), "code", "left_anti")
+    return new, concepts.select(key, "code").distinct().withColumn("is_primary", F.lit(False))
+
+
 def score_candidates(pairs: DataFrame, papers: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Evidence of each pair. The overlap is rounded to 3 places, and the rounded one decides."""
     p = papers.select("paper_id", F.col("normalized_title").alias("p_title"), F.col("year").alias("p_year"), F.col("authors").alias("p_authors"))
@@ -144,7 +166,9 @@ def identity_links(authors: DataFrame, identities: DataFrame) -> DataFrame:
 
     Claims are ranked by paper and position, the order of a loop over papers; a claim
     holds if it is the first of its author and of its identity. Refused authors try
-    again with what is left, until no claim is new.
+    again with what is left, until no claim is new. Each round settles the first claim at
+    least, and claims are one a pair of author and identity; as many rounds as the longest chain of
+    authors who each lose an identity to the one before, two or three as a rule.
     """
     claims = authors.join(identities, ["paper_id", "name"]).select("author_id", "identity", F.struct("paper_id", "position").alias("turn"))
     claims = claims.groupBy("author_id", "identity").agg(F.min("turn").alias("turn"))

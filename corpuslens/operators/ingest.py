@@ -27,7 +27,7 @@ def link_of(links: Column, field: str, value: str) -> Column:
 
 def parse_entries(entries: DataFrame, xml: str = "entry") -> DataFrame:
     """One row per entry with its fields, or with ``error`` where a required one is missing. Nothing is raised in a task."""
-    e = entries.withColumn("e", F.from_xml(xml, ENTRY))
+    e = entries.select("*", F.explode(F.array(F.from_xml(xml, ENTRY))).alias("e"))  # a generator: later filters don't parse again
     url = F.col("e.id")
     ids = id_and_version(url)
     primary = F.col("e")["arxiv:primary_category"]["_term"]
@@ -91,13 +91,27 @@ def new_candidates(entries: DataFrame, stored: DataFrame, quota: int) -> DataFra
 
 
 def quota_split(new: DataFrame, backlog: DataFrame, quota: int) -> DataFrame:
-    """(kind, selected, unused) of a quota spent on new papers first, then on the backlog."""
+    """One row: how a quota splits between new papers, which go first, and the backlog, and what stays unused."""
     counts = new.agg(F.count("*").alias("new")).crossJoin(backlog.agg(F.coalesce(F.sum("remaining"), F.lit(0)).alias("backlog")))
     first = F.least("new", F.lit(quota))
     second = F.least("backlog", F.lit(quota) - first)
     return counts.select("new", "backlog", first.cast("long").alias("new_selected"), second.cast("long").alias("backlog_selected"), (F.lit(quota) - first - second).cast("long").alias("unused"))
 
 
+def quota_rows(new: DataFrame, backlog: DataFrame, windows: DataFrame, quota: int) -> DataFrame:
+    """(paper_id, kind, window, place) of what a quota takes: new papers by date, then the backlog's, oldest window first.
+
+    ``new`` and ``backlog``: paper_id, published, the latter with its ``window``; ``windows``: window, of those that
+    are planned or running. Each kind is cut to the quota before it is ranked.
+    """
+    own = new.orderBy("published", "paper_id").limit(quota).select("paper_id", "published", F.lit(None).cast("string").alias("window"), F.lit("new").alias("kind"))
+    open_ = backlog.join(windows.select("window"), "window", "left_semi").orderBy("window", "published", "paper_id").limit(quota)
+    both = own.unionByName(open_.select("paper_id", "published", "window", F.lit("backlog").alias("kind")))
+    order = Window.orderBy(F.when(F.col("kind") == "new", 0).otherwise(1), "window", "published", "paper_id")  # twice the quota at most
+    ranked = both.withColumn("place", F.row_number().over(order).cast("long"))
+    return ranked.filter(F.col("place") <= quota).select("paper_id", "kind", "window", "place")
+
+
 def plan_windows(papers: DataFrame, start: str, end: str, threshold: int = 1000) -> DataFrame:
     """(granularity, window_start, window_end, n, status): months; weeks of months over the threshold; days of weeks over it.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,14 +22,14 @@ def in_window(papers: DataFrame, start, end) -> DataFrame:
     return papers.filter((F.col("published") >= F.lit(start).cast("timestamp_ntz")) & (F.col("published") < F.lit(end).cast("timestamp_ntz")))
 
 
-def freshness_inputs(papers: DataFrame, now: datetime, window: int = T.WINDOW_DAYS) -> DataFrame:
-    """One row: total, days since the latest paper, counts in the two windows before ``now``, distinct days of the recent one."""
+def freshness_inputs(papers: DataFrame, now: datetime, window: int = T.WINDOW_DAYS, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each ``by``): total, days since the latest paper, counts in the two windows before ``now``, distinct days of the recent one."""
     recent, before = now - timedelta(days=window), now - timedelta(days=2 * window)
     at = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
     p = F.col("published")
     own = (p >= at(recent)) & (p < at(now))
     elapsed = F.timestamp_diff("SECOND", F.max(p), at(now))
-    return papers.agg(
+    return papers.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.greatest(F.lit(0), F.floor(elapsed / 86400)).cast("long").alias("days_since"),
         F.count_if(own).alias("recent"),
@@ -114,11 +115,21 @@ def analyse(papers: DataFrame, members: DataFrame, now: date) -> tuple[DataFrame
     return measured(window_counts(members, windows), windows, now, days), evidence(members, windows)
 
 
+def resolve_run(runs: DataFrame, run_id: int | None = None) -> DataFrame:
+    """The run asked for, whatever its status, or else the newest one that succeeded: one row, or none where there is no such run."""
+    if run_id is not None:
+        return runs.filter(F.col("run_id") == run_id)
+    return runs.filter("status = 'SUCCEEDED'").orderBy(F.desc("completed_at"), F.desc("run_id")).limit(1)
+
+
 def trend_list(
-    scores: DataFrame, entity_type: str | None = None, trend_class: str | None = None, quality: str | None = None, min_score: int | None = None,
+    scores: DataFrame, names: DataFrame, entity_type: str | None = None, trend_class: str | None = None, quality: str | None = None, min_score: int | None = None,
     sort: str = "trend_score", descending: bool = True, limit: int = 20, offset: int = 0,
 ) -> DataFrame:
-    """A page of scores; nulls last either way, ties by entity name and id."""
+    """A page of scores with entity_name and ``total``, the number before the limit; nulls last either way, ties by entity name and id.
+
+    ``names``: entity_type, entity_id, entity_name; an entity without a name goes by its id.
+    """
     if sort not in ("trend_score", "growth_rate", "recent_count", "momentum"):
         raise ValueError(f"no sort field {sort}")
     for column, value in (("entity_type", entity_type), ("trend_class", trend_class), ("data_quality", quality)):
@@ -126,5 +137,33 @@ def trend_list(
             scores = scores.filter(F.col(column) == value)
     if min_score is not None:
         scores = scores.filter(F.col("trend_score") >= min_score)
+    rows = scores.join(names, ["entity_type", "entity_id"], "left").withColumn("entity_name", F.coalesce("entity_name", "entity_id"))
+    total = scores.agg(F.count("*").alias("total"))
     order = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
-    return scores.orderBy(order, "entity_type", "entity_id").offset(offset).limit(limit)
+    page = rows.orderBy(order, "entity_name", "entity_id").offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(total))  # one row
+
+
+def overview(scores: DataFrame, names: DataFrame, windows: tuple[date, date, date, date], top: int = 5) -> DataFrame:
+    """(section, entity_type, item, place, value): what a start page of trends shows.
+
+    Sections: entities, classes and qualities counted by entity type; the ``top`` entities of
+    three classes by score; and a message with both cohorts' first and last days.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, section, kind, item, place, value: df.select(F.lit(section).alias("section"), kind.alias("entity_type"), item.alias("item"), place.alias("place"), value.alias("value"))
+    own = F.col("entity_type")
+    entities = row(scores.groupBy("entity_type").agg(F.count("*").alias("n")), "entities", own, none("string"), none("long"), F.col("n"))
+    parts = [entities]
+    for section, column in (("classes", "trend_class"), ("qualities", "data_quality")):
+        counted = scores.groupBy("entity_type", column).agg(F.count("*").alias("n"))
+        parts.append(row(counted, section, own, F.col(column), none("long"), F.col("n")))
+    named = scores.filter(F.col("trend_class").isin("Emerging", "Stable", "Cooling")).join(names, ["entity_type", "entity_id"], "left")
+    order = Window.partitionBy("trend_class").orderBy(F.desc_nulls_last("trend_score"), F.coalesce("entity_name", "entity_id"), "entity_id")
+    best = named.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= top)
+    label = F.concat_ws(": ", "trend_class", F.coalesce("entity_name", "entity_id"))
+    parts.append(row(best, "top", own, label, F.col("place"), F.col("trend_score")))
+    c0, c1, r0, r1 = windows[0], windows[1] - timedelta(days=1), windows[2], windows[3] - timedelta(days=1)
+    message = f"{T.MODE_LABELS['HISTORICAL_OK']}: papers of {c0} to {c1} against papers of {r0} to {r1}."
+    parts.append(row(scores.agg(F.count("*").alias("n")), "message", none("string"), F.lit(message), none("long"), F.col("n")))
+    return reduce(DataFrame.unionByName, parts)

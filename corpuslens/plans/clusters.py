@@ -15,7 +15,7 @@ from corpuslens.sources import views as W
 DISTRIBUTION = """SELECT cluster_id, category_code, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY cluster_id), 1) AS percent
     FROM clustered WHERE NOT is_noise GROUP BY cluster_id, category_code"""
 DOMINANT = f"SELECT cluster_id, category_code AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, category_code) AS r FROM ({DISTRIBUTION})) WHERE r = 1"
-SIZES = "SELECT cluster_id, count(*) AS papers, round(avg(membership) + 1e-9, 4) AS average_membership FROM clustered WHERE NOT is_noise GROUP BY cluster_id"
+SIZES = "SELECT cluster_id, count(*) AS papers, (20000 * sum(CAST(round(membership * 1e9) AS BIGINT)) + 1000000000 * count(*)) // (2000000000 * count(*)) / 10000.0 AS average_membership FROM clustered WHERE NOT is_noise GROUP BY cluster_id"
 CLUSTERS = f"""SELECT l.*, coalesce(s.papers, 0) AS papers, s.average_membership, x.dominant FROM cluster_labels l
     LEFT JOIN ({SIZES}) s ON s.cluster_id = l.cluster_id LEFT JOIN ({DOMINANT}) x ON x.cluster_id = l.cluster_id WHERE review_status = 'APPROVED'"""
 NEAREST = """SELECT cluster_id, paper_id, distance, row_number() OVER (PARTITION BY cluster_id ORDER BY round(distance, 9), paper_id) AS rank FROM (
@@ -136,14 +136,11 @@ page("cluster_papers_category", "NOT is_noise", "src1")
 
 @query(
     "latest_run",
-    """SELECT run_id, kind, strftime(completed_at, '%Y-%m-%d') AS completed FROM (SELECT event_id AS run_id, event_type AS kind, ts AS completed_at,
-    row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value > 50) WHERE r = 1""",
+    """SELECT kind, run_id, strftime(completed_at, '%Y-%m-%d') AS completed FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY completed_at DESC, run_id DESC) AS r
+    FROM runs WHERE status = 'SUCCEEDED') WHERE r = 1""",
 )
 def _(spark, d):
-    """The newest successful run of each kind; events over 50 stand for successful runs."""
-    runs = W.table(spark, d, "events").filter("value > 50").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("kind"), F.col("ts").alias("completed_at"))
-    newest = runs.groupBy("kind").agg(F.max_by(F.struct("run_id", "completed_at"), F.struct("completed_at", "run_id")).alias("x"))
-    return newest.select("x.run_id", "kind", W.day("x.completed_at").alias("completed"))
+    return C.latest_runs(W.runs(spark, d)).select("kind", "run_id", W.day("completed_at").alias("completed"))
 
 
 HEAD = "substr(abstract, 1, 500)"
@@ -178,11 +175,10 @@ def _(spark, d):
     return C.label_inputs(W.clustered(spark, d)).select("cluster_id", "papers", "average_membership", "coherence_notes", "input_hash")
 
 
-@query(
-    "label_plan",
-    f"SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN 'CACHED' ELSE 'GENERATE' END AS action FROM ({SIZES})",
-)
-def _(spark, d):
+PLANNED = f"SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN 'CACHED' ELSE 'GENERATE' END AS action FROM ({SIZES})"
+
+
+def label_plan(spark, d):
     """Stored labels: every third cluster's of the same input, another third's of an older one."""
     inputs = C.label_inputs(W.clustered(spark, d)).select("cluster_id", "input_hash")
     stored = inputs.filter("cluster_id % 3 < 2").select(
@@ -191,13 +187,13 @@ def _(spark, d):
     return C.label_plan(inputs, stored)
 
 
-@query(
-    "label_validate",
-    """SELECT cluster_id, CASE WHEN cluster_id % 4 = 3 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE cluster_id % 4 WHEN 0 THEN 'primary' WHEN 3 THEN NULL ELSE 'fallback' END AS used,
+query("label_plan", PLANNED)(label_plan)
+VALIDATED = """SELECT cluster_id, CASE WHEN cluster_id % 4 = 3 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE cluster_id % 4 WHEN 0 THEN 'primary' WHEN 3 THEN NULL ELSE 'fallback' END AS used,
     CASE WHEN cluster_id % 4 < 3 THEN 'Group ' || cluster_id END AS cluster_name, CASE WHEN cluster_id % 4 < 3 THEN 0.9 END AS confidence
-    FROM (SELECT DISTINCT cluster_id FROM clustered WHERE NOT is_noise)""",
-)
-def _(spark, d):
+    FROM (SELECT DISTINCT cluster_id FROM clustered WHERE NOT is_noise)"""
+
+
+def label_validate(spark, d):
     """Responses made from the clusters: good ones, a confidence out of range, an unknown paper, and none that is valid."""
     rows = W.clustered(spark, d).filter("NOT is_noise").select("cluster_id", "paper_id")
     first = rows.groupBy("cluster_id").agg(F.min("paper_id").alias("paper_id"))
@@ -214,17 +210,34 @@ def _(spark, d):
     return C.label_validate(responses.select("cluster_id", "provider", body.alias("body")), rows)
 
 
+query("label_validate", VALIDATED)(label_validate)
+
+
+@query(
+    "label_upsert",
+    f"""SELECT 'run-1' AS run_id, v.cluster_id, provider, CASE WHEN fresh THEN v.status ELSE 'SUCCEEDED' END AS generation_status,
+    CASE WHEN fresh THEN v.cluster_name ELSE 'Old ' || v.cluster_id END AS cluster_name, CASE WHEN fresh THEN 'PENDING_REVIEW' ELSE 'APPROVED' END AS review_status
+    FROM (SELECT v.*, p.action FROM ({VALIDATED}) v JOIN ({PLANNED}) p USING (cluster_id)) v,
+    LATERAL (SELECT 'primary' AS provider, v.used = 'primary' AND action = 'GENERATE' AS fresh UNION ALL SELECT 'fallback', true WHERE v.used = 'fallback' AND action = 'GENERATE') x""",
+)
+def _(spark, d):
+    """Every cluster has an approved label of the primary provider; those to generate get a new one of the provider that served, in its place or beside it."""
+    made = label_validate(spark, d).join(label_plan(spark, d).filter("action = 'GENERATE'"), "cluster_id").filter("used IS NOT NULL")
+    fixed = [F.lit(v).alias(n) for n, v in (("run_id", "run-1"), ("model", "m"), ("model_version", "1"), ("prompt_version", "p1"))]
+    incoming = made.select(*fixed, "cluster_id", F.col("used").alias("provider"), F.col("status").alias("generation_status"), "cluster_name")
+    ids = W.clustered(spark, d).filter("NOT is_noise").select("cluster_id").distinct()
+    old = F.concat(F.lit("Old "), F.col("cluster_id").cast("string"))
+    stored = ids.select(*fixed, "cluster_id", F.lit("primary").alias("provider"), F.lit("SUCCEEDED").alias("generation_status"), old.alias("cluster_name"), F.lit("APPROVED").alias("review_status"))
+    return C.label_upsert(stored, incoming).select("run_id", "cluster_id", "provider", "generation_status", "cluster_name", "review_status")
+
+
 @query(
     "label_summary",
-    """SELECT count(*) AS attempted, count(*) FILTER (WHERE cluster_id % 4 < 2) AS succeeded, count(*) FILTER (WHERE cluster_id % 4 = 2) AS cached,
-    count(*) FILTER (WHERE cluster_id % 4 = 3) AS failed FROM (SELECT DISTINCT cluster_id FROM clustered WHERE NOT is_noise)""",
+    f"""SELECT count(*) AS attempted, count(*) FILTER (WHERE action = 'GENERATE' AND status = 'SUCCEEDED') AS succeeded, count(*) FILTER (WHERE action = 'CACHED') AS cached,
+    count(*) FILTER (WHERE action = 'GENERATE' AND status = 'FAILED') AS failed FROM ({PLANNED}) p JOIN ({VALIDATED}) v USING (cluster_id)""",
 )
 def _(spark, d):
-    outcome = F.col("cluster_id") % 4
-    rows = W.clustered(spark, d).filter("NOT is_noise").select("cluster_id").distinct()
-    return rows.agg(
-        F.count("*").alias("attempted"), F.count_if(outcome < 2).alias("succeeded"), F.count_if(outcome == 2).alias("cached"), F.count_if(outcome == 3).alias("failed")
-    )
+    return C.label_summary(label_plan(spark, d), label_validate(spark, d))
 
 
 @query("cluster_discovery", f"SELECT cluster_id, cluster_name, papers, dominant FROM ({CLUSTERS}) WHERE contains(lower(concat_ws(' ', cluster_name, short_description, dominant, keywords)), 'area1')")

@@ -19,7 +19,7 @@ from corpuslens.sources.io import upsert_latest
 
 @query("encode_corpus")
 def _(spark, d):
-    """Hashes and weights are Spark's; tests hold dimension, norm and determinism."""
+    """Hashes and weights are Spark's, which SQL elsewhere doesn't have."""
     text = canonical_text(F.col("title"), F.col("abstract"), F.col("category_code"))
     rows = W.papers(spark, d).filter("is_canonical").select("paper_id", text.alias("text")).filter("text IS NOT NULL")
     out = E.encode(E.encoder(rows), rows)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.text import jaccard, search_text, tokens
 from corpuslens.operators import enrich as R
+from corpuslens.operators import ingest as I
 from corpuslens.operators import quality as Q
+from corpuslens.operators.components import kept
 from corpuslens.plans.registry import query
 from corpuslens.sources import views as W
 
@@ -42,7 +44,7 @@ def works(spark, d) -> tuple[DataFrame, DataFrame]:
     """(papers, catalogue): the catalogue holds each paper's next one, its year shifted by id % 4, under the id + 1,000,000."""
     p = W.dated(spark, d).select("paper_id", F.col("title").alias("normalized_title"), F.year("o_orderdate").alias("year"))
     a = W.paper_authors(spark, d).groupBy("paper_id").agg(F.array_sort(F.collect_set("display_name")).alias("authors"))
-    own = p.join(a, "paper_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+    own = kept(p.join(a, "paper_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>"))))  # read by every step of a match
     catalogue = own.select((F.col("paper_id") + 1_000_000).alias("candidate_id"), "normalized_title", (F.col("year") + F.col("paper_id") % 4).alias("year"), "authors")
     return own, catalogue
 
@@ -50,10 +52,9 @@ def works(spark, d) -> tuple[DataFrame, DataFrame]:
 WORKS = f"""own AS (SELECT d.paper_id, d.title, year(d.o_orderdate) AS y, coalesce((SELECT list_distinct(list(display_name)) FROM authors a WHERE a.paper_id = d.paper_id), []) AS names,
     {TOKENS.format('d.title')} AS toks FROM dated d),
     works AS (SELECT paper_id + 1000000 AS candidate_id, title, y + paper_id % 4 AS y, names, toks FROM own),
-    rare AS (SELECT token FROM (SELECT candidate_id, unnest(toks) AS token FROM works) GROUP BY token HAVING count(*) <= 50),
-    pairs AS (SELECT DISTINCT p.paper_id, c.candidate_id FROM (SELECT paper_id, unnest(toks) AS token FROM own) p JOIN rare USING (token) JOIN (SELECT candidate_id, unnest(toks) AS token FROM works) c USING (token)),
+    pairs AS (SELECT DISTINCT p.paper_id, c.candidate_id FROM (SELECT paper_id, unnest(toks) AS token FROM own) p JOIN (SELECT candidate_id, unnest(toks) AS token FROM works) c USING (token)),
     placed AS (SELECT paper_id, candidate_id, row_number() OVER (PARTITION BY paper_id ORDER BY overlap DESC, candidate_id) AS place FROM
-        (SELECT p.paper_id, candidate_id, {OVERLAP.format(a='o.toks', b='w.toks')} AS overlap FROM pairs p JOIN own o USING (paper_id) JOIN works w USING (candidate_id))),
+        (SELECT p.paper_id, candidate_id, {OVERLAP.format(a='o.toks', b='w.toks')} AS overlap FROM pairs p JOIN own o USING (paper_id) JOIN works w USING (candidate_id)) WHERE overlap >= 0.4995),
     scores AS (SELECT p.paper_id, candidate_id, round({OVERLAP.format(a='o.toks', b='w.toks')}, 3) AS title_overlap, o.title = w.title AS exact_title, abs(o.y - w.y) <= 1 AS year_match,
         len(list_intersect(list_distinct(list_transform(o.names, lambda n: lower(list_last(string_split(n, ' '))))), list_distinct(list_transform(w.names, lambda n: lower(list_last(string_split(n, ' '))))))) AS author_overlap
         FROM placed p JOIN own o USING (paper_id) JOIN works w USING (candidate_id) WHERE place <= 5),
@@ -194,12 +195,57 @@ def _(spark, d):
     return W.papers(spark, d).groupBy(F.col("category_code").alias("venue"), F.coalesce(kind, F.lit("unknown")).alias("kind")).agg(F.count("*").alias("papers"))
 
 
-@query("concept_categories", "SELECT DISTINCT paper_id, 'concept' || unnest([paper_id % 3, paper_id % 5]) AS code, false AS is_primary FROM papers")
-def _(spark, d):
+def payloads(spark, d) -> DataFrame:
+    """Catalogue works as JSON: each paper with its authors (every other one without institution), its lines' parts as references, and two concepts."""
+    p = W.papers(spark, d)
     i = F.col("paper_id")
-    return W.papers(spark, d).select(
-        "paper_id", F.explode(F.array_distinct(F.array(i % 3, i % 5))).alias("c")
-    ).select("paper_id", F.concat(F.lit("concept"), F.col("c").cast("string")).alias("code"), F.lit(False).alias("is_primary"))
+    w = lambda c: F.concat(F.lit("W"), c.cast("string"))
+    concept = lambda n: F.struct(F.concat(F.lit("concept"), (i % n).cast("string")).alias("id"), F.concat(F.lit("Concept "), (i % n).cast("string")).alias("display_name"))
+    a = W.paper_authors(spark, d).select("paper_id", "author_order", "author_id", "display_name")
+    site = F.array(F.struct(F.concat(F.lit("I"), (F.col("author_id") % 5).cast("string")).alias("id"), F.lit("Site").alias("display_name"), F.lit("XX").alias("country_code")))
+    author = F.struct(F.struct(F.concat(F.lit("A"), F.col("author_id").cast("string")).alias("id"), "display_name").alias("author"), F.when(F.col("author_id") % 2 == 0, site).alias("institutions"))
+    authors = a.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_order", author.alias("x")))), lambda x: x["x"]).alias("authorships"))
+    lines = W.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), w(F.col("l_partkey")).alias("ref"))
+    cited = lines.groupBy("paper_id").agg(F.array_sort(F.collect_set("ref")).alias("referenced_works"))
+    place = F.struct(
+        F.concat(F.lit("http://host/"), i.cast("string")).alias("landing_page_url"), F.when(i % 3 == 0, F.concat(F.lit("http://host/pdf/"), i.cast("string"))).alias("pdf_url"),
+        F.struct(F.col("category_code").alias("id"), F.upper("category_code").alias("display_name"), F.lit("journal").alias("type")).alias("source"),
+    )
+    body = F.struct(
+        w(i).alias("id"), "title", F.year("o_orderdate").alias("publication_year"), (i % 40).alias("cited_by_count"), "authorships", "referenced_works",
+        F.array(concept(3), concept(5)).alias("concepts"), place.alias("primary_location"),
+    )
+    return p.join(authors, "paper_id", "left").join(cited, "paper_id", "left").select("paper_id", F.to_json(body).alias("payload"))
+
+
+@query(
+    "read_payload_json",
+    """SELECT paper_id, 'W' || paper_id AS id, CAST(year(o_orderdate) AS INTEGER) AS publication_year, paper_id % 40 AS cited_by_count, coalesce(n, 0) AS authors, coalesce(sites, 0) AS institutions, coalesce(refs, 0) AS refs,
+    'concept' || (paper_id % 3) || ',concept' || (paper_id % 5) AS concepts, CASE WHEN paper_id % 3 = 0 THEN 'http://host/pdf/' || paper_id END AS pdf_url, category_code AS venue, first_name
+    FROM papers LEFT JOIN (SELECT paper_id, count(*) AS n, count(*) FILTER (WHERE author_id % 2 = 0) AS sites, arg_min(display_name, author_order) AS first_name FROM authors GROUP BY paper_id) a USING (paper_id)
+    LEFT JOIN (SELECT l_orderkey AS paper_id, count(DISTINCT l_partkey) AS refs FROM lineitem GROUP BY ALL) r USING (paper_id)""",
+)
+def _(spark, d):
+    works = R.read_works(payloads(spark, d))
+    authors = R.work_authors(works).groupBy("paper_id").agg(
+        F.count("*").alias("authors"), F.count("institution_id").alias("institutions"), F.min_by("author_name", "position").alias("first_name")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return works.join(authors, "paper_id", "left").select(
+        "paper_id", "id", "publication_year", "cited_by_count", zero(F.col("authors")).alias("authors"), zero(F.col("institutions")).alias("institutions"), zero(F.array_size("referenced_works")).alias("refs"),
+        F.array_join(F.transform("concepts", lambda c: c["id"]), ",").alias("concepts"), F.col("primary_location.pdf_url").alias("pdf_url"), F.col("primary_location.source.id").alias("venue"), "first_name",
+    )
+
+
+@query(
+    "concept_categories",
+    """SELECT DISTINCT paper_id, code, false AS is_primary, code NOT IN ('concept0', 'concept1') AS is_new FROM (SELECT paper_id, 'concept' || unnest([paper_id % 3, paper_id % 5]) AS code FROM papers)""",
+)
+def _(spark, d):
+    """Concepts of the works' payloads; two categories are stored already."""
+    works = R.read_works(payloads(spark, d))
+    new, links = R.concept_categories(works, spark.range(2).select(F.concat(F.lit("concept"), F.col("id").cast("string")).alias("code")))
+    return links.join(new.select("code", F.lit(True).alias("is_new")), "code", "left").select("paper_id", "code", "is_primary", F.coalesce("is_new", F.lit(False)).alias("is_new"))
 
 
 @query("publication_year", "SELECT paper_id, CAST(year(published) AS BIGINT) AS y FROM dated")
@@ -214,15 +260,31 @@ def requests(spark, d) -> DataFrame:
     return requests_of(W.table(spark, d, "events"))
 
 
-FOLD = f"""SELECT paper_id, min(priority) AS priority, arg_min(reason, (priority, seq)) AS reason, string_agg(reason, ',' ORDER BY seq) AS reasons, bool_or(full_detail) AS full_detail FROM (
+def fold(where: str) -> str:
+    return f"""SELECT paper_id, min(priority) AS priority, arg_min(reason, (priority, seq)) AS reason, list(reason ORDER BY seq) AS reasons, bool_or(full_detail) AS full_detail FROM (
     SELECT user_id AS paper_id, reason, CASE reason WHEN 'OPENALEX_NOT_FOUND' THEN 1 WHEN 'OPENALEX_AMBIGUOUS' THEN 2 WHEN 'HISTORICAL_CANDIDATE' THEN 3 ELSE 4 END AS priority,
-    min(event_id) AS seq, bool_or(event_id % 40 = 0) AS full_detail FROM (SELECT *, {REASON} AS reason FROM events) GROUP BY user_id, reason) GROUP BY paper_id"""
+    min(event_id) AS seq, bool_or(event_id % 40 = 0) AS full_detail FROM (SELECT *, {REASON} AS reason FROM events WHERE {where}) GROUP BY user_id, reason) GROUP BY paper_id"""
+
 
+HELD = "CASE s.paper_id % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'IN_PROGRESS' ELSE 'RETRY_SCHEDULED' END"
 
-@query("queue_enqueue", FOLD)
+
+@query(
+    "queue_enqueue",
+    f"""SELECT coalesce(s.paper_id, n.paper_id) AS paper_id, CASE WHEN s.priority IS NULL OR n.priority < s.priority THEN n.priority ELSE s.priority END AS priority,
+    CASE WHEN s.priority IS NULL OR n.priority < s.priority THEN n.reason ELSE s.reason END AS reason,
+    array_to_string(list_concat(coalesce(s.reasons, []), list_filter(coalesce(n.reasons, []), lambda r: NOT list_contains(coalesce(s.reasons, []), r))), ',') AS reasons,
+    coalesce(s.full_detail, false) OR coalesce(n.full_detail, false) AS full_detail,
+    CASE WHEN n.paper_id IS NOT NULL AND (s.paper_id IS NULL OR s.paper_id % 3 = 2) THEN 'PENDING' ELSE {HELD} END AS status
+    FROM ({fold('event_id % 2 = 0')}) s FULL JOIN ({fold('event_id % 2 = 1')}) n ON s.paper_id = n.paper_id""",
+)
 def _(spark, d):
-    empty = R.fold_queue(requests(spark, d)).withColumn("status", F.lit("PENDING")).limit(0)
-    return R.enqueue(empty, requests(spark, d)).select("paper_id", "priority", "reason", F.array_join("reasons", ",").alias("reasons"), "full_detail")
+    """Requests of odd events meet a queue that those of even ones left, partly matched or in work."""
+    asked = requests(spark, d)
+    held = F.when(F.col("paper_id") % 3 == 0, "MATCHED").when(F.col("paper_id") % 3 == 1, "IN_PROGRESS").otherwise("RETRY_SCHEDULED")
+    stored = R.fold_queue(asked.filter("seq % 2 = 0")).withColumn("status", held)
+    rows = R.enqueue(stored, asked.filter("seq % 2 = 1"))
+    return rows.select("paper_id", "priority", "reason", F.array_join("reasons", ",").alias("reasons"), "full_detail", "status")
 
 
 @query(
@@ -253,31 +315,63 @@ def _(spark, d):
     return rows.select("event_id", "x.status", F.unix_seconds("x.next_retry_at").alias("retry"))
 
 
+def broken(tbl: str, rule: str, rows: str, keys: list[str], having: str = "") -> str:
+    key = " || ',' || ".join(f"coalesce(CAST({k} AS VARCHAR), 'null')" for k in keys)
+    return f"SELECT '{tbl}' AS tbl, '{rule}' AS rule, {key} AS key, count(*) AS n FROM {rows} GROUP BY ALL {having}"
+
+
+TWICE = "HAVING count(*) > 1"
+SNAPSHOTS = "(SELECT user_id AS paper_id, event_type AS metric, strftime(ts, '%Y-%m-%d') AS day FROM events)"
+VERSION_ROWS = "(SELECT paper_id, version AS version_number, true AS is_latest FROM papers UNION ALL SELECT paper_id, 1, false FROM papers WHERE version > 1)"
+REFERENCES = "(SELECT l_orderkey AS citing, l_partkey AS external_id FROM lineitem)"
+
+
 @query(
     "constraint_violations",
-    """SELECT 'lineitem' AS tbl, 'unique l_orderkey,l_linenumber' AS rule, count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)
-    UNION ALL SELECT 'orders', 'unique o_orderkey', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY ALL HAVING count(*) > 1)
-    UNION ALL SELECT 'assignments', 'membership in [0,1]', count(*) FROM assignments WHERE NOT membership BETWEEN 0 AND 1
-    UNION ALL SELECT 'assignments', 'noise has no cluster', count(*) FROM assignments WHERE is_noise <> (cluster_id IS NULL)
-    UNION ALL SELECT 'assignments', 'paper_id in papers', count(*) FROM (SELECT DISTINCT paper_id FROM assignments WHERE paper_id NOT IN (SELECT paper_id FROM papers))""",
-)
+    " UNION ALL ".join(
+        [
+            broken("categories", "unique code", "categories", ["code"], TWICE), broken("papers", "unique arxiv_id", "papers", ["arxiv_id"], TWICE),
+            broken("papers", "merged_into_id in papers", "papers WHERE merged_into_id NOT IN (SELECT paper_id FROM papers)", ["merged_into_id"]),
+            broken("papers", "merged or canonical", "papers WHERE is_canonical <> (merged_into_id IS NULL)", ["paper_id"]),
+            broken("paper_versions", "unique paper_id,version_number", VERSION_ROWS, ["paper_id", "version_number"], TWICE),
+            broken("paper_versions", "unique paper_id where is_latest", VERSION_ROWS + " WHERE is_latest", ["paper_id"], TWICE),
+            broken("paper_authors", "unique paper_id,author_id", "authors", ["paper_id", "author_id"], TWICE),
+            broken("paper_authors", "unique paper_id,author_order", "authors", ["paper_id", "author_order"], TWICE),
+            broken("metric_snapshots", "unique paper_id,metric,day", SNAPSHOTS, ["paper_id", "metric", "day"], TWICE),
+            broken("paper_references", "unique citing,external_id", REFERENCES, ["citing", "external_id"], TWICE),
+            broken("assignments", "unique paper_id", "assignments", ["paper_id"], TWICE),
+            broken("assignments", "membership in [0,1]", "assignments WHERE NOT membership BETWEEN 0 AND 1", ["paper_id"]),
+            broken("assignments", "noise has no cluster", "assignments WHERE is_noise <> (cluster_id IS NULL)", ["paper_id"]),
+            broken("assignments", "paper_id in papers", "assignments WHERE paper_id NOT IN (SELECT paper_id FROM papers)", ["paper_id"]),
+            broken("lineitem", "unique l_orderkey,l_linenumber", "lineitem", ["l_orderkey", "l_linenumber"], TWICE),
+        ]
+    ),
+)
 def _(spark, d):
-    lines, orders, k, p = W.table(spark, d, "lineitem"), W.table(spark, d, "orders"), W.assignments(spark, d), W.papers(spark, d)
+    k, p, lines, e = W.assignments(spark, d), W.papers(spark, d), W.table(spark, d, "lineitem"), W.table(spark, d, "events")
+    versions = I.version_rows(p.select("paper_id", "version", F.col("o_orderdate").alias("published"), F.col("first_observed_at").alias("updated")))
+    authors = W.paper_authors(spark, d)
+    snapshots = e.select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("metric"), W.day("ts").alias("day"))
+    references = lines.select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("external_id"))
     rules = [
-        Q.unique("lineitem", lines, ["l_orderkey", "l_linenumber"]),
-        Q.unique("orders", orders, ["o_orderkey"]),
-        Q.holds("assignments", k, "membership in [0,1]", F.col("membership").between(0, 1)),
-        Q.holds("assignments", k, "noise has no cluster", F.col("is_noise") == F.col("cluster_id").isNull()),
-        Q.refers("assignments", k, "paper_id", "papers", p, "paper_id"),
-    ]
+        Q.unique("categories", W.categories(spark, d), ["code"]), Q.unique("papers", p, ["arxiv_id"]),
+        Q.refers("papers", p, "merged_into_id", "papers", p, "paper_id"), Q.holds("papers", p, "merged or canonical", F.col("is_canonical") == F.col("merged_into_id").isNull(), ["paper_id"]),
+        Q.unique("paper_versions", versions, ["paper_id", "version_number"]), Q.unique("paper_versions", versions, ["paper_id"], "is_latest"),
+        Q.unique("paper_authors", authors, ["paper_id", "author_id"]), Q.unique("paper_authors", authors, ["paper_id", "author_order"]),
+        Q.unique("metric_snapshots", snapshots, ["paper_id", "metric", "day"]), Q.unique("paper_references", references, ["citing", "external_id"]),
+        Q.unique("assignments", k, ["paper_id"]), Q.holds("assignments", k, "membership in [0,1]", F.col("membership").between(0, 1), ["paper_id"]),
+        Q.holds("assignments", k, "noise has no cluster", F.col("is_noise") == F.col("cluster_id").isNull(), ["paper_id"]),
+        Q.refers("assignments", k, "paper_id", "papers", p, "paper_id"), Q.unique("lineitem", lines, ["l_orderkey", "l_linenumber"]),
+    ]
     return Q.report(rules)
 
 
-@query("stream_queue", FOLD)
+@query("stream_queue", f"SELECT paper_id, priority, reason, array_to_string(reasons, ',') AS reasons, full_detail FROM ({fold('true')})")
 def _(spark, d):
-    from corpuslens.streaming.jobs import queue_stream
+    from corpuslens.streaming.jobs import new_folder, queue_stream
 
-    return queue_stream(spark, f"{d}/events.parquet", lambda e: requests_of(e)).select("paper_id", "priority", "reason", F.array_join("reasons", ",").alias("reasons"), "full_detail")
+    queue = queue_stream(spark, f"{d}/events.parquet", requests_of, new_folder(spark, "queue"))
+    return queue.select("paper_id", "priority", "reason", F.array_join("reasons", ",").alias("reasons"), "full_detail")
 
 
 def requests_of(events: DataFrame) -> DataFrame:
@@ -292,7 +386,7 @@ def requests_of(events: DataFrame) -> DataFrame:
 @query("stream_ingest", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def _(spark, d):
     """Arriving records, each stored once whatever is sent again."""
-    from corpuslens.streaming.jobs import ingest_stream
+    from corpuslens.streaming.jobs import ingest_stream, new_folder
 
-    stored = ingest_stream(spark, f"{d}/events.parquet", ["event_id"], "ts")
+    stored = ingest_stream(spark, f"{d}/events.parquet", ["event_id"], new_folder(spark, "ingested"))
     return stored.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))

@@ -56,11 +56,6 @@ def _(spark, d):
     return I.split_bad(I.parse_entries(entries(spark, d)))[1]
 
 
-@query("read_payload_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def _(spark, d):
-    return W.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query("arxiv_id_version", "SELECT paper_id, arxiv_id AS base_id, CAST(version AS INTEGER) AS version FROM papers")
 def _(spark, d):
     url = F.concat(F.lit("http://host/abs/"), F.col("arxiv_id"), F.lit("v"), F.col("version").cast("string"))
@@ -171,7 +166,7 @@ def _(spark, d):
 @query(
     "quota_split",
     """SELECT n AS new, b AS backlog, least(n, 400) AS new_selected, least(b, 400 - least(n, 400)) AS backlog_selected, 400 - least(n, 400) - least(b, 400 - least(n, 400)) AS unused
-    FROM (SELECT (SELECT count(*) FROM papers WHERE paper_id % 5 = 0) AS n, (SELECT CAST(coalesce(sum(greatest(0, CAST(floor(value) AS BIGINT) - 20)), 0) AS BIGINT) FROM events WHERE event_type = 'error' AND user_id < 20) AS b)""",
+    FROM (SELECT (SELECT count(*) FROM papers WHERE paper_id % 5 = 0) AS n, (SELECT CAST(coalesce(sum(greatest(0, CAST(floor(value) AS BIGINT) - 20)), 0) AS BIGINT) FROM events WHERE event_type = 'error') AS b)""",
 )
 def _(spark, d):
     """Backlog: all error events. New: papers that the stored table, four fifths of them, doesn't hold."""
@@ -180,6 +175,20 @@ def _(spark, d):
     return I.quota_split(p.join(p.filter("paper_id % 5 <> 0"), "paper_id", "left_anti"), backlog, 400)
 
 
+@query(
+    "quota_rows",
+    """SELECT paper_id, kind, win AS "window", row_number() OVER (ORDER BY kind DESC, win, published, paper_id) AS place FROM (
+    (SELECT paper_id, 'new' AS kind, NULL AS win, published FROM canonical WHERE paper_id % 7 = 0 ORDER BY published, paper_id LIMIT 90) UNION ALL
+    (SELECT paper_id, 'backlog', strftime(published, '%Y-%m'), published FROM canonical WHERE paper_id % 7 <> 0 AND month(published) % 3 <> 0 ORDER BY 3, published, paper_id LIMIT 90)) QUALIFY place <= 90""",
+)
+def _(spark, d):
+    """New: papers that the stored six sevenths lack. The backlog's windows are months, every third one done."""
+    p = W.canonical(spark, d).select("paper_id", "published", F.date_format("published", "yyyy-MM").alias("window"))
+    stored = p.filter("paper_id % 7 <> 0")
+    windows = stored.filter(F.month("published") % 3 != 0).select("window").distinct()
+    return I.quota_rows(p.join(stored.select("paper_id"), "paper_id", "left_anti"), stored, windows, 90)
+
+
 MONTHS = """SELECT CAST(date_trunc('month', day) AS DATE) AS m, CAST(date_trunc('month', day) AS DATE) + CAST(floor((day(day) - 1) / 7) * 7 AS INTEGER) AS w, day, n FROM (
     SELECT CAST(g AS DATE) AS day, coalesce(n, 0) AS n FROM generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY) t(g)
     LEFT JOIN (SELECT CAST(published AS DATE) AS x, count(*) AS n FROM canonical GROUP BY ALL) c ON CAST(g AS DATE) = c.x)"""

@@ -57,6 +57,10 @@ VIEWS = {
     "totals": """SELECT *, sum(recent_count) OVER (PARTITION BY entity_type) AS recent_total,
         sum(previous_count) OVER (PARTITION BY entity_type) AS previous_total,
         max(recent_count) OVER (PARTITION BY entity_type) AS max_recent FROM counts""",
+    "names": """SELECT 'category' AS entity_type, code AS entity_id, coalesce(display_name, code) AS entity_name FROM categories
+        UNION ALL SELECT 'cluster', CAST(cluster_id AS VARCHAR), cluster_name FROM cluster_labels""",
+    "runs": """SELECT event_id AS run_id, user_id AS kind, ts AS completed_at,
+        CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status FROM events""",
     "rates": """SELECT t.*, recent_count + previous_count AS total_papers,
         CASE WHEN previous_count > 0 THEN (recent_count - previous_count) / CAST(previous_count AS DOUBLE) WHEN recent_count = 0 THEN 0.0 END AS growth_rate,
         previous_count = 0 AND recent_count > 0 AS is_new_activity,
@@ -67,7 +71,7 @@ VIEWS = {
         (SELECT count(DISTINCT CAST(published AS DATE)) FROM cohort_papers WHERE published >= recent_start AND published < recent_end) AS recent_days
         FROM totals t, cohorts""",
     "scored": """SELECT *, recent_share - previous_share AS share_change,
-        coalesce((least(3.0, greatest(-1.0, growth_rate)) + 1) / 4, 0.5) AS growth_normalized,
+        CASE WHEN growth_rate IS NULL THEN 0.5 ELSE (least(3.0, greatest(-1.0, growth_rate)) + 1) / 4 END AS growth_normalized,
         coalesce(recent_count / CAST(nullif(max_recent, 0) AS DOUBLE), 0.0) AS volume,
         CASE WHEN total_papers < 5 THEN 'Insufficient Data' WHEN is_new_activity AND recent_count >= 3 THEN 'Emerging'
              WHEN growth_rate BETWEEN -0.10 AND 0.10 AND previous_count >= 3 THEN 'Stable'
@@ -75,7 +79,7 @@ VIEWS = {
         CASE WHEN total_papers < 5 THEN 'INSUFFICIENT' WHEN previous_count < 3 OR least(recent_days, 90) / 90.0 < 0.10 THEN 'LOW' ELSE 'MEDIUM' END AS data_quality
         FROM rates""",
     "trend": """SELECT *, 0.5 * volume + 0.5 * growth_normalized AS momentum,
-        CAST(round_even((25 * volume + 25 * growth_normalized + 15 * coalesce((least(1.0, greatest(-1.0, share_change)) + 1) / 2, 0.5)
+        CAST(round_even((25 * volume + 25 * growth_normalized + 15 * CASE WHEN share_change IS NULL THEN 0.5 ELSE (least(1.0, greatest(-1.0, share_change)) + 1) / 2 END
             + 15 * 0.5 + 10 * recency + 10 * consistency) * least(1.0, total_papers / 10.0), 0) AS BIGINT) AS trend_score FROM scored""",
 }
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import trend as T
@@ -90,6 +92,38 @@ def _(spark, d):
     return rows.select("requested", "status", state.alias("state"), (F.col("status") != "INSUFFICIENT_DATA").alias("historical_available"), T.mode_label(state).alias("label"))
 
 
+GROUPED = FRESH.replace("SELECT count(*)", "SELECT category_code, count(*)").replace("FROM canonical", "FROM canonical GROUP BY category_code")
+
+
+@query(
+    "mode_label",
+    f"""SELECT category_code, status, state, {LABEL} AS label FROM (SELECT *, {MODE} AS state FROM (SELECT category_code, {STATUS} AS status,
+    CASE WHEN CAST(substr(category_code, 4) AS BIGINT) % 2 = 0 THEN 'current' ELSE 'historical' END AS requested FROM ({GROUPED})))""",
+)
+def _(spark, d):
+    """Each category's own mode: even ones ask for current trends, odd ones for history."""
+    rows = O.freshness_inputs(W.canonical(spark, d).select("category_code", "published"), datetime(2001, 8, 10), by=("category_code",))
+    status = T.freshness(*(F.col(c) for c in ("total", "days_since", "recent", "comparison", "distinct_days")))
+    requested = F.when(F.substring("category_code", 4, 10).cast("long") % 2 == 0, "current").otherwise("historical")
+    rows = rows.withColumn("status", status).withColumn("state", T.resolved_mode(requested, F.col("status")))
+    return rows.select("category_code", "status", "state", T.mode_label(F.col("state")).alias("label"))
+
+
+@query(
+    "resolve_trend_run",
+    """SELECT 'latest' AS asked, run_id, status, strftime(completed_at, '%Y-%m-%d') AS completed FROM (SELECT * FROM runs WHERE status = 'SUCCEEDED' ORDER BY completed_at DESC, run_id DESC LIMIT 1)
+    UNION ALL SELECT 'by id', run_id, status, strftime(completed_at, '%Y-%m-%d') FROM runs WHERE run_id = (SELECT min(run_id) FROM runs WHERE status = 'FAILED')
+    UNION ALL SELECT 'unknown', run_id, status, strftime(completed_at, '%Y-%m-%d') FROM runs WHERE run_id = -1""",
+)
+def _(spark, d):
+    """The newest run that succeeded, a failed one by its id, and an id that no run has."""
+    runs = W.runs(spark, d)
+    failed = runs.filter("status = 'FAILED'").agg(F.min("run_id").alias("run_id")).first()["run_id"]
+    asked = {"latest": None, "by id": failed, "unknown": -1}
+    rows = [O.resolve_run(runs, run_id).withColumn("asked", F.lit(name)) for name, run_id in asked.items()]
+    return reduce(DataFrame.unionByName, rows).select("asked", "run_id", "status", W.day("completed_at").alias("completed"))
+
+
 @query("cohort_groups", "SELECT CAST(grp AS BIGINT) AS grp, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, count(*) AS days FROM cohort_groups GROUP BY grp")
 def _(spark, d):
     groups = O.cohort_groups(O.publication_days(W.cohort_papers(spark, d)))
@@ -210,36 +244,36 @@ def trend_pipeline(spark, d):
 
 @query(
     "trend_context",
-    f"""SELECT 'HISTORICAL_OK' AS state, 'Historical Cohort Comparison' AS label, strftime(comparison_start, '%Y-%m-%d') AS comparison_first,
-    strftime(comparison_end - 1, '%Y-%m-%d') AS comparison_last, strftime(recent_start, '%Y-%m-%d') AS recent_first, strftime(recent_end - 1, '%Y-%m-%d') AS recent_last,
-    (SELECT count(*) FROM counts) AS entities FROM cohorts""",
+    f"""SELECT requested, status, state, {LABEL} AS label, strftime(comparison_start, '%Y-%m-%d') AS comparison_first, strftime(comparison_end - 1, '%Y-%m-%d') AS comparison_last,
+    strftime(recent_start, '%Y-%m-%d') AS recent_first, strftime(recent_end - 1, '%Y-%m-%d') AS recent_last, total AS papers, (SELECT count(*) FROM counts) AS entities
+    FROM (SELECT *, {MODE} AS state FROM (SELECT *, {STATUS} AS status FROM ({FRESH})), (VALUES ('current'), ('historical')) r(requested)), cohorts""",
 )
 def _(spark, d):
+    """The header of a run asked for either way: its state follows from the corpus."""
     w = O.cohort_windows(W.cohort_papers(spark, d))
-    state = F.lit("HISTORICAL_OK")
     counted = O.window_counts(members(spark, d), w).agg(F.count("*").alias("entities"))
-    return counted.select(
-        state.alias("state"), T.mode_label(state).alias("label"), F.lit(w[0].isoformat()).alias("comparison_first"), W.day(F.date_sub(F.lit(w[1]), 1)).alias("comparison_last"),
-        F.lit(w[2].isoformat()).alias("recent_first"), W.day(F.date_sub(F.lit(w[3]), 1)).alias("recent_last"), "entities",
+    status = T.freshness(*(F.col(c) for c in ("total", "days_since", "recent", "comparison", "distinct_days")))
+    rows = freshness(spark, d).select(F.col("total").alias("papers"), status.alias("status"), F.explode(F.array(F.lit("current"), F.lit("historical"))).alias("requested"))
+    rows = rows.withColumn("state", T.resolved_mode(F.col("requested"), F.col("status"))).crossJoin(F.broadcast(counted))  # one row
+    return rows.select(
+        "requested", "status", "state", T.mode_label(F.col("state")).alias("label"), F.lit(w[0].isoformat()).alias("comparison_first"), W.day(F.date_sub(F.lit(w[1]), 1)).alias("comparison_last"),
+        F.lit(w[2].isoformat()).alias("recent_first"), W.day(F.date_sub(F.lit(w[3]), 1)).alias("recent_last"), "papers", "entities",
     )
 
 
-def page(name, sql, **named):
-    columns = "entity_type, entity_id, recent_count, trend_score, round(growth_rate, 6) AS growth_rate, trend_class"
+def page(name, where, order, cut, **named):
+    columns = "entity_type, entity_id, coalesce(entity_name, entity_id) AS entity_name, recent_count, trend_score, round(growth_rate, 6) AS growth_rate, trend_class, count(*) OVER () AS total"
 
-    @query(name, f"SELECT {columns} FROM trend {sql}")
+    @query(name, f"SELECT {columns} FROM trend LEFT JOIN names USING (entity_type, entity_id) {where} ORDER BY {order} NULLS LAST, coalesce(entity_name, entity_id), entity_id {cut}")
     def _(spark, d):
-        rows = O.trend_list(scores(spark, d)[0], **named)
-        return rows.select("entity_type", "entity_id", "recent_count", "trend_score", r6("growth_rate"), "trend_class")
+        rows = O.trend_list(scores(spark, d)[0], W.entity_names(spark, d), **named)
+        return rows.select("entity_type", "entity_id", "entity_name", "recent_count", "trend_score", r6("growth_rate"), "trend_class", "total")
 
 
-page("trend_list", "WHERE trend_score >= 10 ORDER BY trend_score DESC NULLS LAST, entity_type, entity_id LIMIT 10 OFFSET 5", min_score=10, limit=10, offset=5)
-page(
-    "trend_list_growth", "WHERE entity_type = 'category' ORDER BY growth_rate ASC NULLS LAST, entity_type, entity_id LIMIT 15",
-    entity_type="category", sort="growth_rate", descending=False, limit=15,
-)
-page("trend_by_class", "WHERE trend_class = 'Cooling' ORDER BY trend_score DESC NULLS LAST, entity_type, entity_id LIMIT 100", trend_class="Cooling", limit=100)
-page("top_movers", "ORDER BY trend_score DESC NULLS LAST, entity_type, entity_id LIMIT 8", limit=8)
+page("trend_list", "WHERE trend_score >= 10", "trend_score DESC", "LIMIT 10 OFFSET 5", min_score=10, limit=10, offset=5)
+page("trend_list_growth", "WHERE entity_type = 'category'", "growth_rate ASC", "LIMIT 15", entity_type="category", sort="growth_rate", descending=False, limit=15)
+page("trend_by_class", "WHERE trend_class = 'Cooling'", "trend_score DESC", "LIMIT 100", trend_class="Cooling", limit=100)
+page("top_movers", "", "trend_score DESC", "LIMIT 8", limit=8)
 
 
 @query(
@@ -295,12 +329,13 @@ def _(spark, d):
 
 @query(
     "trend_overview",
-    """SELECT entity_type, trend_class, entity_id, trend_score, r FROM (SELECT *, row_number() OVER (PARTITION BY entity_type, trend_class ORDER BY trend_score DESC, entity_id) AS r FROM trend
-    WHERE trend_class IN ('Emerging', 'Stable', 'Cooling')) WHERE r <= 5""",
+    """SELECT 'entities' AS section, entity_type, NULL AS item, NULL AS place, count(*) AS value FROM trend GROUP BY entity_type
+    UNION ALL SELECT 'classes', entity_type, trend_class, NULL, count(*) FROM trend GROUP BY ALL
+    UNION ALL SELECT 'qualities', entity_type, data_quality, NULL, count(*) FROM trend GROUP BY ALL
+    UNION ALL SELECT 'top', entity_type, trend_class || ': ' || entity_name, r, trend_score FROM (SELECT *, row_number() OVER (PARTITION BY trend_class ORDER BY trend_score DESC NULLS LAST, entity_name, entity_id) AS r
+        FROM (SELECT t.*, coalesce(n.entity_name, t.entity_id) AS entity_name FROM trend t LEFT JOIN names n USING (entity_type, entity_id)) WHERE trend_class IN ('Emerging', 'Stable', 'Cooling')) WHERE r <= 5
+    UNION ALL SELECT 'message', NULL, 'Historical Cohort Comparison: papers of ' || strftime(comparison_start, '%Y-%m-%d') || ' to ' || strftime(comparison_end - 1, '%Y-%m-%d')
+        || ' against papers of ' || strftime(recent_start, '%Y-%m-%d') || ' to ' || strftime(recent_end - 1, '%Y-%m-%d') || '.', NULL, (SELECT count(*) FROM trend) FROM cohorts""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("entity_type", "trend_class").orderBy(F.desc("trend_score"), "entity_id")
-    rows = scores(spark, d)[0].filter(F.col("trend_class").isin("Emerging", "Stable", "Cooling"))
-    return rows.withColumn("r", F.row_number().over(order).cast("long")).filter("r <= 5").select("entity_type", "trend_class", "entity_id", "trend_score", "r")
+    return O.overview(scores(spark, d)[0], W.entity_names(spark, d), O.cohort_windows(W.cohort_papers(spark, d)))

@@ -33,7 +33,7 @@ def append_run(run: DataFrame, children: dict[str, DataFrame], path: str) -> Non
 def read_run_children(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Children of succeeded runs."""
     done = spark.read.parquet(f"{path}/runs").filter("status = 'SUCCEEDED'").select("run_id")
-    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(done) if done.count() < 10_000 else done, "run_id", "left_semi")
+    return spark.read.parquet(f"{path}/{name}").join(done, "run_id", "left_semi")
 
 
 def delete_run_cascade(tables: dict[str, DataFrame], removed: DataFrame) -> dict[str, DataFrame]:

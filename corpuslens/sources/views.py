@@ -16,12 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that are orders. The canonical paper of equal texts has the smallest id; texts meet by hash."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    """Documents that are orders. The canonical paper of equal texts has the smallest id; texts meet by hash. A doc_id is one document."""
+    docs = table(spark, d, "documents")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    joined = docs.join(orders, "doc_id").withColumn("hash", F.sha2("text", 256))
-    firsts = joined.groupBy("hash").agg(F.min("doc_id").alias("keeper"))
-    return joined.join(firsts, "hash").select(
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("hash")).join(orders, "doc_id")
+    firsts = hashed.groupBy("hash").agg(F.min("doc_id").alias("keeper"))
+    keyed = hashed.join(firsts, "hash").select("doc_id", "o_orderdate", "keeper")  # ids and dates only; texts join last
+    return docs.select("doc_id", "text", "source").join(keyed, "doc_id").select(
         F.col("doc_id").alias("paper_id"),
         F.concat(F.date_format("o_orderdate", "yyMM"), F.lit("."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("arxiv_id"),
         F.substring(normalize_text(F.col("text")), 1, 60).alias("title"),
@@ -123,6 +124,19 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
     return assignments(spark, d).join(p, "paper_id")
 
 
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """Analysis runs: an event each; its user is the kind of run, its type the outcome."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "FAILED").when(kind == "signup", "RUNNING").otherwise("SUCCEEDED")
+    return table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("kind"), F.col("ts").alias("completed_at"), status.alias("status"))
+
+
+def entity_names(spark: SparkSession, d: str) -> DataFrame:
+    """(entity_type, entity_id, entity_name) of categories and labelled clusters."""
+    named = categories(spark, d).select(F.lit("category").alias("entity_type"), F.col("code").alias("entity_id"), F.coalesce("display_name", "code").alias("entity_name"))
+    return named.unionByName(cluster_labels(spark).select(F.lit("cluster").alias("entity_type"), F.col("cluster_id").cast("string").alias("entity_id"), F.col("cluster_name").alias("entity_name")))
+
+
 def cohort_papers(spark: SparkSession, d: str) -> DataFrame:
     return canonical(spark, d).filter(F.year("o_orderdate").isin(1995, 2001))
 
