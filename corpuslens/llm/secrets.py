@@ -42,21 +42,26 @@ def scan(text: Column) -> Column:
     )
 
 
+def addresses(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__path, __blob): the content address of every version; written once."""
+    return materialise(versions.select(F.col(path_col).alias("__path"), F.sha2(filled(text_col), 256).alias("__blob")), "secret-paths")
+
+
 def ledger_scan(
     versions: DataFrame,
     ledger: DataFrame | None = None,
     rules_version: str = RULES_VERSION,
     path_col: str = "doc_id",
     text_col: str = "text",
+    paths: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new ledger rows, one row per path with its blob).
 
     ``ledger`` has (blob, rules_version, findings). One row of each unseen blob
     carries the text to the scan: the choice among equal texts is by smallest
-    path, and only ids are shuffled to make it.
+    path, and only ids are shuffled to make it. ``paths``: the versions' addresses, if known.
     """
-    paths = versions.select(F.col(path_col).alias("__path"), F.sha2(filled(text_col), 256).alias("__blob"))
-    paths = materialise(paths, "secret-paths")
+    paths = addresses(versions, path_col, text_col) if paths is None else paths
     first = paths.groupBy("__blob").agg(F.min("__path").alias("__path"))
     if ledger is not None:
         seen = ledger.filter(F.col("rules_version") == rules_version).select(F.col("blob").alias("__blob")).distinct()
@@ -115,9 +120,10 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, in two runs: the ledger of the older half (by doc_id) is there when all versions come, so only blobs new to it are scanned."""
     docs = read(spark, sf_dir, "documents")
     ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    older = docs.filter(F.col("doc_id") <= ((ends["low"] or 0) + (ends["high"] or 0)) // 2)
-    earlier, _ = ledger_scan(older)
-    new, paths = ledger_scan(docs, earlier)
+    middle = ((ends["low"] or 0) + (ends["high"] or 0)) // 2
+    paths = addresses(docs)
+    earlier, _ = ledger_scan(docs.filter(F.col("doc_id") <= middle), paths=paths.filter(F.col("__path") <= middle))
+    new, _ = ledger_scan(docs, earlier, paths=paths)
     rows = findings_by_path(paths, earlier.unionByName(new))
     base = F.filter("findings", lambda s: s["ord"] < len(BASE))
     return rows.select(
