@@ -35,14 +35,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(union, F.lit(0)))
 
 
+#: Headings of an embedded text, and what stands for no category.
+HEADINGS = ("Title: ", "\n\nAbstract: ", "\n\nPrimary Category: ")
+NO_CATEGORY = "Unknown"
+
+
 def canonical_text(title: Column, abstract: Column, category: Column) -> Column:
     """What is embedded: title, abstract and category under headings; null where title or abstract is blank."""
     def tidy(c: Column) -> Column:
         return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
     whole = F.concat(
-        F.lit("Title: "), tidy(title), F.lit("\n\nAbstract: "), tidy(abstract),
-        F.lit("\n\nPrimary Category: "), F.coalesce(F.nullif(tidy(category), F.lit("")), F.lit("Unknown")),
+        F.lit(HEADINGS[0]), tidy(title), F.lit(HEADINGS[1]), tidy(abstract),
+        F.lit(HEADINGS[2]), F.coalesce(F.nullif(tidy(category), F.lit("")), F.lit(NO_CATEGORY)),
     )
     return F.when((F.length(tidy(title)) > 0) & (F.length(tidy(abstract)) > 0), whole)
 
