@@ -148,14 +148,19 @@ class Joined(Prefixes):
         return (self.head.at(k, self.keep) + self.tail.at(k, i - self.keep) * int(POWERS[k].up[self.keep])) % MODULI[k]
 
 
-def fingerprint_of(text: Prefixes) -> str:
+class Fingerprint:
     """Length, whole hash, and 24-bit hashes of the prefixes at every multiple of a power-of-two stride."""
-    n = text.n
-    stride = 1 << max(0, (-(-n // GRID) - 1).bit_length())
-    one, two = text.prefix(np.arange(stride, n + 1, stride))
-    short = (one ^ (two >> np.uint64(7))) & np.uint64(0xFFFFFF)
-    grid = np.ascontiguousarray(short.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
-    return f"{n}:{text.at(0, n):08x}{text.at(1, n):08x}:{base64.b64encode(grid).decode()}"
+
+    def __init__(self, text: Prefixes):
+        n = self.n = text.n
+        stride = 1 << max(0, (-(-n // GRID) - 1).bit_length())
+        one, two = text.prefix(np.arange(stride, n + 1, stride))
+        self.grid = (one ^ (two >> np.uint64(7))) & np.uint64(0xFFFFFF)
+        self.whole = f"{text.at(0, n):08x}{text.at(1, n):08x}"
+
+    def __str__(self) -> str:
+        grid = np.ascontiguousarray(self.grid.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
+        return f"{self.n}:{self.whole}:{base64.b64encode(grid).decode()}"
 
 
 def likeness(a: Prefixes, b: Prefixes) -> float:
@@ -203,7 +208,7 @@ def _row(doc: tuple, following: tuple) -> tuple:
     take = min(n // 2, next_hashes.n)
     edited = Joined(hashes, n - n // 2, next_hashes, take)
     digest = hashlib.sha256((text[: n - n // 2] + next_text[:take]).encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, n, digest, fingerprint_of(hashes), fingerprint_of(edited), likeness(hashes, edited), likeness(hashes, next_hashes)
+    return doc_id, n, digest, str(Fingerprint(hashes)), str(Fingerprint(edited)), likeness(hashes, edited), likeness(hashes, next_hashes)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
