@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import fingerprints, packing, partenum, pieces, pii, quality, rules, secrets, sharding, sql, warc
+from corpuslens.llm import fingerprints, mixing, negatives, packing, partenum, phrases, pieces, pii, quality, rules, secrets, sharding, sql, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_private_terms": pii.op8_private_terms,
     "op9_secret_ledger": secrets.op9_secret_ledger,
     "op10_partenum": partenum.op10_partenum,
+    "op11_fair_queue": mixing.op11_fair_queue,
+    "op12_trie_phrases": phrases.op12_trie_phrases,
+    "op13_one_bit_negatives": negatives.op13_one_bit_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +26,7 @@ SQL: dict[str, str] = {
     "op8_private_terms": sql.PRIVATE,
     "op9_secret_ledger": sql.SECRETS,
     "op10_partenum": sql.NEAR,
+    "op11_fair_queue": sql.MIX,
+    "op12_trie_phrases": sql.PHRASES,
+    "op13_one_bit_negatives": sql.NEGATIVES,
 }

@@ -110,3 +110,46 @@ found AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, coun
 SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
     sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM t LEFT JOIN found USING (doc_id)
 """
+
+MIX = rf"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_rank FROM t GROUP BY source),
+w AS (SELECT *, [5, 2, 1][source_rank % 3 + 1] AS weight FROM s),
+o AS (SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+    sum(weight) OVER (ORDER BY source_size / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+f AS (SELECT *, left_over * weight > 3 * source_size * weights AS is_full FROM o),
+g AS (SELECT source, source_rank, source_size,
+    CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE max(CASE WHEN NOT is_full THEN CAST(left_over AS DOUBLE) / CAST(weights AS DOUBLE) END) OVER () * weight END AS target FROM f),
+q AS (SELECT t.doc_id, t.size, t.source, source_rank, source_size, target, row_number() OVER () AS one,
+    sum(size) OVER (PARTITION BY t.source ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT one, size, source_rank, CAST(place + e * source_size AS DOUBLE) / target AS finish FROM q, range(3) r(e) WHERE size > 0),
+m AS (SELECT one, size, sum(size) OVER (ORDER BY finish, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM c),
+k AS (SELECT one, sum(size) AS taken FROM m WHERE upto <= (SELECT sum(size) FROM t) GROUP BY one)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM q LEFT JOIN k USING (one)
+"""
+
+PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(words[i + 1:i + k], ' ') AS phrase FROM w, range(1, 5) a(k), unnest(range(len(words) - k + 1)) b(i)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.k, a, j, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score FROM c, range(1, 4) x(j), f l, f r
+    WHERE j < c.k AND l.lang = c.lang AND r.lang = c.lang AND l.phrase = array_to_string(c.words[1:j], ' ') AND r.phrase = array_to_string(c.words[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_parts AS (SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 4) y(s), range(1, 4) z(i) WHERE s < k AND i + s - 1 <= k GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS ints FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same, CAST(list_inner_product(a.ints, v.ints) AS BIGINT) AS score FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+r AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS rank
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
