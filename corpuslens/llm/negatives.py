@@ -109,32 +109,33 @@ class Anchor:
             self.scale.append(step)
             self.loss.append(float(np.sqrt(((turned[0] - step * whole) ** 2).sum())))
 
-    def estimate(self, code: np.ndarray, alignment: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimate, error bound) of the unit products with the coded rows."""
-        n, levels, words = code.shape
-        middle, error, d = np.zeros(n), np.zeros(n), 64 * words
-        for level in range(levels):
-            own = code[:, level]
-            hits = np.zeros(n, np.int64)
-            ones = np.bitwise_count(own).sum(axis=1, dtype=np.int64)
-            for p, plane in enumerate(self.words[level]):
-                hits += np.bitwise_count(own & plane).sum(axis=1, dtype=np.int64) << p
-            offset = 2 ** (len(self.words[level]) - 1)
+    def estimate(self, block: Block, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(estimate, error bound) of the unit products with rows of a block."""
+        error = block.rest[rows] + 1e-9  # the anchor has length 1
+        middle = np.zeros(len(error))
+        for level, planes in enumerate(self.words):
+            own = block.words[level][:, rows]
+            hits = np.zeros(len(error), np.int32)
+            for p, plane in enumerate(planes):
+                for word, bits in zip(own, plane, strict=True):
+                    hits += np.bitwise_count(word & bits).astype(np.int32) << p
             # sum of signs * whole = 2 * (shifted over set bits) - (shifted over all) - offset * (set - unset)
-            whole = 2 * hits - self.sums[level] - offset * (2 * ones - d)
-            middle += alignment[:, level] * (self.scale[level] / np.sqrt(d)) * whole
-            error += alignment[:, level] * self.loss[level]
-        return middle, error + rest + 1e-9  # the anchor has length 1
-
-    def interval(self, block: Block, rows: slice | np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+            offset, d = 2 ** (len(planes) - 1), 64 * len(own)
+            whole = 2 * hits - offset * (2 * block.ones[level][rows] - d) - self.sums[level]
+            along = block.along[level][rows]
+            middle += (self.scale[level] / np.sqrt(d)) * along * whole
+            error += self.loss[level] * along
+        return middle, error
+
+    def interval(self, block: Block, rows: slice, size: float) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the scores of rows of a block."""
-        middle, error = self.estimate(block.code[rows], block.alignment[rows], block.rest[rows])
+        middle, error = self.estimate(block, rows)
         length = block.size[rows] * size
         return (middle - error) * length - 0.5, (middle + error) * length + 0.5
 
 
 class Block:
-    """Columns of coded rows as arrays, ordered by label and id."""
+    """Columns of coded rows as arrays, ordered by label and id; codes by level and word."""
 
     def __init__(self, table: pa.Table):
         table = table.sort_by([("label", "ascending"), ("vec_id", "ascending")])
@@ -143,8 +144,10 @@ class Block:
         flat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(n, -1)
         self.ids, self.labels, self.size, self.rest = (column(c) for c in ("vec_id", "label", "size", "rest"))
         self.ints = flat("ints", np.float64)
-        self.alignment = table["alignment"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        self.code = flat("code", np.uint64).reshape(n, self.alignment.shape[1], -1)
+        self.along = np.ascontiguousarray(table["alignment"].combine_chunks().flatten().to_numpy().reshape(n, -1).T)
+        levels = len(self.along)
+        self.words = np.ascontiguousarray(flat("code", np.uint64).reshape(n, levels, -1).transpose(1, 2, 0))
+        self.ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int32)
 
     def of(self, label: int) -> slice:
         return slice(int(np.searchsorted(self.labels, label)), int(np.searchsorted(self.labels, label, "right")))
@@ -204,10 +207,11 @@ def _positives(n: int):
             block = Block(right)
             for anchor in anchors_of(left):
                 own = block.of(anchor["label"])
-                at = np.arange(own.start, own.stop)[block.ids[own] != anchor["vec_id"]]
-                if len(at) > n:
-                    low, high = anchor["codes"].interval(block, at, anchor["size"])
-                    at = at[high >= np.partition(low, len(low) - n)[len(low) - n]]
+                other = block.ids[own] != anchor["vec_id"]
+                if other.sum() > n:
+                    low, high = anchor["codes"].interval(block, own, anchor["size"])
+                    other &= high >= np.partition(low[other], -n)[-n]
+                at = own.start + np.flatnonzero(other)
                 scores = block.ints[at] @ anchor["ints"]
                 top = best_first(scores, block.ids[at], n)
                 for column, values in zip(out, ([anchor["vec_id"]] * len(top), block.ids[at][top], scores[top].astype(np.int64)), strict=True):
@@ -231,23 +235,20 @@ def _negatives(n: int, low_share: int, high_share: int):
         if left.num_rows and right.num_rows:
             block = Block(right)
             for anchor in anchors_of(left):
-                own = block.of(anchor["label"])
-                at = np.r_[0 : own.start, own.stop : block.n]
-                at = at[block.ids[at] != anchor["vec_id"]]
-                if not len(at):
-                    continue
-                low, high = anchor["codes"].interval(block, at, anchor["size"])
-                bands, near = [], np.zeros(len(at), bool)
+                other = block.ids != anchor["vec_id"]
+                other[block.of(anchor["label"])] = False
+                low, high = anchor["codes"].interval(block, slice(None), anchor["size"])
+                bands, near = [], np.zeros(block.n, bool)
                 for p in anchor["positives"]:
                     score = p["positive_score"]
                     least, most = -(-low_share * score // 100), high_share * score // 100
-                    may = (high >= least) & (low <= most)
+                    may = (high >= least) & (low <= most) & other
                     sure = low[may & (low >= least) & (high <= most)]
                     if len(sure) > n:
-                        may &= high >= np.partition(sure, len(sure) - n)[len(sure) - n]
+                        may &= high >= np.partition(sure, -n)[-n]
                     bands.append((p["positive_id"], score, least, most))
                     near |= may
-                at = at[near]
+                at = np.flatnonzero(near)
                 scores = (block.ints[at] @ anchor["ints"]).astype(np.int64)
                 for positive, score, least, most in bands:
                     inside = np.flatnonzero((scores >= least) & (scores <= most))
