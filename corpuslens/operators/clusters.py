@@ -1,4 +1,4 @@
-"""Clusters: assignments, profiles, labels, and density clustering."""
+"""Clusters: assignments, profiles and labels."""
 
 from __future__ import annotations
 
@@ -191,30 +191,3 @@ def size_chart(sizes: DataFrame, unclustered: DataFrame, n: int = 6) -> DataFram
     rows = top.select(place.alias("place"), "symbol", F.col("cluster_name").alias("name"), "papers")
     rest = unclustered.agg(F.count("*").alias("papers")).select(F.lit(n + 1).cast("long").alias("place"), F.lit(None).cast("string").alias("symbol"), F.lit("Unclustered").alias("name"), "papers")
     return rows.unionByName(rest)
-
-
-def density_cluster(vectors: DataFrame, components, near: DataFrame, min_size: int = 5, core: int = 3, eps: float | None = None, quantile: float = 0.9) -> DataFrame:
-    """(paper_id, cluster_id, membership, is_noise) of (paper_id) rows and their nearest neighbours.
-
-    Core distance: to the ``core``-th neighbour. Neighbours whose mutual
-    reachability is at most ``eps`` (a quantile of core distances unless given)
-    are tied; components of ``min_size`` and more are clusters, numbered by size.
-    With a quantile some 1 - q of the papers are noise by construction.
-    """
-    gap = F.greatest(F.lit(0.0), 1 - F.col("similarity"))
-    edges = near.select("id", "neighbour", gap.alias("gap"), "rank")
-    cores = edges.filter(F.col("rank") == core).select("id", F.col("gap").alias("core"))
-    if eps is None:
-        eps = cores.agg(F.percentile_approx("core", quantile, 100_000)).first()[0]
-    reach = edges.join(cores, "id").join(cores.toDF("neighbour", "other_core"), "neighbour")
-    tied = reach.filter(F.greatest("gap", "core", "other_core") <= F.lit(eps) + 1e-12).select(F.col("id").alias("u"), F.col("neighbour").alias("v"))
-    found = components(tied)
-    order = Window.orderBy(F.desc("size"), "component")
-    kept = found.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
-    numbered = kept.withColumn("cluster_id", F.row_number().over(order) - 1)
-    rows = vectors.select("paper_id").join(found.withColumnRenamed("node", "paper_id"), "paper_id", "left").join(numbered, "component", "left")
-    rows = rows.join(cores.toDF("paper_id", "core"), "paper_id", "left")
-    least = F.min("core").over(Window.partitionBy("cluster_id"))
-    member = F.when(F.col("core") > 0, least / F.nullif("core", F.lit(0.0))).otherwise(1.0)
-    noise = F.col("cluster_id").isNull()
-    return rows.select("paper_id", "cluster_id", F.when(noise, 0.0).otherwise(F.least(F.lit(1.0), member)).alias("membership"), noise.alias("is_noise"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions import vector as V
 from corpuslens.functions.text import short_abstract
 from corpuslens.operators import clusters as C
 from corpuslens.operators.clusters import STOP_WORDS
@@ -286,15 +285,3 @@ def _(spark, d):
     cited = rows.filter("NOT is_noise").groupBy("cluster_id").agg(F.min("paper_id").alias("paper_id")).unionByName(near.filter("rank = 1").select("cluster_id", "paper_id"))
     titled = near.select("cluster_id", "paper_id").join(rows.select("paper_id", "title"), "paper_id")
     return cited.join(titled, ["cluster_id", "paper_id"], "left").select("cluster_id", "paper_id", "title")
-
-
-@query("density_cluster")
-def _(spark, d):
-    """Planted clusters: each label adds 2 on an axis of its own; iterative, so tests hold purity and noise."""
-    from corpuslens.operators.components import components
-    from corpuslens.operators.search import knn_join
-
-    pushed = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), 2.0).otherwise(0.0))
-    own = W.embedded(spark, d).select("paper_id", "label", V.normalized(pushed).alias("embedding"))
-    near = knn_join(own.select("paper_id", "embedding"), 5)
-    return C.density_cluster(own, components, near).join(own.select("paper_id", "label"), "paper_id").select("paper_id", "cluster_id", F.round("membership", 6).alias("membership"), "is_noise", "label")

@@ -106,17 +106,6 @@ def test_label_validation(spark):
     assert {r.cluster_id: (r.status, r.used) for r in found.collect()} == {0: ("SUCCEEDED", "primary"), 1: ("SUCCEEDED", "fallback"), 2: ("FAILED", None), 3: ("FAILED", None)}
 
 
-def test_density_clusters_find_what_was_planted(spark):
-    from corpuslens import plans
-
-    rows = plans.QUERIES["density_cluster"](spark, "/root/testdata/sf0.01").toPandas()
-    kept = rows[~rows.is_noise]
-    assert kept.groupby("cluster_id").label.nunique().max() == 1
-    assert kept.label.nunique() == 10
-    assert rows.is_noise.mean() < 0.3
-    assert (kept.membership.between(0, 1)).all()
-
-
 def test_identities_are_claimed_once(spark):
     authors = spark.createDataFrame([(1, 10, 1, "a"), (1, 11, 2, "a"), (2, 11, 1, "a")], "paper_id long, author_id long, position long, name string")
     identities = spark.createDataFrame([(1, "a", "I"), (2, "a", "J")], "paper_id long, name string, identity string")
@@ -135,15 +124,6 @@ def test_queue_keeps_matched_rows(spark):
     assert (found[2].status, found[2].priority, found[2].reason) == ("PENDING", 4, "USER_FACING")
 
 
-def test_lsh_recall(spark):
-    from corpuslens.sources import views
-
-    vectors = views.embedded(spark, "/root/testdata/sf0.001").select("paper_id", "embedding").filter("paper_id < 200")
-    exact = {(r.id, r.neighbour) for r in search.knn_join(vectors, 1).collect()}
-    found = {(r.id, r.neighbour) for r in search.knn_lsh(vectors, 1, reach=2.0).collect()}
-    assert len(exact & found) / len(exact) > 0.5
-
-
 def test_runs_are_published_whole_and_removed(spark, tmp_path):
     from corpuslens.sources import io
 
