@@ -374,6 +374,20 @@ def _(spark, d):
     return queue.select("paper_id", "priority", "reason", F.array_join("reasons", ",").alias("reasons"), "full_detail")
 
 
+@query("stream_queue_state", f"SELECT paper_id, priority, reason, array_to_string(reasons, ',') AS reasons, full_detail, 'PENDING' AS status FROM ({fold('true')})")
+def _(spark, d):
+    """The same requests, folded by keyed state with timers."""
+    from corpuslens.streaming.jobs import new_folder
+    from corpuslens.streaming.queue import run_queue
+
+    def arrivals(events: DataFrame) -> DataFrame:
+        asked = requests_of(events)
+        return asked.select("paper_id", "source", F.timestamp_seconds("seq").alias("ts"), "seq", F.lit("request").alias("kind"), "reason", F.lit(None).cast("double").alias("age_days"), "full_detail")
+
+    queue, _ = run_queue(arrivals, f"{d}/events.parquet", new_folder(spark, "queue-state"), spark)
+    return queue.select("paper_id", "priority", "reason", "reasons", "full_detail", "status")
+
+
 def requests_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     reason = (
