@@ -120,19 +120,18 @@ RESPONSE = "cluster_name string, short_description string, keywords array<string
 def label_validate(responses: DataFrame, allowed: DataFrame) -> DataFrame:
     """(cluster_id, status, used, cluster_name, confidence): the primary response if valid, else the fallback, else FAILED.
 
-    ``responses``: cluster_id, provider (primary or fallback), body (JSON). ``allowed``: cluster_id, paper_id.
+    ``responses``: cluster_id, provider (primary or fallback), body (JSON). ``allowed``: cluster_id, paper_id of the
+    representatives that the labeller was given; a response that cites any other paper is not valid. Keywords and evidence may be empty lists, not absent;
+    name and description may not be empty.
     """
-    ids = allowed.groupBy("cluster_id").agg(F.collect_set("paper_id").alias("ids"))
-    r = responses.withColumn("r", F.from_json("body", RESPONSE)).join(ids, "cluster_id", "left")
-    cited = F.transform("r.evidence", lambda e: e["paper_id"])
-    text = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
-    valid = (
-        text("r.cluster_name") & text("r.short_description") & (F.coalesce(F.size("r.keywords"), F.lit(0)) > 0)
-        & F.coalesce(F.col("r.confidence").between(0, 1), F.lit(False)) & (F.coalesce(F.size("r.evidence"), F.lit(0)) > 0)
-        & (F.size(F.array_except(cited, F.coalesce("ids", F.array().cast("array<bigint>")))) == 0)
-    )
+    r = responses.select("cluster_id", "provider", F.explode(F.array(F.from_json("body", RESPONSE))).alias("r"))  # parsed once
+    cited = r.select("cluster_id", "provider", F.explode("r.evidence").alias("e")).select("cluster_id", "provider", F.col("e.paper_id").alias("paper_id"))
+    invented = cited.join(allowed.select("cluster_id", "paper_id"), ["cluster_id", "paper_id"], "left_anti").select("cluster_id", "provider").distinct()
+    text = lambda c: F.length(F.col(c)) > 0
+    whole = F.forall("r.evidence", lambda e: e["paper_id"].isNotNull() & e["reason"].isNotNull()) & F.forall("r.keywords", lambda k: k.isNotNull())
+    valid = text("r.cluster_name") & text("r.short_description") & F.col("r.confidence").between(0, 1) & whole
     best = F.min_by(F.struct("provider", "r.cluster_name", "r.confidence"), F.when(F.col("provider") == "primary", 0).otherwise(1))
-    good = r.filter(F.coalesce(valid, F.lit(False))).groupBy("cluster_id").agg(best.alias("b"))
+    good = r.filter(F.coalesce(valid, F.lit(False))).join(invented, ["cluster_id", "provider"], "left_anti").groupBy("cluster_id").agg(best.alias("b"))
     rows = responses.select("cluster_id").distinct().join(good, "cluster_id", "left")
     return rows.select(
         "cluster_id", F.when(F.col("b").isNull(), "FAILED").otherwise("SUCCEEDED").alias("status"),

@@ -31,7 +31,7 @@ def parse_entries(entries: DataFrame, xml: str = "entry") -> DataFrame:
     url = F.col("e.id")
     ids = id_and_version(url)
     primary = F.col("e")["arxiv:primary_category"]["_term"]
-    categories = F.transform("e.category", lambda c: c["_term"])
+    categories = F.filter(F.transform("e.category", lambda c: c["_term"]), lambda t: F.length(t) > 0)
     blank = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
     error = (
         F.when(blank(url), "missing id").when(ids["base_id"].isNull(), "no version in id").when(blank(F.col("e.title")), "missing title")
@@ -39,14 +39,16 @@ def parse_entries(entries: DataFrame, xml: str = "entry") -> DataFrame:
         .when(F.try_to_timestamp("e.published", F.lit(STAMP)).isNull(), "missing published date")
         .when(F.try_to_timestamp("e.updated", F.lit(STAMP)).isNull(), "missing updated date")
     )
-    authors = F.transform("e.author", lambda a, i: F.struct((i + 1).cast("long").alias("author_order"), F.trim(a["name"]).alias("name")))
+    placed = F.transform("e.author", lambda a, i: F.struct((i + 1).cast("long").alias("author_order"), F.trim(a["name"]).alias("name")))
+    authors = F.filter(placed, lambda a: F.length(a["name"]) > 0)  # one without a name keeps its place from others
+    other_links = F.filter("e.link", lambda x: ~F.coalesce(x["_title"] == "pdf", F.lit(False)))
     return e.select(
         *[c for c in entries.columns if c != xml],
         ids["base_id"].alias("arxiv_id"), ids["version"].alias("version"), normalize_text(F.col("e.title")).alias("normalized_title"),
         F.col("e.title").alias("title"), F.col("e.summary").alias("abstract"), primary.alias("primary_category"), secondary(categories, primary).alias("secondary_categories"),
         F.try_to_timestamp("e.published", F.lit(STAMP)).alias("published"), F.try_to_timestamp("e.updated", F.lit(STAMP)).alias("updated"),
-        F.col("e")["arxiv:doi"].alias("doi"), authors.alias("authors"),
-        link_of(F.col("e.link"), "_title", "pdf").alias("pdf_url"), link_of(F.col("e.link"), "_rel", "alternate").alias("abstract_url"),
+        F.nullif(F.trim(F.col("e")["arxiv:doi"]), F.lit("")).alias("doi"), authors.alias("authors"),
+        link_of(F.col("e.link"), "_title", "pdf").alias("pdf_url"), link_of(other_links, "_rel", "alternate").alias("abstract_url"),
         error.alias("error"), F.coalesce(ids["base_id"], url).alias("source_identifier"),
     )
 

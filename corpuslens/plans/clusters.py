@@ -193,20 +193,21 @@ VALIDATED = """SELECT cluster_id, CASE WHEN cluster_id % 4 = 3 THEN 'FAILED' ELS
 
 
 def label_validate(spark, d):
-    """Responses made from the clusters: good ones, a confidence out of range, an unknown paper, and none that is valid."""
-    rows = W.clustered(spark, d).filter("NOT is_noise").select("cluster_id", "paper_id")
-    first = rows.groupBy("cluster_id").agg(F.min("paper_id").alias("paper_id"))
+    """Responses made from the clusters: good ones (without keywords), a confidence out of range, a paper of the cluster that isn't
+    among the representatives supplied, and none that is valid."""
+    near = C.representatives(W.clustered(spark, d), 4)
+    first = near.groupBy("cluster_id").agg(F.min_by("paper_id", "rank").alias("paper_id"), F.max(F.when(F.col("rank") == 4, F.col("paper_id"))).alias("fourth"))
     responses = first.withColumn("provider", F.explode(F.array(F.lit("primary"), F.lit("fallback"))))
     kind, primary = F.col("cluster_id") % 4, F.col("provider") == "primary"
     confidence = F.when((kind == 1) & primary | (kind == 3), 1.5).otherwise(0.9)
-    cited = F.when((kind == 2) & primary, -1).otherwise(F.col("paper_id"))
+    cited = F.when((kind == 2) & primary, F.coalesce("fourth", F.lit(-1))).otherwise(F.col("paper_id"))
     body = F.to_json(
         F.struct(
             F.concat(F.lit("Group "), F.col("cluster_id").cast("string")).alias("cluster_name"), F.lit("About it").alias("short_description"),
-            F.array(F.lit("k")).alias("keywords"), confidence.alias("confidence"), F.array(F.struct(cited.alias("paper_id"), F.lit("fits").alias("reason"))).alias("evidence"),
+            F.when(kind == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("k"))).alias("keywords"), confidence.alias("confidence"), F.array(F.struct(cited.alias("paper_id"), F.lit("fits").alias("reason"))).alias("evidence"),
         )
     )
-    return C.label_validate(responses.select("cluster_id", "provider", body.alias("body")), rows)
+    return C.label_validate(responses.select("cluster_id", "provider", body.alias("body")), near.filter("rank <= 3"))
 
 
 query("label_validate", VALIDATED)(label_validate)

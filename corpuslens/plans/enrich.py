@@ -41,17 +41,20 @@ def _(spark, d):
 
 
 def works(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(papers, catalogue): the catalogue holds each paper's next one, its year shifted by id % 4, under the id + 1,000,000."""
+    """(papers, catalogue): entry id + 1,000,000 holds the title and authors of the next paper, its year shifted by id % 4.
+
+    Every third paper is in no entry, so it is found by a near copy's title or not at all.
+    """
     p = W.dated(spark, d).select("paper_id", F.col("title").alias("normalized_title"), F.year("o_orderdate").alias("year"))
     a = W.paper_authors(spark, d).groupBy("paper_id").agg(F.array_sort(F.collect_set("display_name")).alias("authors"))
     own = kept(p.join(a, "paper_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>"))))  # read by every step of a match
-    catalogue = own.select((F.col("paper_id") + 1_000_000).alias("candidate_id"), "normalized_title", (F.col("year") + F.col("paper_id") % 4).alias("year"), "authors")
+    catalogue = own.filter("paper_id % 3 <> 0").select((F.col("paper_id") + 999_999).alias("candidate_id"), "normalized_title", (F.col("year") + F.col("paper_id") % 4).alias("year"), "authors")
     return own, catalogue
 
 
 WORKS = f"""own AS (SELECT d.paper_id, d.title, year(d.o_orderdate) AS y, coalesce((SELECT list_distinct(list(display_name)) FROM authors a WHERE a.paper_id = d.paper_id), []) AS names,
     {TOKENS.format('d.title')} AS toks FROM dated d),
-    works AS (SELECT paper_id + 1000000 AS candidate_id, title, y + paper_id % 4 AS y, names, toks FROM own),
+    works AS (SELECT paper_id + 999999 AS candidate_id, title, y + paper_id % 4 AS y, names, toks FROM own WHERE paper_id % 3 <> 0),
     pairs AS (SELECT DISTINCT p.paper_id, c.candidate_id FROM (SELECT paper_id, unnest(toks) AS token FROM own) p JOIN (SELECT candidate_id, unnest(toks) AS token FROM works) c USING (token)),
     placed AS (SELECT paper_id, candidate_id, row_number() OVER (PARTITION BY paper_id ORDER BY overlap DESC, candidate_id) AS place FROM
         (SELECT p.paper_id, candidate_id, {OVERLAP.format(a='o.toks', b='w.toks')} AS overlap FROM pairs p JOIN own o USING (paper_id) JOIN works w USING (candidate_id)) WHERE overlap >= 0.4995),
@@ -124,12 +127,15 @@ def _(spark, d):
     return matched_a(spark, d).filter("status = 'NOT_FOUND'").select("paper_id")
 
 
-@query("match_log", "SELECT l_orderkey AS paper_id, l_returnflag AS source, max(l_linenumber) AS version FROM lineitem GROUP BY ALL")
+@query("match_log", of_match_a("""paper_id, 'a' AS source, CASE WHEN paper_id % 4 = 0 THEN 1 ELSE 2 END AS attempt, CASE WHEN paper_id % 4 = 0 THEN 'FAILED' ELSE status END AS status,
+    CASE WHEN paper_id % 4 <> 0 THEN candidate_id END AS candidate_id FROM outcome"""))
 def _(spark, d):
+    """Outcomes take the place of earlier attempts, which failed; every fourth paper has no new outcome."""
     from corpuslens.sources.io import upsert_latest
 
-    rows = W.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_returnflag").alias("source"), F.col("l_linenumber").alias("version"))
-    return upsert_latest(rows.filter("version % 2 = 0"), rows.filter("version % 2 = 1"), ["paper_id", "source"], "version")
+    outcome = matched_a(spark, d).filter("paper_id % 4 <> 0").select("paper_id", F.lit("a").alias("source"), F.lit(2).alias("attempt"), "status", "candidate_id")
+    failed = W.papers(spark, d).select("paper_id", F.lit("a").alias("source"), F.lit(1).alias("attempt"), F.lit("FAILED").alias("status"), F.lit(None).cast("long").alias("candidate_id"))
+    return upsert_latest(failed, outcome, ["paper_id", "source"], "attempt")
 
 
 @query("id_change_history", "SELECT paper_id, category_code AS source, 'W' || paper_id AS old_id, 'W' || (paper_id + 1) AS new_id FROM papers WHERE paper_id % 6 = 0")

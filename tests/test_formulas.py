@@ -104,6 +104,25 @@ def test_label_validation(spark):
     allowed = spark.createDataFrame([(c, 1) for c in range(4)], "cluster_id int, paper_id long")
     found = clusters.label_validate(spark.createDataFrame(rows, "cluster_id int, provider string, body string"), allowed)
     assert {r.cluster_id: (r.status, r.used) for r in found.collect()} == {0: ("SUCCEEDED", "primary"), 1: ("SUCCEEDED", "fallback"), 2: ("FAILED", None), 3: ("FAILED", None)}
+    empty = '{"cluster_name":"N","short_description":"d","keywords":[],"confidence":1,"evidence":[]}'
+    cases = [(0, empty), (1, empty.replace('"keywords":[],', "")), (2, empty.replace('"N"', '""')), (3, empty.replace('"evidence":[]', '"evidence":[{"paper_id":1}]')), (4, empty.replace(',"evidence":[]', ""))]
+    found = clusters.label_validate(spark.createDataFrame([(c, "primary", b) for c, b in cases], "cluster_id int, provider string, body string"), allowed)
+    assert {r.cluster_id: r.status for r in found.collect()} == {0: "SUCCEEDED", 1: "FAILED", 2: "FAILED", 3: "FAILED", 4: "FAILED"}
+
+
+def test_entries_with_gaps(spark):
+    """Authors without a name, categories without a term, a link that is both pdf and alternate, a padded doi."""
+    from corpuslens.operators import ingest
+
+    entry = (
+        '<entry><id>http://h/abs/1601.00001v2</id><title>T</title><summary>A</summary><published>2016-01-01T00:00:00Z</published><updated>2016-01-02T00:00:00Z</updated>'
+        "<author><name>A</name></author><author><name> </name></author><author></author><author><name>B</name></author>"
+        '<arxiv:primary_category term="x"/><category term="y"/><category/><category term=""/><category term="x"/><arxiv:doi> 10.1/z </arxiv:doi>'
+        '<link rel="alternate" href="a"/><link rel="alternate" title="pdf" href="p"/></entry>'
+    )
+    row = ingest.parse_entries(spark.createDataFrame([(1, entry)], "n long, entry string")).first()
+    assert row.error is None and [(a.author_order, a.name) for a in row.authors] == [(1, "A"), (4, "B")]
+    assert (row.secondary_categories, row.doi, row.pdf_url, row.abstract_url) == (["y"], "10.1/z", "p", "a")
 
 
 def test_identities_are_claimed_once(spark):
