@@ -86,9 +86,9 @@ def _(spark, d):
     FROM (SELECT *, {SIM} AS similarity FROM active WHERE year(published) BETWEEN 1995 AND 1999 ORDER BY similarity DESC, paper_id LIMIT 10) a""",
 )
 def semantic_search(spark, d):
-    active = W.active(spark, d).select("paper_id", "arxiv_id", "title", "category_code", "published", "embedding")
+    active = W.active(spark, d).select("paper_id", "arxiv_id", "category_code", "published", "embedding")
     found = S.semantic_search(active, AXIS, 10, year_from=1995, year_to=1999)
-    named = S.with_authors(found, W.paper_authors(spark, d))
+    named = S.with_authors(W.titled(spark, d, found), W.paper_authors(spark, d))
     return named.select(
         "paper_id", "arxiv_id", "title", "category_code", W.day("published").alias("published"),
         F.round("similarity", 6).alias("similarity"), F.array_join("authors", "; ").alias("authors"),

@@ -36,6 +36,12 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def titled(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """``found`` (few rows with paper_id) with titles: only their texts are normalised."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "text").join(found, "paper_id")
+    return texts.withColumn("title", F.substring(normalize_text(F.col("text")), 1, 60)).drop("text")
+
+
 def versions(papers: DataFrame) -> DataFrame:
     return papers.filter("paper_id % 10 <> 0").select("paper_id", F.lit(1).alias("version_number"), F.col("o_orderdate").alias("submitted_at"))
 
