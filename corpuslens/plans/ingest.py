@@ -261,3 +261,29 @@ def _(spark, d):
     removed = W.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id"))
     rows = W.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"))
     return io.delete_run_cascade({"lines": rows}, removed)["lines"].groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_entries",
+    """SELECT arxiv_id, title, category_code AS primary_category, CASE WHEN version > 1 THEN 2 ELSE 1 END AS n_versions, 2 AS n_authors,
+    CASE WHEN category_code = 'src' || (paper_id % 5) THEN 1 ELSE 2 END AS n_categories, (SELECT count(*) FROM papers WHERE paper_id % 13 = 0 OR paper_id % 17 = 0 OR length(title) = 0) AS n_failures
+    FROM papers WHERE paper_id % 13 <> 0 AND paper_id % 17 <> 0 AND length(title) > 0""",
+)
+def _(spark, d):
+    """Entries that arrive in files, parsed and stored in seven tables; half of the papers come twice."""
+    from corpuslens.streaming.ingest import ingest_entries
+    from corpuslens.streaming.jobs import new_folder
+
+    folder = new_folder(spark, "entries")
+    rows = entries(spark, d)
+    good = rows.filter("paper_id % 2 = 0 AND paper_id % 13 <> 0 AND paper_id % 17 <> 0")
+    rows.select("entry").repartition(2).write.parquet(f"{folder}/in")
+    good.select("entry").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    store = ingest_entries(spark, f"{folder}/in/*.parquet", f"{folder}/job")
+    store.compact()
+    n = lambda name, alias: store.table(name).groupBy("arxiv_id").agg(F.count("*").alias(alias))
+    failures = store.table("failures").agg(F.count("*").alias("n_failures"))  # one row
+    papers = store.table("papers").select("arxiv_id", F.col("normalized_title").alias("title"), "primary_category")
+    for name, alias in (("versions", "n_versions"), ("paper_authors", "n_authors"), ("paper_categories", "n_categories")):
+        papers = papers.join(n(name, alias), "arxiv_id", "left")
+    return papers.crossJoin(failures)
