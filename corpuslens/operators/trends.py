@@ -167,3 +167,30 @@ def overview(scores: DataFrame, names: DataFrame, windows: tuple[date, date, dat
     message = f"{T.MODE_LABELS['HISTORICAL_OK']}: papers of {c0} to {c1} against papers of {r0} to {r1}."
     parts.append(row(scores.agg(F.count("*").alias("n")), "message", none("string"), F.lit(message), none("long"), F.col("n")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def history_trends(members: DataFrame, end: date, days: int, windows: int, by: tuple[str, ...] = ("entity_type", "entity_id")) -> DataFrame:
+    """One row per entity over ``windows`` windows of ``days`` days up to ``end`` (exclusive): counts, growth of each over the one before, and what follows.
+
+    ``members``: the entity's columns and ``published``. A window without papers counts as 0 from the first window on; entities without a
+    paper in any window have no row. Acceleration needs three growth rates, so four windows; history is long where three windows and more are active.
+    """
+    if windows < 2 or days < 1:
+        raise ValueError("at least two windows of a day and more")
+    day = F.to_date("published")
+    place = F.floor(F.date_diff(day, F.lit(end - timedelta(days=days * windows))) / days).cast("int")
+    counted = members.withColumn("w", place).filter(F.col("w").between(0, windows - 1)).groupBy(*by, "w").agg(F.count("*").alias("n"), F.count_distinct(day).alias("d"))
+    held = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("w", F.struct("n", "d")))).alias("held"))  # a row a window at most
+    n_of = lambda w: F.coalesce(F.try_element_at("held", w)["n"], F.lit(0).cast("long"))
+    rows = held.withColumn("counts", F.array(*[n_of(F.lit(w)) for w in range(windows)]))
+    rates = F.array(*[T.growth_rate(F.col("counts")[w], F.col("counts")[w - 1]) for w in range(1, windows)])
+    recent, previous = F.col("counts")[windows - 1], F.col("counts")[windows - 2]
+    rows = rows.select(
+        *by, "counts", rates.alias("rates"), recent.alias("recent_count"), previous.alias("previous_count"), (recent + previous).alias("total_papers"),
+        F.coalesce(F.try_element_at("held", F.lit(windows - 1))["d"], F.lit(0).cast("long")).alias("distinct_days"),
+    )
+    active = F.transform("counts", lambda n: n > 0)
+    rows = rows.withColumns({"growth_rate": F.element_at("rates", -1), "acceleration": T.acceleration(F.col("rates")), "consistency": T.consistency(active), "active": F.size(F.filter(active, lambda x: x))})
+    kind = T.trend_class(F.col("total_papers"), F.col("recent_count"), F.col("previous_count"), F.col("growth_rate"), F.col("acceleration"), F.col("consistency"))
+    quality = T.data_quality(F.col("total_papers"), F.col("previous_count"), F.col("distinct_days"), F.col("active") >= 3, days)
+    return rows.withColumns({"trend_class": kind, "data_quality": quality}).drop("active")

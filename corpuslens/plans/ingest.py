@@ -265,7 +265,7 @@ def _(spark, d):
 
 @query(
     "stream_entries",
-    """SELECT arxiv_id, title, category_code AS primary_category, CASE WHEN version > 1 THEN 2 ELSE 1 END AS n_versions, 2 AS n_authors,
+    """SELECT arxiv_id, rtrim(title) AS title, category_code AS primary_category, CASE WHEN version > 1 THEN 2 ELSE 1 END AS n_versions, 2 AS n_authors,
     CASE WHEN category_code = 'src' || (paper_id % 5) THEN 1 ELSE 2 END AS n_categories, (SELECT count(*) FROM papers WHERE paper_id % 13 = 0 OR paper_id % 17 = 0 OR length(title) = 0) AS n_failures
     FROM papers WHERE paper_id % 13 <> 0 AND paper_id % 17 <> 0 AND length(title) > 0""",
 )

@@ -339,3 +339,36 @@ def _(spark, d):
 )
 def _(spark, d):
     return O.overview(scores(spark, d)[0], W.entity_names(spark, d), O.cohort_windows(W.cohort_papers(spark, d)))
+
+
+@query(
+    "history_trends",
+    """WITH m AS (SELECT 'group' AS entity_type, CAST(o_custkey % 150 AS VARCHAR) AS entity_id, o_orderdate AS published FROM orders
+        UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR), o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey),
+    p AS (SELECT *, floor(date_diff('day', DATE '2000-10-06', CAST(published AS DATE)) / 60.0) AS w FROM m),
+    q AS (SELECT * FROM p WHERE w BETWEEN 0 AND 4 AND (CAST(entity_id AS BIGINT) % 5 <> 0 OR w >= 3)),
+    c AS (SELECT entity_type, entity_id, count(*) FILTER (WHERE w = 0) AS n0, count(*) FILTER (WHERE w = 1) AS n1, count(*) FILTER (WHERE w = 2) AS n2, count(*) FILTER (WHERE w = 3) AS n3,
+        count(*) FILTER (WHERE w = 4) AS n4, count(DISTINCT CASE WHEN w = 4 THEN CAST(published AS DATE) END) AS distinct_days FROM q GROUP BY ALL),
+    r AS (SELECT *, n3 + n4 AS total_papers, CASE WHEN n1 > 0 THEN (n2 - n1) / CAST(n1 AS DOUBLE) WHEN n2 = 0 THEN 0.0 END AS r2,
+        CASE WHEN n2 > 0 THEN (n3 - n2) / CAST(n2 AS DOUBLE) WHEN n3 = 0 THEN 0.0 END AS r3, CASE WHEN n3 > 0 THEN (n4 - n3) / CAST(n3 AS DOUBLE) WHEN n4 = 0 THEN 0.0 END AS rate,
+        CAST(n0 > 0 AS INTEGER) + CAST(n1 > 0 AS INTEGER) + CAST(n2 > 0 AS INTEGER) + CAST(n3 > 0 AS INTEGER) + CAST(n4 > 0 AS INTEGER) AS active FROM c),
+    s AS (SELECT *, CASE WHEN r2 IS NOT NULL AND r3 IS NOT NULL AND rate IS NOT NULL THEN r2 < r3 AND r3 < rate END AS acceleration FROM r)
+    SELECT entity_type, entity_id, concat_ws(',', n0, n1, n2, n3, n4) AS counts, round(rate, 6) AS growth_rate, acceleration, active / 5.0 AS consistency,
+    CASE WHEN total_papers < 5 THEN 'Insufficient Data' WHEN n3 = 0 AND n4 >= 3 THEN 'Emerging' WHEN rate > 0.20 AND acceleration AND n3 >= 3 THEN 'Accelerating'
+        WHEN active / 5.0 >= 0.75 AND (rate IS NULL OR rate BETWEEN -0.10 AND 0.20) THEN 'Consistently Active' WHEN rate BETWEEN -0.10 AND 0.10 AND n3 >= 3 THEN 'Stable'
+        WHEN rate < -0.20 AND n3 >= 3 THEN 'Cooling' ELSE 'Insufficient Data' END AS trend_class,
+    CASE WHEN total_papers < 5 THEN 'INSUFFICIENT' WHEN n3 < 3 OR least(distinct_days, 60) / 60.0 < 0.10 THEN 'LOW' WHEN active >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS data_quality FROM s""",
+)
+def _(spark, d):
+    """Orders by group of customers and by nation in five windows of 60 days; the history of every fifth entity begins in the last two."""
+    from datetime import date
+
+    orders = W.table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").alias("published"))
+    customers = W.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    groups = orders.select(F.lit("group").alias("entity_type"), (F.col("o_custkey") % 150).cast("string").alias("entity_id"), "published")
+    nations = orders.join(customers, "o_custkey").select(F.lit("nation").alias("entity_type"), F.col("c_nationkey").cast("string").alias("entity_id"), "published")
+    late = (F.col("entity_id").cast("long") % 5 != 0) | (F.to_date("published") >= F.lit(date(2001, 4, 4)))
+    rows = O.history_trends(groups.unionByName(nations).filter(late), date(2001, 8, 2), 60, 5)
+    return rows.select(
+        "entity_type", "entity_id", F.array_join(F.transform("counts", lambda n: n.cast("string")), ",").alias("counts"), r6("growth_rate"), "acceleration", "consistency", "trend_class", "data_quality"
+    )

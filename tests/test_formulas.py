@@ -175,3 +175,24 @@ def test_quota_and_identities_cover_the_tables(spark):
     authors = {r.author_id for r in views.paper_authors(spark, d).select("author_id").distinct().collect()}
     assert {r.author_id for r in links} == authors and len(authors) > 60
     assert len({r.identity for r in links}) == len(links) == len(authors)
+
+
+def test_histories_reach_all_classes_and_qualities(spark):
+    from corpuslens import plans
+
+    rows = plans.QUERIES["history_trends"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.trend_class for r in rows} == {"Insufficient Data", "Emerging", "Accelerating", "Consistently Active", "Stable", "Cooling"}
+    assert {r.data_quality for r in rows} == {"INSUFFICIENT", "LOW", "MEDIUM", "HIGH"}
+
+
+def test_history_of_few_windows(spark):
+    from datetime import date, datetime
+
+    from corpuslens.operators import trends
+
+    rows = [("a", datetime(2024, 1, day)) for day in (1, 2, 11, 12, 13, 21, 22, 22, 23, 24)] + [("b", datetime(2023, 1, 1)), ("b", datetime(2024, 1, 31))]
+    members = spark.createDataFrame(rows, "entity string, published timestamp_ntz")
+    got = trends.history_trends(members, date(2024, 1, 31), 10, 3, ("entity",)).collect()
+    assert [(r.entity, r.counts, r.rates, r.acceleration, r.distinct_days) for r in got] == [("a", [2, 3, 5], [0.5, 2 / 3], None, 4)]
+    with pytest.raises(ValueError):
+        trends.history_trends(members, date(2024, 1, 31), 10, 1, ("entity",))
