@@ -287,3 +287,33 @@ def _(spark, d):
     for name, alias in (("versions", "n_versions"), ("paper_authors", "n_authors"), ("paper_categories", "n_categories")):
         papers = papers.join(n(name, alias), "arxiv_id", "left")
     return papers.crossJoin(failures)
+
+
+@query(
+    "window_counts_by_range",
+    """SELECT w.event_id AS window, count(o.o_orderdate) AS n FROM (SELECT event_id, TIMESTAMP '1995-01-01' + INTERVAL 1 HOUR * (event_id * 7 % 57000) AS a,
+    TIMESTAMP '1995-01-01' + INTERVAL 1 HOUR * (event_id * 7 % 57000 + user_id * 5 - 20) AS b FROM events) w LEFT JOIN orders o ON o.o_orderdate >= a AND o.o_orderdate < b GROUP BY w.event_id""",
+)
+def _(spark, d):
+    """Orders in windows of some hours up to a month that overlap and keep to no calendar; a few end before they begin."""
+    hours = lambda c: F.lit("1995-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=c.cast("int"))
+    first = F.col("event_id") * 7 % 57_000
+    windows = W.table(spark, d, "events").select(F.col("event_id").alias("window"), hours(first).alias("window_start"), hours(first + F.col("user_id") * 5 - 20).alias("window_end"))
+    rows = W.table(spark, d, "orders").select(F.col("o_orderdate").alias("published"))
+    return I.count_in_windows(rows, windows, 7 * 86_400).select("window", "n")
+
+
+@query(
+    "run_report_live",
+    """SELECT event_type AS run_id, count(*) AS processed, count(*) FILTER (WHERE event_id % 5 = 1) AS created, count(*) FILTER (WHERE event_id % 5 > 1) AS updated,
+    count(*) FILTER (WHERE event_id % 5 = 0) AS failed, 'partial' AS status FROM events GROUP BY event_type""",
+)
+def _(spark, d):
+    """One write a run; its report is what the write counted, held here as rows."""
+    from corpuslens.streaming.jobs import new_folder
+
+    kind = F.when(F.col("event_id") % 5 == 0, "failed").when(F.col("event_id") % 5 == 1, "created").otherwise("updated")
+    rows = W.table(spark, d, "events").select("event_id", F.col("event_type").alias("run_id"), kind.alias("outcome"))
+    folder = new_folder(spark, "counted")
+    reports = [{"run_id": run} | I.write_counted(rows.filter(F.col("run_id") == run), f"{folder}/{run}") for run in ("click", "error", "purchase", "signup", "view")]
+    return spark.createDataFrame(reports, "run_id string, processed long, created long, updated long, failed long, status string")

@@ -196,3 +196,33 @@ def test_history_of_few_windows(spark):
     assert [(r.entity, r.counts, r.rates, r.acceleration, r.distinct_days) for r in got] == [("a", [2, 3, 5], [0.5, 2 / 3], None, 4)]
     with pytest.raises(ValueError):
         trends.history_trends(members, date(2024, 1, 31), 10, 1, ("entity",))
+
+
+def test_windows_of_any_length(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from corpuslens.operators import ingest
+
+    rng = random.Random(1)
+    t0 = datetime(1969, 12, 1)
+    times = [t0 + timedelta(minutes=rng.randrange(90_000)) for _ in range(300)] + [t0 + timedelta(days=9)] * 50 + [None]
+    windows = [(i, a, b) for i in range(60) for a, b in [sorted(t0 + timedelta(minutes=rng.randrange(90_000)) for _ in "ab")]]
+    windows += [(60, t0, t0), (61, t0 + timedelta(days=2), t0), (62, t0, None), (63, t0 + timedelta(days=9), t0 + timedelta(days=9, seconds=1))]
+    rows = spark.createDataFrame([(t,) for t in times], "published timestamp_ntz")
+    asked = spark.createDataFrame(windows, "window int, window_start timestamp_ntz, window_end timestamp_ntz")
+    found = ingest.count_in_windows(rows, asked)
+    want = {i: sum(t is not None and a <= t < b for t in times) if b else 0 for i, a, b in windows}
+    assert {r.window: r.n for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_write_counts_itself(spark, tmp_path):
+    from corpuslens.operators import ingest
+
+    rows = spark.range(20).selectExpr("id", "CASE WHEN id % 4 = 0 THEN 'failed' WHEN id % 4 = 1 THEN 'created' ELSE 'updated' END AS outcome")
+    assert ingest.write_counted(rows, f"{tmp_path}/t") == {"processed": 20, "created": 5, "updated": 10, "failed": 5, "status": "partial"}
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 20
+    assert ingest.write_counted(rows.filter("id % 4 = 0"), f"{tmp_path}/u")["status"] == "failed"
+    assert ingest.write_counted(rows.limit(0), f"{tmp_path}/v") == {"processed": 0, "created": 0, "updated": 0, "failed": 0, "status": "succeeded"}
