@@ -93,6 +93,31 @@ def concept_categories(works: DataFrame, stored: DataFrame, key: str = "paper_id
     return new, concepts.select(key, "code").distinct().withColumn("is_primary", F.lit(False))
 
 
+def institution_links(works: DataFrame, stored: DataFrame, linked: DataFrame, key: str = "paper_id") -> tuple[DataFrame, DataFrame]:
+    """(new institutions: institution_id, display_name, country_code; new links: key, author_id, institution_id), both without what is there.
+
+    An institution without id goes by its name in small letters; without either it is left out, as is one of an author without id.
+    Of several names of an institution the first by country and name stays.
+    """
+    authors = works.select(key, F.explode("authorships").alias("a")).select(key, F.col("a.author.id").alias("author_id"), F.explode("a.institutions").alias("i"))
+    code = F.coalesce(F.nullif(F.trim("i.id"), F.lit("")), F.nullif(F.lower(F.trim("i.display_name")), F.lit("")))
+    rows = authors.select(key, "author_id", code.alias("institution_id"), "i.display_name", "i.country_code").filter("institution_id IS NOT NULL AND author_id IS NOT NULL")
+    first = F.min(F.struct(F.col("country_code").isNull().alias("none"), "country_code", "display_name")).alias("x")
+    new = rows.groupBy("institution_id").agg(first).select("institution_id", "x.display_name", "x.country_code")
+    links = rows.select(key, "author_id", "institution_id").distinct()
+    return new.join(stored.select("institution_id"), "institution_id", "left_anti"), links.join(linked.select(*links.columns), links.columns, "left_anti")
+
+
+def venue_links(works: DataFrame, stored: DataFrame, linked: DataFrame, key: str = "paper_id") -> tuple[DataFrame, DataFrame]:
+    """(new venues: venue_id, display_name, type; new links: key, venue_id), both without what is there. A venue without type is ``unknown``."""
+    place = F.col("primary_location.source")
+    rows = works.select(key, place["id"].alias("venue_id"), place["display_name"].alias("display_name"), place["type"].alias("type")).filter(F.length("venue_id") > 0)
+    first = F.min(F.struct(F.col("type").isNull().alias("none"), "type", "display_name")).alias("x")
+    new = rows.groupBy("venue_id").agg(first).select("venue_id", "x.display_name", F.coalesce("x.type", F.lit("unknown")).alias("type"))
+    links = rows.select(key, "venue_id").distinct()
+    return new.join(stored.select("venue_id"), "venue_id", "left_anti"), links.join(linked.select(*links.columns), links.columns, "left_anti")
+
+
 def score_candidates(pairs: DataFrame, papers: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Evidence of each pair. The overlap is rounded to 3 places, and the rounded one decides."""
     p = papers.select("paper_id", F.col("normalized_title").alias("p_title"), F.col("year").alias("p_year"), F.col("authors").alias("p_authors"))

@@ -10,7 +10,7 @@ from corpuslens.functions.text import id_and_version, normalize_text
 ENTRY = (
     "id string, title string, summary string, published string, updated string, author array<struct<name:string>>, "
     "`arxiv:primary_category` struct<_term:string>, category array<struct<_term:string>>, `arxiv:doi` string, "
-    "link array<struct<_href:string,_rel:string,_title:string>>"
+    "link array<struct<_href:string,_rel:string,_title:string>>, _broken string"
 )
 STAMP = "yyyy-MM-dd'T'HH:mm:ssX"
 
@@ -27,14 +27,14 @@ def link_of(links: Column, field: str, value: str) -> Column:
 
 def parse_entries(entries: DataFrame, xml: str = "entry") -> DataFrame:
     """One row per entry with its fields, or with ``error`` where a required one is missing. Nothing is raised in a task."""
-    e = entries.select("*", F.explode(F.array(F.from_xml(xml, ENTRY))).alias("e"))  # a generator: later filters don't parse again
+    e = entries.select("*", F.explode(F.array(F.from_xml(xml, ENTRY, {"columnNameOfCorruptRecord": "_broken"}))).alias("e"))  # a generator: later filters don't parse again
     url = F.col("e.id")
     ids = id_and_version(url)
     primary = F.col("e")["arxiv:primary_category"]["_term"]
     categories = F.filter(F.transform("e.category", lambda c: c["_term"]), lambda t: F.length(t) > 0)
     blank = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
     error = (
-        F.when(blank(url), "missing id").when(ids["base_id"].isNull(), "no version in id").when(blank(F.col("e.title")), "missing title")
+        F.when(F.col("e._broken").isNotNull(), "broken entry").when(blank(url), "missing id").when(ids["base_id"].isNull(), "no version in id").when(blank(F.col("e.title")), "missing title")
         .when(blank(F.col("e.summary")), "missing abstract").when(blank(primary), "missing category")
         .when(F.try_to_timestamp("e.published", F.lit(STAMP)).isNull(), "missing published date")
         .when(F.try_to_timestamp("e.updated", F.lit(STAMP)).isNull(), "missing updated date")

@@ -12,6 +12,7 @@ from corpuslens.operators import quality as Q
 from corpuslens.operators.components import kept
 from corpuslens.plans.registry import query
 from corpuslens.sources import views as W
+from corpuslens.sources.files import read_drifting
 
 
 @query("search_query_text", "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[?*]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM pages")
@@ -259,6 +260,55 @@ def _(spark, d):
     return W.dated(spark, d).select("paper_id", F.year("published").cast("long").alias("y"))
 
 
+@query(
+    "payload_drift",
+    """SELECT event_id, CASE WHEN event_id % 5 NOT IN (3, 4) THEN CAST(props->>'$.k' AS BIGINT) END AS k, CASE WHEN event_id % 5 = 1 THEN 'u' || user_id END AS seen_by,
+    CASE WHEN event_id % 5 = 2 THEN 'at={"hour":' || hour(ts) || '}' ELSE '' END AS unknown, CASE WHEN event_id % 5 = 4 THEN 'k: OBJECT<is: STRING>' ELSE '' END AS clashes, event_id % 5 <> 3 AS is_object FROM events""",
+)
+def _(spark, d):
+    """Event payloads whose shape drifts: a nested field more, one that no one knows, one cut short, and one with another type."""
+    e, i = W.table(spark, d, "events"), F.col("event_id") % 5
+    start = F.expr("substring(props, 1, length(props) - 1)")
+    body = (
+        F.when(i == 1, F.concat(start, F.lit(', "by": {"id": "u'), F.col("user_id").cast("string"), F.lit('"}}')))
+        .when(i == 2, F.concat(start, F.lit(', "at": {"hour": '), F.hour("ts").cast("string"), F.lit("}}")))
+        .when(i == 3, start).when(i == 4, F.lit('{"k": {"is": "many"}}')).otherwise(F.col("props"))
+    )
+    rows = read_drifting(e.select("event_id", body.alias("payload")), {"k": ("$.k", "bigint"), "seen_by": ("$.by.id", "string")})
+    unknown = F.array_join(F.transform(F.map_entries("unknown"), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
+    return rows.select("event_id", "k", "seen_by", unknown.alias("unknown"), F.array_join("clashes", ";").alias("clashes"), "is_object")
+
+
+@query(
+    "institution_dimension",
+    """SELECT 'dimension' AS part, CAST(NULL AS BIGINT) AS paper_id, NULL AS author_id, institution_id, 'XX' AS country_code FROM (SELECT DISTINCT 'I' || (author_id % 5) AS institution_id FROM authors WHERE author_id % 2 = 0) WHERE institution_id <> 'I0'
+    UNION ALL SELECT DISTINCT 'link', paper_id, 'A' || author_id, 'I' || (author_id % 5), NULL FROM authors WHERE author_id % 2 = 0 AND paper_id % 2 = 1""",
+)
+def _(spark, d):
+    """Institutions of the payloads; one is stored already, and so are the links of even papers."""
+    works = R.read_works(payloads(spark, d))
+    stored = spark.range(1).select(F.concat(F.lit("I"), F.col("id").cast("string")).alias("institution_id"))
+    linked = R.work_authors(works).filter("paper_id % 2 = 0 AND institution_id IS NOT NULL").select("paper_id", "author_id", "institution_id").distinct()
+    new, links = R.institution_links(works, stored, linked)
+    dimension = new.select(F.lit("dimension").alias("part"), F.lit(None).cast("long").alias("paper_id"), F.lit(None).cast("string").alias("author_id"), "institution_id", "country_code")
+    return dimension.unionByName(links.select(F.lit("link").alias("part"), "paper_id", "author_id", "institution_id", F.lit(None).cast("string").alias("country_code")))
+
+
+@query(
+    "venue_dimension",
+    """SELECT 'dimension' AS part, CAST(NULL AS BIGINT) AS paper_id, category_code AS venue_id, 'journal' AS type, upper(category_code) AS display_name FROM papers WHERE category_code <> 'src0' GROUP BY category_code
+    UNION ALL SELECT 'link', paper_id, category_code, NULL, NULL FROM papers""",
+)
+def _(spark, d):
+    """Venues of the payloads; one is stored already."""
+    works = R.read_works(payloads(spark, d))
+    stored = spark.range(1).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("venue_id"))
+    new, links = R.venue_links(works, stored, spark.createDataFrame([], "paper_id long, venue_id string"))
+    none = F.lit(None).cast("string")
+    dimension = new.select(F.lit("dimension").alias("part"), F.lit(None).cast("long").alias("paper_id"), "venue_id", "type", "display_name")
+    return dimension.unionByName(links.select(F.lit("link").alias("part"), "paper_id", "venue_id", none.alias("type"), none.alias("display_name")))
+
+
 REASON = "CASE event_type WHEN 'signup' THEN 'HIGH_PRIORITY_PAPER' WHEN 'purchase' THEN 'OPENALEX_NOT_FOUND' WHEN 'view' THEN 'HISTORICAL_CANDIDATE' WHEN 'click' THEN 'USER_FACING' ELSE 'OPENALEX_AMBIGUOUS' END"
 
 

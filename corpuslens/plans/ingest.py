@@ -317,3 +317,43 @@ def _(spark, d):
     folder = new_folder(spark, "counted")
     reports = [{"run_id": run} | I.write_counted(rows.filter(F.col("run_id") == run), f"{folder}/{run}") for run in ("click", "error", "purchase", "signup", "view")]
     return spark.createDataFrame(reports, "run_id string, processed long, created long, updated long, failed long, status string")
+
+
+@query(
+    "entry_files",
+    """SELECT CASE WHEN paper_id % 11 = 0 THEN 'broken entry' WHEN paper_id % 17 = 0 THEN 'no version in id' WHEN paper_id % 13 = 0 OR length(title) = 0 THEN 'missing title' END AS error,
+    CASE WHEN paper_id % 11 = 0 THEN NULL WHEN paper_id % 17 = 0 THEN 'http://host/abs/' || arxiv_id ELSE arxiv_id END AS source_identifier,
+    CASE WHEN paper_id % 11 <> 0 AND paper_id % 17 <> 0 AND paper_id % 13 <> 0 AND length(title) > 0 THEN category_code END AS primary_category FROM papers""",
+)
+def _(spark, d):
+    """Entries in files of many; every 11th has a tag that isn't closed."""
+    from corpuslens.sources.files import read_entry_files
+    from corpuslens.streaming.jobs import new_folder
+
+    folder = new_folder(spark, "entry-files")
+    broken = F.when(F.col("paper_id") % 11 == 0, F.replace("entry", F.lit("</summary>"), F.lit(""))).otherwise(F.col("entry"))
+    entries(spark, d).select(broken).write.text(folder)
+    good, bad = I.split_bad(I.parse_entries(read_entry_files(spark, folder)))
+    named = F.when(F.col("error") != "broken entry", F.col("source_identifier"))
+    return good.select(F.lit(None).cast("string").alias("error"), "source_identifier", "primary_category").unionByName(
+        bad.select("error", named.alias("source_identifier"), F.lit(None).cast("string").alias("primary_category"))
+    )
+
+
+@query(
+    "upsert_in_buckets",
+    """SELECT key, status, total, version FROM (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 97 = 0 THEN 'N' ELSE o_orderstatus END AS status, o_totalprice AS total, CASE WHEN o_orderkey % 97 = 0 THEN 2 ELSE 1 END AS version FROM orders
+    UNION ALL SELECT -1 - o_orderkey, 'N', o_totalprice, 2 FROM orders WHERE o_orderkey % 97 = 0) WHERE key % 89 <> 0""",
+)
+def _(spark, d):
+    """Orders stored in buckets; some are changed and added, then some removed."""
+    from corpuslens.sources.buckets import BucketedTable
+    from corpuslens.streaming.jobs import new_folder
+
+    o = W.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("total"), F.lit(1).alias("version"))
+    store = BucketedTable(spark, new_folder(spark, "buckets"), "key long, status string, total double, version int", ["key"], buckets=16)
+    store.upsert(o, "version")
+    changed = o.filter("key % 97 = 0").withColumn("status", F.lit("N")).withColumn("version", F.lit(2))
+    store.upsert(changed.unionByName(changed.withColumn("key", -1 - F.col("key"))), "version")
+    store.remove(store.rows().filter("key % 89 = 0"))
+    return store.rows()
