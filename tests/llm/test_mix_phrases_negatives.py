@@ -141,6 +141,22 @@ def test_phrases_of_one_long_text_and_none(spark):
     assert phrases.collocations(documents(spark, [])).count() == 0
 
 
+def test_cells_of_many_tasks_are_summed_up_to_the_least(spark):
+    for least in (5, 300):
+        rows = spark.range(0, 2000, 1, 6).selectExpr("CAST(least(id % 40, id % 7 * 90) AS INT) AS cell")
+
+        def counts(batches, least=least):
+            own = phrases.Counts(least)
+            for batch in batches:
+                own.add(batch["cell"].to_numpy().astype("uint32") << 13)
+            yield from own.rows()
+
+        bits = phrases.block_sums(rows.mapInArrow(counts, phrases.BLOCKS), least)
+        found = {r.cell for r in rows.groupBy("cell").count().filter(f"count >= {least}").collect()}
+        got = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+        assert set(got) == {c << 13 for c in found} and len(found) > 0
+
+
 def test_exact_scores(spark):
     """Counts whose products pass 64 bits."""
     one = 4_000_000_000_000_000_001
