@@ -142,38 +142,54 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", pri
     return materialise(out, "pii-disclosures")
 
 
+def _flagged(text: Column, flags: Column) -> Column:
+    """The words of ``text`` that are among ``flags`` (term, general), as spans of kind ``remove`` or ``general``.
+
+    Words and flags are sorted together, so that each word follows the flag of its term: no word is held against all flags.
+    """
+
+    def spans(words: Column) -> Column:
+        own = F.transform(words, lambda w, i: F.struct(F.lower(w["value"]).alias("term"), F.lit(1).alias("word"), i.alias("i"), F.lit(False).alias("general")))
+        flag = F.transform(flags, lambda f: F.struct(f["term"].alias("term"), F.lit(0).alias("word"), F.lit(-1).alias("i"), f["general"].alias("general")))
+        return S.let(F.array_sort(F.concat(flag, own)), lambda both: matched(words, both))
+
+    def matched(words: Column, both: Column) -> Column:
+        last = S.running(F.transform(both, lambda x, j: F.when(x["word"] == 0, j).otherwise(-1)), S.later, -1)
+        paired = F.zip_with(both, last, lambda x, j: F.struct(x.alias("x"), F.element_at(both, F.greatest(j, F.lit(0)) + 1).alias("flag")))
+        hits = F.filter(paired, lambda p: (p["x"]["word"] == 1) & (p["flag"]["word"] == 0) & (p["flag"]["term"] == p["x"]["term"]))
+
+        def span(p: Column) -> Column:
+            w, general = F.element_at(words, p["x"]["i"] + 1), p["flag"]["general"]
+            kind, order = F.when(general, "general").otherwise("remove"), F.when(general, 5).otherwise(4)
+            return F.struct(w["start"].alias("start"), order.alias("ord"), kind.alias("kind"), w["end"].alias("end"), w["value"].alias("value"))
+
+        return F.transform(hits, span)
+
+    return S.let(S.find(text, TERM, "term", 0), spans)
+
+
 def term_spans(docs: DataFrame, scanned: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__id, __text_key, __term_spans) of the documents with disclosing terms; kind ``remove`` or ``general``.
 
     Documents meet pairs by term: few entities can hold most of a term, but an
-    entity of many documents can have terms without number.
+    entity of many documents can have terms without number. Which of them the document holds is a second join, by
+    document and entity, so that no row carries all entities of its text.
     """
-    held = scanned.filter(F.size("__spans") > 0).select(
-        "__id", "__text_key", F.transform("__mentions", lambda m: m["entity"]).alias("entities"), F.explode("__terms").alias("__term")
-    )
+    held = scanned.filter(F.size("__spans") > 0)
+    terms = held.select("__id", "__text_key", F.explode("__terms").alias("__term"))
+    owns = held.select(F.col("__id").alias("__oid"), F.col("__text_key").alias("__okey"), F.explode("__mentions").alias("m")).select("__oid", "__okey", F.col("m.entity").alias("__entity"))
+    near = terms.join(found.withColumn("__term", F.xxhash64("term")), "__term")
+    on = near["__id"].eqNullSafe(owns["__oid"]) & (near["__text_key"] == owns["__okey"]) & (near["entity"] == owns["__entity"])
     per_doc = (
-        held.join(found.withColumn("__term", F.xxhash64("term")), "__term")
-        .filter(F.array_contains(F.col("entities"), F.col("entity")))
+        near.join(owns, on, "left_semi")
         .groupBy("__id", "__text_key", "term")
         .agg(F.max("disclosure").alias("disclosure"))
         .groupBy("__id", "__text_key")
-        .agg(
-            F.array_sort(F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term")))).alias("__remove"),
-            F.array_sort(F.collect_set(F.when(F.col("disclosure") < REMOVE, F.col("term")))).alias("__general"),
-        )
+        .agg(F.collect_list(F.struct("term", (F.col("disclosure") < REMOVE).alias("general"))).alias("__flags"))
     )
     texts = docs.select(F.col(id_col).alias("__id"), filled(text_col).alias("__text")).withColumn("__text_key", F.xxhash64("__text"))
-
-    def pattern(terms: Column) -> Column:  # terms are letters only
-        some = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
-        return F.when(F.size(terms) > 0, some).otherwise(F.lit(r"(?!)"))
-
     hit = texts.join(per_doc.hint("shuffle_hash"), (texts["__id"].eqNullSafe(per_doc["__id"])) & (texts["__text_key"] == per_doc["__text_key"]))
-    spans = F.concat(
-        S.find(F.col("__text"), pattern(F.col("__remove")), "remove", 4),
-        S.find(F.col("__text"), pattern(F.col("__general")), "general", 5),
-    )
-    return hit.select(texts["__id"], texts["__text_key"], spans.alias("__term_spans")).dropDuplicates(["__id", "__text_key"])
+    return hit.select(texts["__id"], texts["__text_key"], _flagged(F.col("__text"), F.col("__flags")).alias("__term_spans")).dropDuplicates(["__id", "__text_key"])
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

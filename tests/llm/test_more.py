@@ -411,3 +411,19 @@ def test_stages_against_plain_versions(spark):
     assert good == {d for d, p in scores.items() if p}
     packed = stages["packing"](spark, docs, SF).collect()
     assert Counter(r.doc_id for r in packed) == Counter({d: -(-(len(units().ids(t)) // 4 + 1) // 2048) for d, t in texts.items()})
+
+
+def test_many_entities_and_words_in_one_text(spark):
+    """A thousand emails among sixteen thousand different words; each word beside an email discloses it."""
+    from corpuslens.llm.pii import find_private
+
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    words = [f"w{name(i)}" for i in range(16_000)]
+    text = " ".join(w if i % 16 else f"u{i}@mail.example {w.upper()}" for i, w in enumerate(words))
+    rows = [(0, text)] + [(i, f"plain text number {i}") for i in range(1, 80)]
+    found = {r["__id"]: r for r in find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = found[0]["__all"]
+    assert sum(s["kind"] == "email" for s in own) == 1000 and len(own) > 15_000
+    assert all(text[s["start"] : s["end"]] == s["value"] for s in own)
+    assert {s["value"].lower() for s in own if s["kind"] in ("remove", "general")} <= {*words}
+    assert all(not r["__all"] for i, r in found.items() if i)
