@@ -32,12 +32,8 @@ w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, string_split(text,
 lines AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '{WORD}')) AS n,
     translate(lower(array_to_string(regexp_extract_all(line, '{WORD}'), ' ')), '123456789', '000000000') AS norm
     FROM w, unnest(lines) u(line) WHERE regexp_matches(line, '{WORD}')),
-limits AS (SELECT source, greatest(20, 0.01 * count(DISTINCT text)) AS most FROM t GROUP BY source),
-many AS (SELECT source, norm, most FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) JOIN limits USING (source) WHERE n > 20 AND n > most),
-held AS (SELECT source, text, norm, most, sum(n) AS n FROM (SELECT DISTINCT doc_id, source, text FROM t) JOIN lines USING (doc_id, source, text) JOIN many USING (source, norm)
-    WHERE doc_id IN (SELECT min(doc_id) FROM t GROUP BY source, text) GROUP BY ALL),
-family AS (SELECT source, text, CASE WHEN len(regexp_extract_all(text, '{WORD}')) - sum(n) >= 0.3 * len(regexp_extract_all(text, '{WORD}')) THEN text ELSE arg_max(norm, (n, norm)) END AS key FROM held GROUP BY source, text),
-frequent AS (SELECT source, norm FROM held JOIN family USING (source, text) GROUP BY source, norm HAVING count(DISTINCT key) > max(most)),
+limits AS (SELECT source, 5 + 0.01 * count(DISTINCT text) AS most FROM t GROUP BY source),
+frequent AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) JOIN limits USING (source) WHERE n > most),
 gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (source, norm) GROUP BY doc_id),
 repeats AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS window_words FROM w, unnest(range(1, len(words) - 3)) r(i)),

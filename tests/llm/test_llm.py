@@ -266,7 +266,7 @@ def test_rules(spark, docs, nothing):
 def test_frequent_lines_go(spark):
     from corpuslens.llm.rules import apply
 
-    own = lambda i: " ".join(f"word{i}n{k}" for k in range(40))
+    own = lambda i: _words(i, 26)
     rows = [(i, f"Common  LINE of host {i % 10}\n{own(i)}", "en", "a", 0) for i in range(25)]
     rows += [(100 + i, "\n".join(["Common line of host 7"] * 4), "en", "a", 0) for i in range(1)]
     rows += [(200 + i, f"Common line of host 1\n{own(200 + i)}", "en", "b", 0) for i in range(3)]
@@ -277,19 +277,43 @@ def test_frequent_lines_go(spark):
     assert kept[200].text == rows[26][1]  # another host
 
 
-def test_lines_of_families_and_large_hosts_stay(spark):
-    from corpuslens.llm.rules import apply
+def _words(i, n):
+    return " ".join(f"word{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x{chr(97 + k)}" for k in range(n))
 
-    own = lambda i, n: " ".join(f"word{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x{chr(97 + k)}" for k in range(n))
-    shared = [own(5000 + k, 8) for k in range(6)]
-    family = [(i, "\n".join(shared[: i % 6] + [own(i, 8)] + shared[i % 6 + 1 :]), "en", "f", 0) for i in range(60)]  # one other line each
-    short = [(1000 + i, f"common line of this host\n{own(1000 + i, 7)}", "en", "s", 0) for i in range(25)]
-    large = [(2000 + i, f"natural line of few\n{own(2000 + i, 12)}" if i < 22 else own(2000 + i, 12), "en", "l", 0) for i in range(2500)]
-    rows = family + short + large
-    kept = by_id(apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")))
-    assert set(kept) == {r[0] for r in rows}
-    assert all(kept[r[0]].text == r[1] for r in family + large)
-    assert kept[1003].text == own(1003, 7)
+
+def test_pages_of_a_template_go_and_large_hosts_stay(spark):
+    from corpuslens.llm.rules import apply, judge
+
+    template = _words(9000, 26) + "\n" + _words(9001, 19)
+    pages = [(i, f"{template}\n{_words(i, 6)}", "en", "t", 0) for i in range(300)]
+    small = [(500 + i, f"{template}\n{_words(500 + i, 6)}", "en", "u", 0) for i in range(8)]
+    short = [(1000 + i, f"common line of this host\n{_words(1000 + i, 7)}", "en", "s", 0) for i in range(25)]
+    large = [(2000 + i, f"natural line of few\n{_words(2000 + i, 12)}" if i < 22 else _words(2000 + i, 12), "en", "l", 0) for i in range(2500)]
+    docs = spark.createDataFrame(pages + small + short + large, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = by_id(apply(docs))
+    assert set(kept) == {r[0] for r in short} | {r[0] for r in large}
+    assert all(kept[r[0]].text == r[1] for r in large)
+    assert kept[1003].text == _words(1003, 7)
+    left = {r["__id"]: r.words_left for r in judge(docs)[0].collect()}
+    assert left[0] == left[507] == 6
+
+
+def test_families_count_as_one_where_the_caller_links_them(spark):
+    """The operator rejects a family of near copies by its own lines; the pipeline links it first and keeps one of it."""
+    import corpus_pipeline as P
+    from corpuslens.llm.rules import judge
+
+    base = [_words(4000 + k, 12) for k in range(12)]
+    family = [(i, "\n".join(base[:5] + [f"changed {_words(i, 1)} {base[5]}"] + base[6:]), "en", "f", 0) for i in range(60)]
+    others = [(100 + i, f"a line that all have\n{_words(100 + i, 20)}", "en", "f", 0) for i in range(40)]
+    nulls = [(None, family[0][1], "en", "f", 0), (None, None, "en", None, 0)]
+    docs = spark.createDataFrame(family + others + nulls, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    assert {r["__id"] for r in judge(docs)[0].filter("kept").collect()} == {r[0] for r in others}
+    after = P.quality_rules(spark, docs, SF)
+    assert Counter(r.doc_id for r in after.collect()) == Counter([r[0] for r in family + others] + [None])
+    assert by_id(after)[107].text == _words(107, 20)
+    one = {r.doc_id for r in P.near_duplicates(spark, after.filter("doc_id IS NOT NULL"), SF).collect()}
+    assert one == {0} | {r[0] for r in others}
 
 
 # 8 private terms
