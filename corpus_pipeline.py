@@ -27,8 +27,12 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines that are frequent in their host."""
-    return rules.apply(docs)
+    """Documents that the rules keep, without lines that are frequent in their host.
+
+    Near duplicates count as one document there: else a family of copies would make its own
+    lines frequent and be rejected whole before a later stage can keep one of it.
+    """
+    return rules.apply(docs, families=partenum.link(docs))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
