@@ -3,9 +3,9 @@
 Base: emails, IP addresses, payment cards and phone numbers by pattern. Each
 value found is a protected entity. Over the whole corpus, document counts of
 entities, terms and entity-term pairs (a term within ``WINDOW`` words of a
-mention, however far they reach) give the pointwise mutual information of a term with an entity. Divided
-by the entity's information content it says which share of the entity the term
-discloses: 1 means that the term occurs with that entity only. In documents that
+mention, however far they reach) give the probability of the entity where the term is seen: two to the
+pointwise mutual information less the entity's own information content. This is the disclosure: 1 means that
+the term leaves no doubt, and the same evidence gives the same figure in a corpus of any size. In documents that
 hold the entity, terms at or over ``GENERALISE`` are generalised to their word
 class, and at or over ``REMOVE`` they are removed. Pairs of any support count; the
 estimate of a pair seen in s different texts is discounted by s / (s + ``PRIOR``), so
@@ -40,8 +40,8 @@ TERM = r"(?<!\p{L})\p{L}{3,40}(?!\p{L})"
 WINDOW = 8
 NO_MENTIONS = "CAST(array() AS array<struct<entity:string,terms:array<string>>>)"
 PRIOR = 0.5
-GENERALISE = 0.8
-REMOVE = 0.95
+GENERALISE = 0.6
+REMOVE = 0.9
 
 
 def _digits(value: Column) -> Column:
@@ -124,20 +124,12 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", pri
     seen = mention.select("__text_key", "copies", "entity", F.explode("terms").alias("term")).distinct()
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_pair"))
     pairs = materialise(pairs, "pii-pairs")
-    entities = mention.select("entity", "__text_key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(_terms(filled(text_col)))).alias("__term"))
     terms = words.groupBy("__term").agg(F.count("*").alias("n_term"))
-    total = scanned.agg(F.count("*").alias("n_all"))
-    joined = (
-        pairs.join(entities, "entity")
-        .withColumn("__term", F.xxhash64("term"))
-        .join(terms, "__term")
-        .crossJoin(F.broadcast(total))  # one row
-    )
-    information = F.log2(F.col("n_all") / F.col("n_entity"))
+    # log2 P(entity | term) = PMI(entity, term) - I(entity): the counts of entities and of all documents cancel out.
     sure = F.col("texts") / (F.col("texts") + prior)
-    mutual = F.log2(sure * F.col("n_pair") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(information > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), mutual / F.nullif(information, F.lit(0.0)))))
+    share = F.least(F.lit(1.0), sure * F.col("n_pair") / F.col("n_term"))
+    joined = pairs.withColumn("__term", F.xxhash64("term")).join(terms, "__term")
     out = joined.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold)
     return materialise(out, "pii-disclosures")
 
