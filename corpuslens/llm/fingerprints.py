@@ -7,9 +7,10 @@ texts needs no new pass: its prefix hashes follow from the arrays of its parts.
 
 The fingerprint of a text is its length, its whole hash and ``GRID`` hashes from its
 prefix array. Likeness is the share of a text that longest common extensions with the
-other cover: from both starts, back from both ends, and from where spans of 32 code
-points at ``ANCHORS`` even places between stand in the other text as well. Each extension is
-found by binary search over the prefix arrays of both.
+other cover: from both starts, back from both ends, and from where spans of ``SPAN`` code
+points stand in the other text as well, looked for every ``STEP`` code points or less between, however
+long the text is. Of a span that stands there several times the first and the last place count, and the one
+where the match before it goes on; the longest extension to each side is taken. Each extension is found by binary search over the prefix arrays of both.
 
 Documents are dealt by ranges of ids that Spark samples, and each meets the next in
 its range; the last one of a range meets the first one of the next range in a second, small step.
@@ -37,9 +38,8 @@ from corpuslens.llm.common import batches_of, filled, materialise, read
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 GRID = 16
-ANCHORS = 32
 SPAN = 32
-SLOTS = 4096
+STEP = 32
 RANGE_BYTES = 16 << 20
 MIN_RANGES = 64
 LEAST = -(2**63)
@@ -174,20 +174,25 @@ def likeness(a: Prefixes, b: Prefixes) -> float:
     high = a.n - back
     covered = low + back
     if high - low >= SPAN <= b.n:
-        places = np.unique(np.linspace(low, high - SPAN, ANCHORS).astype(np.int64))
+        places = np.unique(np.linspace(low, high - SPAN, 2 + (high - SPAN - low) // STEP).astype(np.int64))
         own = a.spans(places, places + SPAN)[0]
-        slots = np.zeros(SLOTS, bool)
-        slots[own % np.uint64(SLOTS)] = True
-        there = np.flatnonzero(slots[b.sliding % np.uint64(SLOTS)])
+        size = np.uint64(1 << (64 * len(places)).bit_length())  # a filter with few false hits, in proportion to the spans sought
+        slots = np.zeros(int(size), bool)
+        slots[own % size] = True
+        there = np.flatnonzero(slots[b.sliding % size])
         first = dict(zip(b.sliding[there[::-1]].tolist(), there[::-1].tolist()))
+        last = dict(zip(b.sliding[there].tolist(), there.tolist()))
+        shift = 0
         for i, span in zip(places.tolist(), own.tolist()):
-            j = first.get(span)
-            if i < low or j is None:
+            if i < low or span not in first:
                 continue
-            ahead = min(a.common_extension(i, b, j), high - i)
-            behind = min(a.common_ending(i, b, j), i - low)
+            found = {first[span], last[span]}
+            if len(found) == 2 and 0 <= i + shift < len(b.sliding) and b.sliding[i + shift] == span:
+                found.add(i + shift)
+            ahead, j = max((min(a.common_extension(i, b, j), high - i), j) for j in found)
+            behind = max(min(a.common_ending(i, b, j), i - low) for j in found)
             covered += ahead + behind
-            low = i + ahead
+            low, shift = i + ahead, j - i
     longest = max(a.n, b.n)
     return min(covered, longest - 1) / longest
 

@@ -237,29 +237,20 @@ def test_classifier_against_one_solve(spark):
 # 4 fingerprints
 
 
-def plain_likeness(a, b):
-    """The definition of likeness, on strings."""
-    from corpuslens.llm.fingerprints import ANCHORS, SPAN
-
-    if a == b:
-        return 1.0
+def plain_cover(a, b, length):
+    """The share of ``a``, of the longer text, in the common start, the common end, or any common span of ``length``."""
     if not a or not b:
-        return 0.0
+        return float(a == b)
     same = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-    low = same(a, b)
-    back = min(same(a[::-1], b[::-1]), min(len(a), len(b)) - low)
-    high = len(a) - back
-    covered = low + back
-    if high - low >= SPAN <= len(b):
-        for i in np.unique(np.linspace(low, high - SPAN, ANCHORS).astype(int)).tolist():
-            j = b.find(a[i : i + SPAN])
-            if i < low or j < 0:
-                continue
-            ahead = min(same(a[i:], b[j:]), high - i)
-            covered += ahead + min(same(a[:i][::-1], b[:j][::-1]), i - low)
-            low = i + ahead
-    longest = max(len(a), len(b))
-    return min(covered, longest - 1) / longest
+    start = same(a, b)
+    marks = np.zeros(len(a), bool)
+    marks[:start] = True
+    marks[len(a) - min(same(a[::-1], b[::-1]), min(len(a), len(b)) - start) :] = True
+    there = {b[j : j + length] for j in range(len(b) - length + 1)}
+    for i in range(len(a) - length + 1):
+        if a[i : i + length] in there:
+            marks[i : i + length] = True
+    return marks.sum() / max(len(a), len(b))
 
 
 def test_likeness_is_that_of_common_extensions(spark):
@@ -272,14 +263,26 @@ def test_likeness_is_that_of_common_extensions(spark):
         own, following = docs[d], docs[after]
         edited = own[: len(own) - len(own) // 2] + following[: len(own) // 2]
         assert rows[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert rows[d].near_edited == pytest.approx(plain_likeness(own, edited)), d
-        assert rows[d].near_next == pytest.approx(plain_likeness(own, following)), d
+        for got, other in ((rows[d].near_edited, edited), (rows[d].near_next, following)):
+            assert (got == 1) == (own == other)
+            assert plain_cover(own, other, 96) - 0.02 <= got <= plain_cover(own, other, 24), d
     a, b = "abcdefghij" * 30 + "the middle of the one" + "klmnopqrst" * 30, "x" * 50 + "klmnopqrst" * 30 + "abcdefghij" * 30
-    assert likeness(Prefixes(a), Prefixes(b)) == pytest.approx(plain_likeness(a, b)) and plain_likeness(a, b) > 0.8
+    assert likeness(Prefixes(a), Prefixes(b)) == pytest.approx(plain_cover(a, b, 100)) and plain_cover(a, b, 100) > 0.8
     joined = Joined(Prefixes(a), 100, Prefixes(b), 60)
     assert likeness(Prefixes(a[:100] + b[:60]), joined) == 1.0
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000, 200_000])
+def test_likeness_is_the_same_at_every_length(n):
+    from corpuslens.llm.fingerprints import Prefixes, likeness
+
+    text = "".join(np.random.default_rng(n).choice(list("abcdefgh "), n))
+    edited = "".join("#" + text[i + 1 : i + 400] for i in range(0, n, 400))
+    assert likeness(Prefixes(text), Prefixes(edited)) == pytest.approx(1 - 1 / 400, abs=1e-4)
+    moved = text[n // 2 :] + text[: n // 2]
+    assert likeness(Prefixes(text), Prefixes(moved)) > 0.999 - 1 / n
+
+
 def test_fingerprints_of_repeated_and_missing_ids(spark):
     from corpuslens.llm.fingerprints import fingerprint
 
@@ -427,3 +430,14 @@ def test_many_entities_and_words_in_one_text(spark):
     assert all(text[s["start"] : s["end"]] == s["value"] for s in own)
     assert {s["value"].lower() for s in own if s["kind"] in ("remove", "general")} <= {*words}
     assert all(not r["__all"] for i, r in found.items() if i)
+
+
+@pytest.mark.parametrize("others", [30, 3000])
+def test_verdicts_on_terms_do_not_depend_on_the_corpus_size(spark, others):
+    from corpuslens.llm.pii import find_private
+
+    rows = [(i, f"zebrafish news number {i}, from ann@mail.example.com") for i in range(5)]
+    rows += [(10, "a yellowtail writes from bob@mail.example.com")]
+    rows += [(100 + i, f"plain news number {i} writes from somewhere") for i in range(others)]
+    found = find_private(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(__all) > 0").collect()
+    assert {(s["kind"], s["value"]) for r in found for s in r["__all"] if s["kind"] != "email"} == {("remove", "zebrafish"), ("general", "yellowtail")}
