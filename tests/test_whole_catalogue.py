@@ -19,3 +19,8 @@ def own_entries(df) -> set[int]:
 def test_candidate_pairs(spark):
     found = own_entries(plans.QUERIES["candidate_pairs"](spark, SF))
     assert len(third_papers(spark) & found) == len(third_papers(spark)) > 0
+
+
+def test_score_candidates(spark):
+    found = own_entries(plans.QUERIES["score_candidates"](spark, SF).filter("exact_title AND title_overlap = 1"))
+    assert len(third_papers(spark) & found) == len(third_papers(spark)) > 0
