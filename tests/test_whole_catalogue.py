@@ -24,3 +24,9 @@ def test_candidate_pairs(spark):
 def test_score_candidates(spark):
     found = own_entries(plans.QUERIES["score_candidates"](spark, SF).filter("exact_title AND title_overlap = 1"))
     assert len(third_papers(spark) & found) == len(third_papers(spark)) > 0
+
+
+def test_match_tiered_a(spark):
+    """A paper whose own entry is there has a candidate, so none is without a match or a doubt."""
+    rows = plans.QUERIES["match_tiered_a"](spark, SF).collect()
+    assert rows and {r["status"] for r in rows} <= {"MATCHED", "AMBIGUOUS"}
