@@ -30,3 +30,8 @@ def test_match_tiered_a(spark):
     """A paper whose own entry is there has a candidate, so none is without a match or a doubt."""
     rows = plans.QUERIES["match_tiered_a"](spark, SF).collect()
     assert rows and {r["status"] for r in rows} <= {"MATCHED", "AMBIGUOUS"}
+
+
+def test_match_summary(spark):
+    rows = {r["status"]: r["n"] for r in plans.QUERIES["match_summary"](spark, SF).collect()}
+    assert "NOT_FOUND" not in rows and sum(rows.values()) == plans.QUERIES["match_tiered_a"](spark, SF).count()
