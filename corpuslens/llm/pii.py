@@ -3,11 +3,12 @@
 Base: emails, IP addresses, payment cards and phone numbers by pattern. Each
 value found is a protected entity. Over the whole corpus, document counts of
 entities, terms and entity-term pairs (a term within ``WINDOW`` words of a
-mention, however far they reach) give the probability of the entity where the term is seen: two to the
-pointwise mutual information less the entity's own information content. This is the disclosure: 1 means that
-the term leaves no doubt, and the same evidence gives the same figure in a corpus of any size. In documents that
-hold the entity, terms at or over ``GENERALISE`` are generalised to their word
-class, and at or over ``REMOVE`` they are removed. Pairs of any support count; the
+mention, however far they reach) give two measures of a term. Its share is the pointwise mutual information of
+term and entity, divided by the entity's own information content; its certainty is the probability of the entity where the term is seen,
+two to the mutual information less the information content. Both are 1 for a term that leaves no doubt. Where an entity is in
+less than a thirteenth of all documents, the share reaches its limits wherever the certainty does; the certainty serves for the more frequent ones.
+In documents that hold the entity, terms of which either measure is at or over its ``GENERALISE`` are generalised to their word
+class, and at or over its ``REMOVE`` they are removed. Pairs of any support count; the
 estimate of a pair seen in s different texts is discounted by s / (s + ``PRIOR``), so
 few texts prove less than many, and a text and its exact copies prove as much as one.
 
@@ -40,8 +41,9 @@ TERM = r"(?<!\p{L})\p{L}{3,40}(?!\p{L})"
 WINDOW = 8
 NO_MENTIONS = "CAST(array() AS array<struct<entity:string,terms:array<string>>>)"
 PRIOR = 0.5
-GENERALISE = 0.6
-REMOVE = 0.9
+#: Least share and certainty.
+GENERALISE = (0.8, 0.6)
+REMOVE = (0.95, 0.9)
 
 
 def _digits(value: Column) -> Column:
@@ -112,8 +114,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", prior: float = PRIOR, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over ``threshold``. All counts are of documents, over all documents.
+def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+    """(entity, term, removes) of the pairs at or over ``GENERALISE``. All counts are of documents, over all documents.
 
     Mentions are grouped by text first, so copies of a text are one row with their
     number. Terms are counted before they meet the pairs: the join holds counts only.
@@ -124,13 +126,23 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", pri
     seen = mention.select("__text_key", "copies", "entity", F.explode("terms").alias("term")).distinct()
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_pair"))
     pairs = materialise(pairs, "pii-pairs")
+    entities = mention.select("entity", "__text_key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(_terms(filled(text_col)))).alias("__term"))
     terms = words.groupBy("__term").agg(F.count("*").alias("n_term"))
-    # log2 P(entity | term) = PMI(entity, term) - I(entity): the counts of entities and of all documents cancel out.
+    total = scanned.agg(F.count("*").alias("n_all"))
+    joined = (
+        pairs.join(entities, "entity")
+        .withColumn("__term", F.xxhash64("term"))
+        .join(terms, "__term")
+        .crossJoin(F.broadcast(total))  # one row
+    )
     sure = F.col("texts") / (F.col("texts") + prior)
-    share = F.least(F.lit(1.0), sure * F.col("n_pair") / F.col("n_term"))
-    joined = pairs.withColumn("__term", F.xxhash64("term")).join(terms, "__term")
-    out = joined.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold)
+    information = F.log2(F.col("n_all") / F.col("n_entity"))
+    mutual = F.log2(sure * F.col("n_pair") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
+    share = F.when(information > 0, mutual / F.nullif(information, F.lit(0.0))).otherwise(0.0)  # an entity of all documents tells nothing
+    certainty = sure * F.col("n_pair") / F.col("n_term")
+    over = lambda least: (share >= least[0]) | (certainty >= least[1])
+    out = joined.filter(over(GENERALISE)).select("entity", "term", over(REMOVE).alias("removes"))
     return materialise(out, "pii-disclosures")
 
 
@@ -175,9 +187,9 @@ def term_spans(docs: DataFrame, scanned: DataFrame, found: DataFrame, id_col: st
     per_doc = (
         near.join(owns, on, "left_semi")
         .groupBy("__id", "__text_key", "term")
-        .agg(F.max("disclosure").alias("disclosure"))
+        .agg(F.max("removes").alias("removes"))
         .groupBy("__id", "__text_key")
-        .agg(F.collect_list(F.struct("term", (F.col("disclosure") < REMOVE).alias("general"))).alias("__flags"))
+        .agg(F.collect_list(F.struct("term", (~F.col("removes")).alias("general"))).alias("__flags"))
     )
     texts = docs.select(F.col(id_col).alias("__id"), filled(text_col).alias("__text")).withColumn("__text_key", F.xxhash64("__text"))
     hit = texts.join(per_doc.hint("shuffle_hash"), (texts["__id"].eqNullSafe(per_doc["__id"])) & (texts["__text_key"] == per_doc["__text_key"]))

@@ -91,13 +91,16 @@ near AS (SELECT DISTINCT text, entity, term FROM (SELECT b.text, entity, term, r
     FROM (SELECT DISTINCT text, kind, s, e, entity FROM base) b JOIN placed_terms p ON p.text = b.text AND (a + n <= b.s OR a >= b.e)) WHERE k <= 8),
 copies AS (SELECT text, count(*) AS copies FROM t GROUP BY text),
 pairs AS (SELECT entity, term, sum(copies) AS n_pair, count(*) AS texts FROM near JOIN copies USING (text) GROUP BY ALL),
+entities AS (SELECT entity, sum(copies) AS n_entity FROM (SELECT DISTINCT entity, text FROM base) JOIN copies USING (text) GROUP BY entity),
 terms AS (SELECT term, count(DISTINCT doc_id) AS n_term FROM (SELECT doc_id, lower(unnest(vals)) AS term FROM runs) JOIN (SELECT DISTINCT term FROM pairs) USING (term) GROUP BY term),
-shares AS (SELECT entity, term, least(1.0, texts / (texts + 0.5) * n_pair / n_term) AS share FROM pairs JOIN terms USING (term)),
-flagged AS (SELECT doc_id, term, max(share) AS share FROM (SELECT DISTINCT doc_id, entity FROM base) JOIN shares USING (entity) WHERE share >= 0.6 GROUP BY ALL),
-hits AS (SELECT r.doc_id, f.share, CAST(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i], lambda g: length(g))), 0) AS BIGINT) AS s, length(vals[i + 1]) AS n
+shares AS (SELECT entity, term, texts / (texts + 0.5) * n_pair / n_term AS certainty,
+    CASE WHEN n_all > n_entity THEN log2(texts / (texts + 0.5) * n_pair * n_all / (n_entity * n_term)) / log2(n_all / n_entity) ELSE 0 END AS share
+    FROM pairs JOIN entities USING (entity) JOIN terms USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n_all FROM t)),
+flagged AS (SELECT doc_id, term, max(share >= 0.95 OR certainty >= 0.9) AS removes FROM (SELECT DISTINCT doc_id, entity FROM base) JOIN shares USING (entity) WHERE share >= 0.8 OR certainty >= 0.6 GROUP BY ALL),
+hits AS (SELECT r.doc_id, f.removes, CAST(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:i], lambda g: length(g))), 0) AS BIGINT) AS s, length(vals[i + 1]) AS n
     FROM (SELECT * FROM runs WHERE doc_id IN (SELECT doc_id FROM flagged)) r, unnest(range(len(vals))) x(i) JOIN flagged f ON f.doc_id = r.doc_id AND f.term = lower(vals[i + 1])),
 spans AS (SELECT doc_id, kind, ord, s, kind || ':' || s || ':' || e AS span FROM base
-    UNION ALL SELECT doc_id, kind, ord, s, kind || ':' || s || ':' || (s + n) FROM (SELECT *, CASE WHEN share >= 0.9 THEN 'remove' ELSE 'general' END AS kind, CASE WHEN share >= 0.9 THEN 4 ELSE 5 END AS ord FROM hits h
+    UNION ALL SELECT doc_id, kind, ord, s, kind || ':' || s || ':' || (s + n) FROM (SELECT *, CASE WHEN removes THEN 'remove' ELSE 'general' END AS kind, CASE WHEN removes THEN 4 ELSE 5 END AS ord FROM hits h
         WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.s < h.s + h.n AND h.s < b.e))),
 found AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
     count(*) FILTER (WHERE kind = 'phone') AS n_phone, string_agg(span, ',' ORDER BY s, ord) FILTER (WHERE ord < 4) AS b, string_agg(span, ',' ORDER BY s, ord) AS a FROM spans GROUP BY doc_id)

@@ -441,3 +441,22 @@ def test_verdicts_on_terms_do_not_depend_on_the_corpus_size(spark, others):
     rows += [(100 + i, f"plain news number {i} writes from somewhere") for i in range(others)]
     found = find_private(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(__all) > 0").collect()
     assert {(s["kind"], s["value"]) for r in found for s in r["__all"] if s["kind"] != "email"} == {("remove", "zebrafish"), ("general", "yellowtail")}
+
+
+def test_terms_that_tell_much_of_an_entity_go(spark):
+    """A term that two of 3000 documents have tells most of an entity that one has, though it leaves the choice of two; it is generalised."""
+    from corpuslens.llm.pii import find_private
+
+    rows = [(0, "a yellowtail writes from bob@mail.example.com"), (1, "another yellowtail writes nothing")]
+    rows += [(2 + i, f"zebrafish news number {i}, from ann@mail.example.com") for i in range(2)]
+    rows += [(100 + i, f"plain news number {i} writes from somewhere") for i in range(3000)]
+    found = find_private(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(__all) > 0").collect()
+    assert {(s["kind"], s["value"]) for r in found for s in r["__all"] if s["kind"] != "email"} == {("general", "yellowtail"), ("remove", "zebrafish")}
+
+
+def test_terms_of_an_entity_that_all_documents_hold(spark):
+    from corpuslens.llm.pii import find_private
+
+    rows = [(i, f"zebrafish news {i} from ann@mail.example.com") for i in range(6)]
+    found = find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(s["kind"], s["value"]) for r in found for s in r["__all"] if s["kind"] != "email"} == {("remove", "zebrafish"), ("remove", "news"), ("remove", "from")}
