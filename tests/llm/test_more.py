@@ -5,6 +5,7 @@ import hashlib
 import re
 import time
 from collections import Counter
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -460,3 +461,18 @@ def test_terms_of_an_entity_that_all_documents_hold(spark):
     rows = [(i, f"zebrafish news {i} from ann@mail.example.com") for i in range(6)]
     found = find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(s["kind"], s["value"]) for r in found for s in r["__all"] if s["kind"] != "email"} == {("remove", "zebrafish"), ("remove", "news"), ("remove", "from")}
+
+
+def test_stages_keep_no_more_than_their_results_read(spark):
+    """Signatures, groups, measured lines and the like are gone when a stage returns, and its result is whole without them."""
+    import corpus_pipeline
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = set(folder.iterdir())
+        rows = stage(spark, docs, SF)
+        left[name] = {re.sub("-[0-9a-f]{32}$", "", p.name) for p in set(folder.iterdir()) - before} - {"kept"}
+        assert rows.count() == len(rows.collect()) > 0
+    assert left == {"quality rules": {"families", "rules-kept"}, "quality classifier": {"good"}, "near duplicates": {"firsts"}}
