@@ -476,3 +476,12 @@ def test_stages_keep_no_more_than_their_results_read(spark):
         left[name] = {re.sub("-[0-9a-f]{32}$", "", p.name) for p in set(folder.iterdir()) - before} - {"kept"}
         assert rows.count() == len(rows.collect()) > 0
     assert left == {"quality rules": {"families", "rules-kept"}, "quality classifier": {"good"}, "near duplicates": {"firsts"}}
+
+
+def test_a_line_over_the_share_of_a_large_host_is_frequent(spark):
+    """21 of 2000 documents are more than a hundredth."""
+    from corpuslens.llm import rules
+
+    rows = [(i, f"page {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" + ("\nshared footer of this host" if i < 21 else ""), "h") for i in range(2000)]
+    _, frequent = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert frequent.count() == 1
