@@ -1,8 +1,10 @@
 """The match queries meet the whole catalogue: every paper has an entry of its own in it."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens import plans
+from corpuslens.sources import views as W
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,6 +28,19 @@ def test_score_candidates(spark):
     assert len(third_papers(spark) & found) == len(third_papers(spark)) > 0
 
 
+def test_score_candidates_of_any_overlap(spark):
+    """A paper has the five nearest works scored, or as many as share a word with its title."""
+    rows = plans.QUERIES["score_candidates"](spark, SF).collect()
+    titles = {r["paper_id"]: {w for w in r["title"].split(" ") if w} for r in W.papers(spark, SF).select("paper_id", "title").collect()}
+    got = {i: {} for i in titles}
+    for r in rows:
+        got[r["paper_id"]][r["candidate_id"]] = r["title_overlap"]
+    for i, own in titles.items():
+        near = sorted((-len(own & t) / len(own | t), j + 999_999) for j, t in titles.items() if own & t)[:5]
+        assert got[i] == {j: pytest.approx(-o, abs=0.000501) for o, j in near}
+    assert any(0 < r["title_overlap"] < 0.1 for r in rows)
+
+
 def test_match_tiered_a(spark):
     """A paper whose own entry is there has a candidate, so none is without a match or a doubt."""
     rows = plans.QUERIES["match_tiered_a"](spark, SF).collect()
