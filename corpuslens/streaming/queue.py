@@ -114,7 +114,7 @@ class QueueProcessor(StatefulProcessor):
 
 
 def queue_changes(arrivals: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Rows of the queue as they change (CHANGED), of a stream of ARRIVING rows. ``step`` is 1 where a timer made the change."""
+    """Rows of the queue as they change (CHANGED), of a stream of ARRIVING rows, whose times are after 1970 began. ``step`` is 1 where a timer made the change."""
     keyed = arrivals.withWatermark("ts", late).groupBy("paper_id", "source")
     return keyed.transformWithStateInPandas(QueueProcessor(), CHANGED, "Update", "EventTime")
 

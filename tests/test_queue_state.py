@@ -49,6 +49,18 @@ def test_queue_state_restarts_and_timers(spark, tmp_path):
     assert len(figures) >= 3 and len({f["rows"] for f in figures}) == 1
 
 
+def test_first_request_of_all_counts(spark, tmp_path):
+    """The request numbered 0 comes first and isn't late."""
+    from corpuslens import plans
+
+    events = [(0, 1, "error"), (1, 1, "click"), (2, 1, "error"), (40, 2, "view")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/written")
+    next(tmp_path.glob("written/*.parquet")).rename(tmp_path / "events.parquet")
+    rows = {r.paper_id: r for r in plans.QUERIES["stream_queue_state"](spark, str(tmp_path)).collect()}
+    assert rows[1].reasons == "OPENALEX_AMBIGUOUS,USER_FACING" and rows[1].full_detail
+    assert rows[2].reasons == "HISTORICAL_CANDIDATE" and rows[2].full_detail
+
+
 def test_rules_of_one_row():
     new = (None, None, "", False, None, 0, None, None)
     row = K.after(new, "request", "nothing of the kind", None, True, 0, 1)
