@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import id_and_version, normalize_text
+from corpuslens.operators.components import kept
 
 ENTRY = (
     "id string, title string, summary string, published string, updated string, author array<struct<name:string>>, "
@@ -156,19 +157,28 @@ def run_report(outcomes: DataFrame) -> DataFrame:
     return counted.withColumn("status", status)
 
 
-def count_in_windows(rows: DataFrame, windows: DataFrame, bin_seconds: int = 86_400, at: str = "published") -> DataFrame:
+def count_in_windows(rows: DataFrame, windows: DataFrame, at: str = "published") -> DataFrame:
     """``windows`` (window, window_start, window_end) with ``n``, the rows in [start, end); any windows, overlapping ones too.
 
-    A range join by bins: a window meets only the bins that it touches. Rows of one instant are counted
-    before the join, so it carries instants and not rows. Choose bins of about a window's length: a window that is
-    much longer is copied to as many bins. Empty and reversed windows, and those without an end, count 0; rows without a time count nowhere.
+    Rows before the end less rows before the start: rows of an instant and bounds of windows are each counted
+    once, put in order by ranges of time, and summed up along it, so the work grows with rows and windows and not with what they share.
+    Empty and reversed windows, and those without a start or end, count 0; rows without a time count nowhere.
     """
-    bin_of = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (bin_seconds * 1_000_000))
-    instants = rows.filter(F.col(at).isNotNull()).groupBy(F.col(at).alias("__at")).agg(F.count("*").alias("__n")).withColumn("__bin", bin_of(F.col("__at")))
-    start, end = F.col("window_start"), F.col("window_end")
-    touched = windows.filter(start < end).select("window", "window_start", "window_end", F.explode(F.sequence(bin_of(start), bin_of(end))).alias("__bin"))
-    met = touched.join(instants, "__bin").filter((F.col("__at") >= start) & (F.col("__at") < end)).groupBy("window").agg(F.sum("__n").alias("n"))
-    return windows.join(met, "window", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    instants = rows.filter(F.col(at).isNotNull()).groupBy(F.col(at).alias("__at")).agg(F.count("*").alias("__n"))
+    own = windows.filter(F.col("window_start") < F.col("window_end"))
+    bounds = own.select(F.explode(F.array("window_start", "window_end")).alias("__at")).distinct()
+    line = instants.join(bounds.withColumn("__bound", F.lit(True)), "__at", "full").withColumn("__n", F.coalesce("__n", F.lit(0).cast("long")))
+    placed = kept(line.repartitionByRange("__at").withColumn("__part", F.spark_partition_id()))
+    # one number a range: what lies in the ranges before it
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").agg(F.sum("__n").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")).alias("__start"))
+    before = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long"))).filter("__bound")
+    upto = kept(summed.join(starts, "__part").select("__at", (F.col("__before") + F.col("__start")).alias("__upto")))
+    first, last = upto.toDF("window_start", "__first"), upto.toDF("window_end", "__last")
+    met = windows.join(first, "window_start", "left").join(last, "window_end", "left")
+    n = F.when(F.col("window_start") < F.col("window_end"), F.col("__last") - F.col("__first"))
+    return met.select(*windows.columns, F.coalesce(n, F.lit(0).cast("long")).alias("n"))
 
 
 def write_counted(outcomes: DataFrame, path: str, mode: str = "append") -> dict:

@@ -50,3 +50,17 @@ def test_paper_upsert_over_100000_papers(spark, tables):
 
 def test_stream_entries_over_100000_papers(spark, tables):
     agrees(spark, "stream_entries", tables(SIX_PLACES))
+
+
+def test_window_counts_of_windows_over_all_time(spark):
+    """Ten thousand windows of 200 years each: a copy of each for every day that it touches would be 730 million rows."""
+    from corpuslens.operators import ingest
+
+    start = dt.datetime(1900, 1, 1)
+    rows = spark.createDataFrame([(start + dt.timedelta(days=100 * k),) for k in range(700) for _ in range(1 + k % 2)], "published timestamp_ntz")
+    asked = spark.range(10_000).selectExpr("id AS window", "timestamp_ntz'1900-01-01' + make_dt_interval(cast(id AS int)) AS window_start", "timestamp_ntz'2100-01-01' + make_dt_interval(cast(id AS int)) AS window_end")
+    found = {r["window"]: r["n"] for r in ingest.count_in_windows(rows, asked).collect()}
+    assert len(found) == 10_000
+    for i in (0, 1, 100, 101, 9999):
+        low, high = start + dt.timedelta(days=i), dt.datetime(2100, 1, 1) + dt.timedelta(days=i)
+        assert found[i] == sum(1 + k % 2 for k in range(700) if low <= start + dt.timedelta(days=100 * k) < high)
