@@ -50,3 +50,18 @@ def test_match_tiered_a(spark):
 def test_match_summary(spark):
     rows = {r["status"]: r["n"] for r in plans.QUERIES["match_summary"](spark, SF).collect()}
     assert "NOT_FOUND" not in rows and sum(rows.values()) == plans.QUERIES["match_tiered_a"](spark, SF).count()
+
+
+def test_a_family_of_titles_leaves_few_pairs(spark):
+    """What leaves the tasks that pair titles are a title's nearest works, not all pairs of a family."""
+    from corpuslens.operators.enrich import _best_of_batch
+
+    pairs = spark.range(40_000).selectExpr("unhex(md5(cast(id div 200 AS string))) AS own_key", "id % 200 AS candidate_id", "(id % 7) / 7D AS overlap").coalesce(1)
+    left = pairs.mapInArrow(_best_of_batch(3), pairs.schema).collect()
+    assert len(left) <= 3 * (200 + 4) and {r["own_key"] for r in left} == {r["own_key"] for r in pairs.select("own_key").distinct().collect()}
+    assert {6, 13, 20} <= {r["candidate_id"] for r in left} and all(r["overlap"] == 6 / 7 for r in left)
+
+
+def test_texts_stay_where_titles_are_asked_for(spark):
+    plan = W.papers(spark, SF).select("paper_id", "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Join") < plan.find("regexp_replace")
