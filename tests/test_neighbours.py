@@ -217,3 +217,16 @@ def test_no_vectors(spark):
 def test_coordinates_that_are_not_finite_fail_the_run(spark):
     with pytest.raises(Exception):
         density.reduced(spark.createDataFrame([(1, [1.0, float("nan"), 0.0, 0.0, 0.0]), (2, [0.0] * 5), (3, [1.0] * 5)], "paper_id long, embedding array<double>")).count()
+
+
+def test_knn_join_moves_each_vector_a_few_times(spark, monkeypatch):
+    """20,000 vectors meet in 6 times 6 blocks, a row each here; not in 5 times 5 that grow by one every 4096 vectors."""
+    import pyarrow as pa
+
+    from corpuslens.operators import search
+
+    one = lambda left, right: pa.table({"id": [left["id"][0].as_py()], "neighbour": [right["other"][0].as_py()], "similarity": [0.0]})
+    monkeypatch.setattr(search, "_nearest", lambda k: one)
+    met = lambda n, **rows: search.knn_join(spark.range(n).selectExpr("id AS paper_id", "array(cast(id + 1 AS double), 1D) AS embedding"), 1000, **rows).count()
+    assert met(40_000) == met(20_000) == 36
+    assert met(2_000, block_rows=100) == 400
