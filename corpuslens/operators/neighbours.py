@@ -23,6 +23,11 @@ FIT_ROWS = 20_000
 TRIAL_ROWS = 200
 BLOCK_ROWS = 4096
 VISITOR_ROWS = 65_536
+#: Owners and visitors of a task of a range join at most, and the tasks that there are for fewer vectors (a side's number).
+GROUP_ROWS = 65_536
+FEWEST = 6
+#: Distances that a task of a range join holds at a time.
+SLICE_CELLS = 1 << 21
 
 
 def matrix(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
@@ -43,7 +48,8 @@ def first_rows(points: DataFrame, n: int) -> np.ndarray:
 
 
 def assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
-    """``points`` (id, vector) with their nearest centre (``cell``) and ``gap`` to it, written."""
+    """``points`` (id, vector, and a number ``extra`` where there is one) with their nearest centre (``cell``) and ``gap`` to it, written."""
+    given = ["id", "vector", *(["extra"] if "extra" in points.columns else [])]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,9 +57,9 @@ def assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
                 part = batch.slice(at, 2048)
                 far = gaps(matrix(part, "vector"), centres)
                 cell = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([part["id"], part["vector"], pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["id", "vector", "cell", "gap"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in given), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], [*given, "cell", "gap"])
 
-    return kept(points.select("id", "vector").mapInArrow(assign, "id long, vector array<double>, cell int, gap double"))
+    return kept(points.select(*given).mapInArrow(assign, "id long, vector array<double>, " + ("extra double, " if len(given) > 2 else "") + "cell int, gap double"))
 
 
 def visiting(rows: DataFrame, centres: np.ndarray, cells: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -69,11 +75,11 @@ def visiting(rows: DataFrame, centres: np.ndarray, cells: Callable[[np.ndarray],
     return rows.select("id", "vector").mapInArrow(visit, "id long, vector array<double>, cell int")
 
 
-def met(owners: DataFrame, visitors: DataFrame, task: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def met(owners: DataFrame, visitors: DataFrame, task: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS, visitor_rows: int = VISITOR_ROWS) -> DataFrame:
     """``task`` over every block of a cell's owners and the visitors of that cell."""
     spark = owners.sparkSession
-    sizes = {r["cell"]: -(-r["count"] // BLOCK_ROWS) for r in owners.groupBy("cell").count().collect()}  # one number a centre
-    parts = max(1, -(-owners.count() // VISITOR_ROWS))
+    sizes = {r["cell"]: -(-r["count"] // block_rows) for r in owners.groupBy("cell").count().collect()}  # one number a centre
+    parts = max(1, -(-owners.count() // visitor_rows))
     blocks = spark.createDataFrame(list(sizes.items()) or [(0, 1)], "cell int, blocks int")
     one = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -83,43 +89,101 @@ def met(owners: DataFrame, visitors: DataFrame, task: Callable[[pa.Table, pa.Tab
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, schema)
 
 
-def range_join(points: DataFrame, eps: float, centres: int | None = None) -> DataFrame:
-    """(u, v, distance): all pairs u < v of (id, vector) rows within Euclidean distance ``eps``, exact.
+def chained(pivots: np.ndarray) -> np.ndarray:
+    """An order of the pivots in which each is followed by the nearest of those left."""
+    far, order = gaps(pivots, pivots), [0]
+    far[:, 0] = np.inf
+    for _ in range(len(pivots) - 1):
+        order.append(int(far[order[-1]].argmin()))
+        far[:, order[-1]] = np.inf
+    return np.array(order)
+
+
+def ranged(points: DataFrame, eps: float, task: Callable[[Iterator[tuple]], pa.Table], schema: str, centres: int | None = None) -> DataFrame:
+    """``task`` over all pairs of (id, vector, extra) rows within Euclidean distance ``eps``, exact, both ways and without a row's own.
+
+    A task gets its pairs as slices (id, other, distance, extra, other's extra) of arrays; all of one id in a task come in runs, a run for each slice of others.
 
     Centres are pivots: the vectors of the ids with the smallest hashes, some root of their number. A partner in cell c
     lies within the radius of c, so the vector is no farther than radius + eps from the pivot; and as
-    the partner is nearer to its own pivot than to the vector's, no farther than its own gap + 2 eps.
-    Rows with a null id or vector have no partners. Equal vectors give all their pairs: collapse them first.
+    the partner is nearer to its own pivot than to the vector's, no farther than its own gap + 2 eps. Cells near to one another
+    are one group of ``GROUP_ROWS`` rows at most (a larger cell is cut), and a vector visits a group once,
+    whatever the number of its cells that may hold partners; the task tells them apart again.
     """
-    points = points.filter("id IS NOT NULL AND vector IS NOT NULL")
     n = points.count()
     pivots = first_rows(points, centres or int(min(MOST_CENTRES, max(1, np.sqrt(n)))))
     if not len(pivots):
-        return points.sparkSession.createDataFrame([], "u long, v long, distance double")
+        return points.sparkSession.createDataFrame([], schema)
     rows = assigned(points, pivots)
-    radius = np.full(len(pivots), -np.inf)
-    for r in rows.groupBy("cell").agg(F.max("gap").alias("r")).collect():
-        radius[r["cell"]] = r["r"]
+    radius, held = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    for r in rows.groupBy("cell").agg(F.max("gap").alias("r"), F.count("*").alias("n")).collect():  # a row a centre
+        radius[r["cell"]], held[r["cell"]] = r["r"], r["n"]
     slack = 1e-6 * (1 + float(np.abs(pivots).max()))
+    side = min(GROUP_ROWS, max(1, -(-n // FEWEST)))
+    group_of, group, size = np.zeros(len(pivots), np.int32), 0, 0
+    for c in chained(pivots):
+        if size and size + held[c] > side:
+            group, size = group + 1, 0
+        group_of[c], size = group, size + held[c]
+    member = np.zeros((len(pivots), group + 1))
+    member[np.arange(len(pivots)), group_of] = 1
+
+    def near(far: np.ndarray, gap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return (far <= radius[cells] + eps + slack) & (far <= gap[:, None] + 2 * eps + slack)
+
+    def place(own: bool):
+        every = np.arange(len(pivots))
+
+        def to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    if own:
+                        i, g = np.arange(part.num_rows), group_of[part["cell"].to_numpy()]
+                    else:
+                        i, g = np.nonzero(near(gaps(matrix(part, "vector"), pivots), part["gap"].to_numpy(), every) @ member)
+                    yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(i)) for c in ("id", "vector", "cell", "gap", "extra")), pa.array(g.astype(np.int32))], names)
+
+        return to
+
+    names = ["id", "vector", "own", "gap", "extra", "cell"]
+    placed = "id long, vector array<double>, own int, gap double, extra double, cell int"
+    def slices(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
+        own, x, ids, others = left["own"].to_numpy(), left["extra"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
+        a, b, y, gap = matrix(left, "vector"), matrix(right, "vector"), right["extra"].to_numpy(), right["gap"].to_numpy()
+        for c in np.unique(own):
+            mine, cell = np.flatnonzero(own == c), np.array([c])
+            theirs = np.flatnonzero(near(gaps(b, pivots[cell]), gap, cell)[:, 0])
+            step = max(1, SLICE_CELLS // max(1, len(theirs)))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                i, j = np.nonzero((gaps(a[some], b[theirs]) <= eps + slack) & (ids[some, None] != others[theirs]))
+                i, j = some[i], theirs[j]
+                for k in range(0, len(i), 50_000):
+                    p, q = i[k : k + 50_000], j[k : k + 50_000]
+                    far = np.sqrt(((a[p] - b[q]) ** 2).sum(axis=1))
+                    p, q, far = p[far <= eps], q[far <= eps], far[far <= eps]
+                    yield ids[p], others[q], far, x[p], y[q]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return task(slices(left, right) if left.num_rows and right.num_rows else iter(()))
+
+    return met(rows.mapInArrow(place(True), placed), rows.mapInArrow(place(False), placed), run, schema, side, side)
 
-    def reach(far: np.ndarray) -> np.ndarray:
-        return (far <= radius + eps + slack) & (far <= far.min(axis=1, keepdims=True) + 2 * eps + slack)
 
-    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            ids, others, a, b = left["id"].to_numpy(), right["id"].to_numpy(), matrix(left, "vector"), matrix(right, "vector")
-            for at in range(0, len(ids), 256):
-                i, j = np.nonzero((gaps(a[at : at + 256], b) <= eps + slack) & (ids[at : at + 256, None] < others))
-                for some in np.array_split(np.arange(len(i)), len(i) // 50_000 + 1):
-                    own = np.sqrt(((a[at + i[some]] - b[j[some]]) ** 2).sum(axis=1))
-                    good = own <= eps
-                    for column, values in zip(out, (ids[at + i[some]][good], others[j[some]][good], own[good]), strict=True):
-                        column.append(values)
-        whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"u": whole[0].astype(np.int64), "v": whole[1].astype(np.int64), "distance": whole[2].astype(float)})
+def range_join(points: DataFrame, eps: float, centres: int | None = None) -> DataFrame:
+    """(u, v, distance): all pairs u < v of (id, vector) rows within Euclidean distance ``eps``, exact; see ranged().
+
+    Rows with a null id or vector have no partners. Equal vectors give all their pairs: collapse them first.
+    """
+
+    def pairs(found: Iterator[tuple]) -> pa.Table:
+        parts = [(u[u < v], v[u < v], far[u < v]) for u, v, far, _, _ in found]
+        u, v, far = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 3
+        return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64), "distance": far.astype(float)})
 
-    return met(rows, visiting(rows, pivots, reach), pairs, "u long, v long, distance double")
+    rows = points.filter("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector", F.lit(0.0).alias("extra"))
+    return ranged(rows, eps, pairs, "u long, v long, distance double", centres)
 
 
 class CellIndex:

@@ -230,3 +230,14 @@ def test_knn_join_moves_each_vector_a_few_times(spark, monkeypatch):
     met = lambda n, **rows: search.knn_join(spark.range(n).selectExpr("id AS paper_id", "array(cast(id + 1 AS double), 1D) AS embedding"), 1000, **rows).count()
     assert met(40_000) == met(20_000) == 36
     assert met(2_000, block_rows=100) == 400
+
+
+def test_a_range_join_sends_a_vector_to_each_group_once(spark, monkeypatch):
+    """All are partners, so each vector reaches all of the 31 cells; they are a few groups."""
+    from corpuslens.operators import neighbours as N
+
+    sent, met = [], N.met
+    monkeypatch.setattr(N, "met", lambda owners, visitors, *rest: (sent.append(visitors.count()), met(owners, visitors, *rest))[1])
+    points = spark.range(1000).selectExpr("id", "array(sin(id), cos(id), sin(id * id)) AS vector")
+    assert N.range_join(points, 9.0).count() == 1000 * 999 // 2
+    assert 1000 <= sent[0] <= 12_000
