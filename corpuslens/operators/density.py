@@ -2,8 +2,8 @@
 
 Equal vectors are one point with a weight. Points within ``eps`` of one another come from an exact range join.
 The core distance of a point is that to its ``core``-th other (copies count); the mutual reachability of two points
-is the largest of their distance and core distances. Boruvka rounds over DataFrames give
-the minimum spanning forest of reachabilities up to ``eps``. Each tree of the forest is then cut
+is the largest of their distance and core distances. A task sends on the minimum spanning forest of the pairs that meet in it, and
+Boruvka rounds over DataFrames give the minimum spanning forest of reachabilities up to ``eps``. Each tree of the forest is then cut
 at falling distances: a part of ``min_size`` papers and more is a cluster of its own, a smaller one falls
 out of its cluster. A cluster's stability is the sum, over its papers, of 1 / distance where they leave less 1 / distance where it
 began; clusters are kept where they are at least as stable as those within them.
@@ -13,6 +13,8 @@ What is whole in one task is one tree of the forest, as 24 bytes a distinct poin
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import vector as V
 from corpuslens.operators.components import components, kept
-from corpuslens.operators.neighbours import range_join
+from corpuslens.operators.neighbours import GROUP_ROWS, PAIR_ROWS, ranged
 
 #: Distances below this count as this, so that 1 / distance stays finite.
 CLOSEST = 1e-6
@@ -39,18 +41,88 @@ def points_of(vectors: DataFrame, id_col: str = "paper_id", vector_col: str = "e
 def core_distances(points: DataFrame, pairs: DataFrame, core: int) -> DataFrame:
     """(id, core): distance to the ``core``-th other paper; points with fewer within the pairs have no row."""
     ways = pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "distance").unionByName(pairs.select(F.col("v").alias("id"), F.col("u").alias("other"), "distance"))
+    return _cores(points, ways.join(points.select(F.col("id").alias("other"), F.col("weight").alias("n")), "other"), core)
+
+
+def _cores(points: DataFrame, ways: DataFrame, core: int) -> DataFrame:
+    """Core distances of (id, other, distance, n: papers of the other) rows."""
     own = points.select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance"), (F.col("weight") - 1).alias("n"))
-    each = ways.join(points.select(F.col("id").alias("other"), F.col("weight").alias("n")), "other").select("id", "other", "distance", "n").unionByName(own)
+    each = ways.select("id", "other", "distance", "n").unionByName(own)
     upto = F.sum("n").over(Window.partitionBy("id").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, 0))
     return each.withColumn("upto", upto).filter(F.col("upto") >= core).groupBy("id").agg(F.min("distance").alias("core"))
 
 
-def reachability(points: DataFrame, eps: float, core: int) -> tuple[DataFrame, DataFrame]:
-    """((u, v, weight) mutual reachabilities of dense points within ``eps``, their core distances)."""
-    pairs = kept(range_join(points, eps))
-    cores = kept(core_distances(points, pairs, core))
-    ends = pairs.join(cores.toDF("u", "cu"), "u").join(cores.toDF("v", "cv"), "v")
-    return ends.select("u", "v", F.greatest("distance", "cu", "cv").alias("weight")), cores
+def _gathered(found: Iterator[tuple], reduce: Callable[..., list[np.ndarray]], most: int = 1 << 20) -> list[np.ndarray]:
+    """The slices of arrays as one, reduced whenever they are twice what the last reduction left and ``most`` more."""
+    held, rows, left = [], 0, 0
+    for part in found:
+        held.append(part)
+        rows += len(part[0])
+        if rows > 2 * left + most:
+            held = [tuple(reduce(*(np.concatenate(c) for c in zip(*held, strict=True))))]
+            rows = left = len(held[0][0])
+    return list(reduce(*(np.concatenate(c) for c in zip(*held, strict=True)))) if held else []
+
+
+def cores_within(points: DataFrame, eps: float, core: int) -> DataFrame:
+    """core_distances() of the pairs within ``eps``, which are not written: a task sends on the ``core`` nearest others of each point."""
+
+    def nearest(ids: np.ndarray, others: np.ndarray, far: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((others, far, ids))
+        at, new = np.arange(len(order)), np.append(True, np.diff(ids[order]) != 0)
+        best = order[at - np.maximum.accumulate(np.where(new, at, 0)) < core]
+        return [c[best] for c in (ids, others, far, n)]
+
+    def task(found: Iterator[tuple]) -> pa.Table:
+        ids, others, far, n = _gathered(((i, j, d, n) for i, j, d, _, n in found), nearest) or (np.zeros(0),) * 4
+        return pa.table({"id": ids.astype(np.int64), "other": others.astype(np.int64), "distance": far.astype(float), "n": n.astype(np.int64)})
+
+    rows = points.select("id", "vector", F.col("weight").cast("double").alias("extra"))
+    return _cores(points, ranged(rows, eps, task, "id long, other long, distance double, n long"), core)
+
+
+def least_edges(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """The minimum spanning forest, by (weight, u, v), of edges in arrays: what no cycle of theirs rules out."""
+    order = np.lexsort((v, u, weight))
+    u, v, weight = u[order], v[order], weight[order]
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    name, left, chosen = np.arange(len(nodes)), np.arange(len(u)), np.zeros(len(u), bool)
+    while True:
+        left = left[name[a[left]] != name[b[left]]]
+        if not len(left):
+            return [u[chosen], v[chosen], weight[chosen]]
+        least = np.full(len(nodes), len(u))
+        for side in (a, b):  # the last of equal places written is the least edge of the side
+            mine = np.full(len(nodes), len(u))
+            mine[name[side[left[::-1]]]] = left[::-1]
+            least = np.minimum(least, mine)
+        has = np.flatnonzero(least < len(u))
+        edge = least[has]
+        chosen[edge] = True
+        to = np.arange(len(nodes))
+        to[has] = np.where(name[a[edge]] == has, name[b[edge]], name[a[edge]])
+        both = (to[to] == np.arange(len(nodes))) & (np.arange(len(nodes)) < to)
+        to[both] = np.flatnonzero(both)
+        while (to[to] != to).any():
+            to = to[to]
+        name = to[name]
+
+
+def reachability(points: DataFrame, eps: float, core: int, forest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((u, v, weight) mutual reachabilities of dense points within ``eps``, their core distances).
+
+    ``forest``: of the pairs that meet in a task only their minimum spanning forest, which holds the whole one's part of them.
+    """
+    cores = kept(cores_within(points, eps, core))
+    dense = kept(points.select("id", "vector").join(cores.withColumnRenamed("core", "extra"), "id"))
+
+    def task(found: Iterator[tuple]) -> pa.Table:
+        edges = ((i[i < j], j[i < j], np.maximum(far, np.maximum(x, y))[i < j]) for i, j, far, x, y in found)
+        u, v, weight = _gathered(edges, least_edges if forest else lambda *c: c) or (np.zeros(0),) * 3
+        return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64), "weight": weight.astype(float)})
+
+    return ranged(dense, eps, task, "u long, v long, weight double", most=GROUP_ROWS if forest else PAIR_ROWS), cores
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -168,7 +240,7 @@ def density_cluster(vectors: DataFrame, min_size: int = 5, core: int = 3, eps: f
     ``eps``: Euclidean distance of unit vectors beyond which nothing is tied. Rows without a vector, or with a zero one, are noise.
     """
     points, members = points_of(vectors, id_col, vector_col)
-    reach, cores = reachability(points, eps, core)
+    reach, cores = reachability(points, eps, core, forest=True)
     forest, names, _ = spanning_forest(reach)
     # points with copies enough to be dense but without partners are trees of their own
     names = cores.select(F.col("id").alias("node")).join(names, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -23,8 +23,9 @@ FIT_ROWS = 20_000
 TRIAL_ROWS = 200
 BLOCK_ROWS = 4096
 VISITOR_ROWS = 65_536
-#: Owners and visitors of a task of a range join at most, and the tasks that there are for fewer vectors (a side's number).
+#: Owners and visitors of a task of a range join at most, and those of one that holds all pairs it finds; and the number of groups and parts at least.
 GROUP_ROWS = 65_536
+PAIR_ROWS = 8192
 FEWEST = 6
 #: Distances that a task of a range join holds at a time.
 SLICE_CELLS = 1 << 21
@@ -99,7 +100,7 @@ def chained(pivots: np.ndarray) -> np.ndarray:
     return np.array(order)
 
 
-def ranged(points: DataFrame, eps: float, task: Callable[[Iterator[tuple]], pa.Table], schema: str, centres: int | None = None) -> DataFrame:
+def ranged(points: DataFrame, eps: float, task: Callable[[Iterator[tuple]], pa.Table], schema: str, centres: int | None = None, most: int = GROUP_ROWS) -> DataFrame:
     """``task`` over all pairs of (id, vector, extra) rows within Euclidean distance ``eps``, exact, both ways and without a row's own.
 
     A task gets its pairs as slices (id, other, distance, extra, other's extra) of arrays; all of one id in a task come in runs, a run for each slice of others.
@@ -107,7 +108,7 @@ def ranged(points: DataFrame, eps: float, task: Callable[[Iterator[tuple]], pa.T
     Centres are pivots: the vectors of the ids with the smallest hashes, some root of their number. A partner in cell c
     lies within the radius of c, so the vector is no farther than radius + eps from the pivot; and as
     the partner is nearer to its own pivot than to the vector's, no farther than its own gap + 2 eps. Cells near to one another
-    are one group of ``GROUP_ROWS`` rows at most (a larger cell is cut), and a vector visits a group once,
+    are one group of ``most`` rows at most (a larger cell is cut), and a vector visits a group once,
     whatever the number of its cells that may hold partners; the task tells them apart again.
     """
     n = points.count()
@@ -119,7 +120,7 @@ def ranged(points: DataFrame, eps: float, task: Callable[[Iterator[tuple]], pa.T
     for r in rows.groupBy("cell").agg(F.max("gap").alias("r"), F.count("*").alias("n")).collect():  # a row a centre
         radius[r["cell"]], held[r["cell"]] = r["r"], r["n"]
     slack = 1e-6 * (1 + float(np.abs(pivots).max()))
-    side = min(GROUP_ROWS, max(1, -(-n // FEWEST)))
+    side = min(most, max(1, -(-n // FEWEST)))
     group_of, group, size = np.zeros(len(pivots), np.int32), 0, 0
     for c in chained(pivots):
         if size and size + held[c] > side:
@@ -183,7 +184,7 @@ def range_join(points: DataFrame, eps: float, centres: int | None = None) -> Dat
         return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64), "distance": far.astype(float)})
 
     rows = points.filter("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector", F.lit(0.0).alias("extra"))
-    return ranged(rows, eps, pairs, "u long, v long, distance double", centres)
+    return ranged(rows, eps, pairs, "u long, v long, distance double", centres, PAIR_ROWS)
 
 
 class CellIndex:

@@ -35,7 +35,7 @@ def _(spark, d):
 @query("core_distances", f"WITH {PLANTED} SELECT id, round(core, 6) AS core FROM cores")
 def _(spark, d):
     points, _ = D.points_of(planted(spark, d))
-    return D.core_distances(points, N.range_join(points, 0.8), 3).select("id", F.round("core", 6).alias("core"))
+    return D.cores_within(points, 0.8, 3).select("id", F.round("core", 6).alias("core"))
 
 
 @query(

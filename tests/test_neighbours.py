@@ -241,3 +241,30 @@ def test_a_range_join_sends_a_vector_to_each_group_once(spark, monkeypatch):
     points = spark.range(1000).selectExpr("id", "array(sin(id), cos(id), sin(id * id)) AS vector")
     assert N.range_join(points, 9.0).count() == 1000 * 999 // 2
     assert 1000 <= sent[0] <= 12_000
+
+
+def test_least_edges_are_the_forest_whatever_the_slices():
+    from corpuslens.operators.density import _gathered, least_edges
+
+    rng = np.random.default_rng(3)
+    i, j = np.triu_indices(40, 1)
+    weight = np.round(rng.random(len(i)), 1)  # many ties
+    name, want = list(range(40)), set()
+    for w, a, b in sorted(zip(weight.tolist(), i.tolist(), j.tolist(), strict=True)):
+        if name[a] != name[b]:
+            want.add((a, b, w))
+            name = [name[a] if x == name[b] else x for x in name]
+    mixed = rng.permutation(len(i))
+    slices = [(i[p], j[p], weight[p]) for p in np.array_split(mixed, 9)]
+    for most in (1, 100, 1 << 20):
+        assert set(zip(*(c.tolist() for c in _gathered(iter(slices), least_edges, most)), strict=True)) == want
+
+
+def test_core_distances_within_equal_those_of_all_pairs(spark):
+    from corpuslens.operators import density as D
+    from corpuslens.operators import neighbours as N
+
+    points = spark.range(60).selectExpr("id", "array(sin(id), cos(id), 0.1D * (id % 7)) AS vector", "1 + id % 2 AS weight")
+    want = D.core_distances(points, N.range_join(points, 0.5), 3).collect()
+    got = {r["id"]: r["core"] for r in D.cores_within(points, 0.5, 3).collect()}
+    assert got == {r["id"]: pytest.approx(r["core"]) for r in want} and got
